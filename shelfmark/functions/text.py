@@ -24,12 +24,12 @@ def trim_gaps(text: Column) -> Column:
 
 def query_tokens(text: Column) -> Column:
     """Lower-cased words in order; a repeated word stays repeated."""
-    return F.filter(F.split(F.lower(text), WORD_GAP), lambda word: word != "")
+    return F.array_remove(F.split(F.lower(text), WORD_GAP), "")
 
 
 def token_count(text: Column) -> Column:
     """Number of words; 0 for NULL and for blank text."""
-    words = F.filter(F.split(text, WORD_GAP), lambda word: word != "")
+    words = F.array_remove(F.split(text, WORD_GAP), "")
     return F.when(text.isNull(), 0).otherwise(F.size(words))
 
 

@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from shelfmark.schemas import SIZE_CLASSES, SIZE_LABELS
 
-# Fixed value: the ISO 8601 forms of a listing time. Minutes and all below are optional.
-_ISO = (
-    r"^\d{4}-\d{2}-\d{2}"
-    r"([T ]\d{2}(:\d{2}(:\d{2}([.,]\d+)?)?)?(Z|[+-]\d{2}(:?\d{2})?)?)?$"
+# ISO 8601 forms of a listing time. The plain one casts as it is; the
+# compact ones have no dashes or colons, no minutes, or a comma before the fraction.
+_PLAIN = r"^\d{4}-\d\d-\d\d([T ]\d\d:\d\d(:\d\d(\.\d+)?)?(Z|[+-]\d\d:\d\d)?)?$"
+_COMPACT = (
+    r"^(\d{4})-?(\d\d)-?(\d\d)(?:[T ](\d\d)(?::?(\d\d))?(?::?(\d\d))?(?:[.,](\d+))?"
+    r"(Z|[+-]\d\d(?::?\d\d)?)?)?$"
 )
-_ZONE = r"[T ].*(Z|[+-]\d{2}(:?\d{2})?)$"
+_ZONED = r"(Z|[T ].*[+-]\d\d:\d\d)$"
 
 
 def at(as_of: datetime) -> Column:
@@ -47,16 +49,28 @@ def json_bigint(json: Column, key: str) -> Column:
 
 def parse_lm(value: Column) -> Column:
     """ISO 8601 text to a zone-free UTC timestamp; no zone means UTC, bad text NULL."""
-    dashed = F.regexp_replace(value, r"^(\d{4})(\d{2})(\d{2})(?=T|$)", "$1-$2-$3")
-    dashed = F.regexp_replace(dashed, r"T(\d{2})(\d{2})(\d{2})?(?=[.,Z+-]|$)", "T$1:$2:$3")
-    text = F.regexp_replace(F.regexp_replace(dashed, r":(?=[.,Z+-]|$)", ""), ",", ".")
-    text = F.regexp_replace(text, r"([+-]\d{2})(\d{2})$", "$1:$2")
-    # An hour without minutes is legal ISO but not a legal cast.
-    text = F.regexp_replace(text, r"([T ]\d{2})(?=Z|[+-]|$)", "$1:00")
-    zoned = F.when(text.rlike(_ZONE), text).otherwise(
-        F.concat(F.regexp_replace(text, r"^(\d{4}-\d{2}-\d{2})$", "$1T00:00:00"), F.lit("Z"))
+    def part(i: int) -> Column:
+        return F.regexp_extract(value, _COMPACT, i)
+
+    def or_else(text: Column, default: str) -> Column:
+        return F.coalesce(F.nullif(text, F.lit("")), F.lit(default))
+
+    offset = F.regexp_replace(
+        F.regexp_replace(or_else(part(8), "Z"), r"^([+-]\d\d):?(\d\d)$", "$1:$2"),
+        r"^([+-]\d\d)$", "$1:00",
+    )
+    expanded = F.concat(
+        part(1), F.lit("-"), part(2), F.lit("-"), part(3), F.lit("T"), or_else(part(4), "00"),
+        F.lit(":"), or_else(part(5), "00"), F.lit(":"), or_else(part(6), "00"),
+        F.lit("."), or_else(part(7), "0"), offset,
+    )
+    date_only = F.length(value) == 10
+    utc_text = F.concat(value, F.when(date_only, "T00:00:00Z").otherwise("Z"))
+    text = (
+        F.when(value.rlike(_PLAIN), F.when(value.rlike(_ZONED), value).otherwise(utc_text))
+        .when(value.rlike(_COMPACT), expanded)
     )
-    return utc(F.when(text.rlike(_ISO), zoned).try_cast("timestamp"))
+    return utc(text.try_cast("timestamp"))
 
 
 def utc(moment: Column) -> Column:

@@ -43,8 +43,7 @@ def after_cursor(listing: DataFrame, cursor: tuple[datetime, str] | DataFrame |
 
 
 def _is_after(lm: Column, id_: Column) -> Column:
-    later = (F.col("lm") > lm) | ((F.col("lm") == lm) & (F.col("id") > id_))
-    return F.col("lm").isNotNull() & (lm.isNull() | later)
+    return F.col("lm").isNotNull() & (F.struct("lm", "id") > F.struct(lm.alias("lm"), id_.alias("id")))
 
 
 def backfill(listing: DataFrame, as_of: datetime, window_days: int) -> DataFrame:

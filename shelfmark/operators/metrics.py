@@ -12,8 +12,7 @@ from shelfmark.functions import values
 from shelfmark.operators import joins
 from shelfmark.schemas import FACET_FALLBACKS, Settings
 
-_DIGIT = 65536  # one 16-bit digit of a 64-bit duration
-_BELOW, _ABOVE = -1, _DIGIT
+_BUCKETS = 16384
 
 
 def _count(condition: Column) -> Column:
@@ -75,69 +74,50 @@ def queue_depth(jobs: DataFrame) -> DataFrame:
     return jobs.agg(_count(F.col("state") == "queued").alias("queue_depth"))
 
 
-def _digit_of_rank(durations: DataFrame, prefix: Column | None, shift: int) -> DataFrame:
-    """The next 16-bit digit of the wanted duration, given its higher digits.
+def value_at_rank(values_: DataFrame, rank: int, low: int, high: int) -> int:
+    """The value at a 1-based rank of ``values_(v)``, whole numbers in ``low..high``.
 
-    Durations below and above the known prefix fall into two outer buckets, so every
-    level sees all rows and needs no carried rank. At most 65,538 buckets leave the
-    aggregation; folding them in order finds the one that holds the wanted rank.
+    Each round counts the values of the remaining range in at most 16,384 buckets, with
+    partial aggregation, and goes on inside the bucket that holds the rank. No task sorts
+    or holds all values, however they are distributed; the driver sees bucket sizes only.
     """
-    high = F.shiftright("us", shift + 16)
-    digit = F.shiftright("us", shift).bitwiseAND(F.lit(_DIGIT - 1))
-    if prefix is None:
-        # The top digit is signed: shift it to 0..65535 while keeping its order.
-        bucket = F.shiftright("us", shift) + _DIGIT // 2
-        named = durations.select(bucket.alias("bucket"), F.lit(0).cast("bigint").alias("prefix"))
-    else:
-        known = durations.withColumn("prefix", prefix)
-        bucket = (
-            F.when(high < F.col("prefix"), _BELOW)
-            .when(high > F.col("prefix"), _ABOVE)
-            .otherwise(digit)
+    while low < high:
+        width = (high - low) // _BUCKETS + 1
+        bucket = F.expr(f"(v - {low}L) div {width}L").alias("bucket")
+        sizes = (
+            values_.filter(F.col("v").between(low, high))
+            .groupBy(bucket)
+            .agg(F.count(F.lit(1)).alias("n"))
+            .collect()
         )
-        named = known.select(bucket.cast("bigint").alias("bucket"), "prefix")
-    sizes = named.groupBy("bucket", "prefix").agg(F.count(F.lit(1)).alias("n"))
-    folded = sizes.agg(
-        F.array_sort(F.collect_list(F.struct("bucket", "n"))).alias("sizes"),
-        F.sum("n").alias("total"),
-        F.max("prefix").alias("prefix"),
-    )
-    rank = F.greatest(F.floor(F.col("total") * F.lit(0.95)), F.lit(1))
-    start = F.struct(F.lit(0).cast("bigint").alias("seen"), F.lit(None).cast("bigint").alias("bucket"))
-
-    def step(acc: Column, size: Column) -> Column:
-        seen = acc["seen"] + size["n"]
-        reached = acc["bucket"].isNull() & (seen >= rank)
-        return F.struct(
-            seen.alias("seen"), F.when(reached, size["bucket"]).otherwise(acc["bucket"]).alias("bucket")
-        )
-
-    found = F.aggregate("sizes", start, step)["bucket"]
-    if prefix is None:
-        return folded.select((found - _DIGIT // 2).alias("prefix"))
-    return folded.select((F.col("prefix") * _DIGIT + found).alias("prefix"))
+        for size in sorted(sizes):
+            if rank <= size["n"]:
+                low, high = low + size["bucket"] * width, min(high, low + (size["bucket"] + 1) * width - 1)
+                break
+            rank -= size["n"]
+    return low
 
 
 def resolve_p95(jobs: DataFrame) -> DataFrame:
     """Exact p95 of the resolve time in ms over finished jobs; 0.0 without any.
 
     The value is the one at position ``max(int(n * 0.95), 1)`` of the sorted durations,
-    not an interpolation. It is found digit by digit (four digits of 16 bits of the
-    duration in microseconds): each level is one partial-aggregated count per digit, so
-    no task ever sorts or holds all durations, however they are distributed.
+    not an interpolation. Durations count in microseconds.
     """
     durations = jobs.filter(
         (F.col("state") == "done")
         & F.col("finished_at").isNotNull()
         & F.col("started_at").isNotNull()
-    ).select(F.timestamp_diff("MICROSECOND", "started_at", "finished_at").alias("us"))
-    prefix = None
-    for shift in (48, 32, 16, 0):
-        found = _digit_of_rank(durations, prefix, shift)
-        prefix = found.scalar()
-    return found.select(
-        F.coalesce(F.col("prefix") / F.lit(1000.0), F.lit(0.0)).alias("resolve_p95_ms")
+    ).select(F.timestamp_diff("MICROSECOND", "started_at", "finished_at").alias("v"))
+    known = durations.agg(
+        F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high")
+    ).first()
+    micros = (
+        value_at_rank(durations, max(int(known["n"] * 0.95), 1), known["low"], known["high"])
+        if known["n"]
+        else 0
     )
+    return jobs.sparkSession.range(1).select(F.lit(micros / 1000.0).alias("resolve_p95_ms"))
 
 
 def admin_metrics(
@@ -174,7 +154,7 @@ def admin_metrics(
             "queue_depth"
         ),
         F.map_from_entries(
-            F.array_sort(
+            F.sort_array(
                 F.collect_list(
                     F.struct(F.coalesce("state", F.lit("null")).alias("state"), "n")
                 )
@@ -182,7 +162,7 @@ def admin_metrics(
         ).alias("jobs_by_state"),
     )
     by_error = error_taxonomy(jobs).agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("error_class", "n")))).alias(
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("error_class", "n")))).alias(
             "error_taxonomy"
         )
     )

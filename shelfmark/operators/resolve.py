@@ -54,12 +54,15 @@ def sample_fields(
     """
     if row_cap is not None:
         rows = rows.filter(F.col("row_idx") < row_cap)
-    outer = F.from_json("row_json", _MAP)
-    wrapped = F.map_contains_key(outer, "row")
+    parsed = rows.select(*by, "row_idx", "row_json", F.from_json("row_json", _MAP).alias("outer"))
     inner = F.from_json(F.get_json_object("row_json", "$.row"), _MAP)
-    fields = rows.select(
+    fields = parsed.select(
         *by, "row_idx",
-        F.posexplode(F.map_entries(F.when(wrapped, inner).otherwise(outer))).alias("pos", "field"),
+        F.posexplode(
+            F.map_entries(
+                F.when(F.map_contains_key("outer", "row"), inner).otherwise(F.col("outer"))
+            )
+        ).alias("pos", "field"),
     )
     return fields.select(
         *by, "row_idx", "pos",
@@ -75,37 +78,39 @@ def infer_schema(
     The first value of a field decides its dtype, an explicit null makes it nullable, the
     first three values are its examples; ``pos`` is the order in which fields first appear.
 
-    A dataset may hold a large share of all rows. Types and positions are kept as
-    fixed-width values in a hash aggregation that combines before the shuffle, and every
-    map task sends at most three examples per field.
+    A dataset may hold a large share of all rows. The limit of three values per field is
+    applied in every map task before the shuffle, so what meets in one task is three rows
+    per field and map task. Nullability is looked for only in rows that contain the text
+    ``null``, and is reduced to distinct field names before the shuffle as well.
     """
-    fields = sample_fields(rows, row_cap, by)
-    typed = fields.select(
-        *by, "name", "row_idx", "pos", _dtype_code(F.col("value")).alias("code")
+    first = Window.partitionBy(*by, "name").orderBy("row_idx")
+    kept = (
+        sample_fields(rows, row_cap, by)
+        .withColumn("rn", F.row_number().over(first))
+        .filter(F.col("rn") <= EXAMPLES)
+        .withColumns({"code": _dtype_code(F.col("value")), "example": _example_text(F.col("value"))})
     )
-    shape = typed.groupBy(*by, "name").agg(
+    shape = kept.groupBy(*by, "name").agg(
         F.min("row_idx").alias("first_row"),
         F.min_by("pos", "row_idx").alias("first_pos"),
         F.min_by("code", "row_idx").alias("code"),
-        F.bool_or(F.col("code") == 0).alias("nullable"),
+        F.sort_array(F.collect_list(F.struct("rn", "example"))).alias("kept"),
     )
-    first = Window.partitionBy(*by, "name").orderBy("row_idx")
-    examples = (
-        fields.select(*by, "name", "row_idx", "value")
-        .withColumn("rn", F.row_number().over(first))
-        .filter(F.col("rn") <= EXAMPLES)
-        .withColumn("example", _example_text(F.col("value")))
-        .groupBy(*by, "name")
-        .agg(F.array_sort(F.collect_list(F.struct("rn", "example"))).alias("kept"))
+    nullable = (
+        sample_fields(rows.filter(F.contains("row_json", F.lit("null"))), row_cap, by)
+        .filter(F.col("value").isNull() | F.is_variant_null("value"))
+        .select(*by, "name")
+        .distinct()
+        .withColumn("nullable", F.lit(True))
     )
     names = F.array(*[F.lit(n) for n in DTYPES])
     order = Window.partitionBy(*by).orderBy("first_row", "first_pos")
-    return shape.join(examples, [*by, "name"]).select(
+    return shape.join(nullable, [*by, "name"], "left").select(
         *by,
         (F.row_number().over(order) - 1).alias("pos"),
         "name",
         F.get(names, F.col("code")).alias("dtype"),
-        "nullable",
+        F.coalesce("nullable", F.lit(False)).alias("nullable"),
         F.transform("kept", lambda e: e["example"]).alias("examples"),
     )
 
@@ -189,7 +194,7 @@ def features_from_rows(
         F.lit(',"examples":['), F.array_join("examples", ","), F.lit("]}"),
     )
     packed = fields.groupBy(*by).agg(
-        F.array_sort(F.collect_list(F.struct("pos", item.alias("item")))).alias("items")
+        F.sort_array(F.collect_list(F.struct("pos", item.alias("item")))).alias("items")
     )
     body = F.array_join(F.transform("items", lambda i: i["item"]), ",")
     return packed.select(*by, F.concat(F.lit("["), body, F.lit("]")).alias("features"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.functions import text
@@ -10,6 +12,7 @@ from shelfmark.functions import text
 # Up to this many distinct tokens are tested in one pass over the documents.
 INLINE_TOKENS = 256
 _SALTS = 32
+_POSTINGS = "term string, dataset_id string, tf int, dl int"
 _K1, _B = 1.2, 0.75  # the usual BM25 parameters
 
 
@@ -96,8 +99,16 @@ def like_join(docs: DataFrame, tokens: DataFrame) -> DataFrame:
     return like_join_inline(docs, sorted(r["token"] for r in head))
 
 
-def build_inverted_index(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(postings, doc_stats)`` of BM25.
+class Index(NamedTuple):
+    """A BM25 index: postings, document lengths and, if stored, its number of buckets."""
+
+    postings: DataFrame
+    doc_stats: DataFrame
+    buckets: int | None = None
+
+
+def build_inverted_index(docs: DataFrame) -> Index:
+    """The postings and document lengths of BM25.
 
     ``postings(term, dataset_id, tf, dl)`` carry the document length, so scoring needs no
     second join. A document's terms are sorted inside its row and run lengths give the
@@ -123,7 +134,11 @@ def build_inverted_index(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     postings = runs.select("dataset_id", "dl", F.explode(counted).alias("p")).select(
         "p.term", "dataset_id", "p.tf", "dl"
     )
-    return postings, sized.select("dataset_id", "dl")
+    return Index(postings, sized.select("dataset_id", "dl"))
+
+
+def _bucket_of(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
 def write_inverted_index(docs: DataFrame, path: str, buckets: int = 256) -> None:
@@ -132,10 +147,9 @@ def write_inverted_index(docs: DataFrame, path: str, buckets: int = 256) -> None
     Postings are laid out by a hash of the term; a bucket that holds hot terms is spread
     over several files by document.
     """
-    postings, doc_stats = build_inverted_index(docs)
-    bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
+    postings, doc_stats, _ = build_inverted_index(docs)
     (
-        postings.withColumn("bucket", bucket)
+        postings.withColumn("bucket", _bucket_of(F.col("term"), buckets))
         .withColumn("part", F.pmod(F.hash("dataset_id"), F.lit(8)))
         .repartition("bucket", "part")
         .drop("part")
@@ -145,9 +159,36 @@ def write_inverted_index(docs: DataFrame, path: str, buckets: int = 256) -> None
     doc_stats.write.mode("errorifexists").parquet(f"{path}/doc_stats")
 
 
-def postings_join(postings: DataFrame, terms: DataFrame) -> DataFrame:
-    """Postings of the given terms, with every other column of ``terms``."""
-    return salted_join(postings, terms, "term", "dataset_id")
+def read_inverted_index(spark: SparkSession, path: str, buckets: int = 256) -> Index:
+    """A stored index; ``buckets`` is the number it was written with."""
+    return Index(
+        spark.read.schema(f"{_POSTINGS}, bucket int").parquet(f"{path}/postings"),
+        spark.read.schema("dataset_id string, dl int").parquet(f"{path}/doc_stats"),
+        buckets,
+    )
+
+
+def postings_of(index: Index, terms: list[str]) -> DataFrame:
+    """Postings of a few terms; of a stored index only their folders are read."""
+    found = index.postings.filter(F.col("term").isin(terms))
+    if index.buckets:
+        folders = [_bucket_of(F.lit(t), index.buckets) for t in terms]
+        found = found.filter(F.col("bucket").isin(folders))
+    return found
+
+
+def postings_join(index: Index, terms: DataFrame) -> DataFrame:
+    """Postings of the given terms, with every other column of ``terms``.
+
+    Postings of a stored index are cut down to the folders the terms are in.
+    """
+    postings = index.postings
+    if index.buckets:
+        folders = terms.select(_bucket_of(F.col("term"), index.buckets).alias("bucket"))
+        postings = postings.join(folders.distinct(), "bucket", "left_semi")
+    return salted_join(
+        postings.select("term", "dataset_id", "tf", "dl"), terms, "term", "dataset_id"
+    )
 
 
 def term_frequencies(postings: DataFrame) -> DataFrame:
@@ -161,27 +202,27 @@ def bm25_part(tf: Column, df: Column, dl: Column, docs: Column, avgdl: Column) -
     return idf * tf * (_K1 + 1) / (tf + _K1 * (1 - _B + _B * dl / avgdl))
 
 
-def bm25_scores(
-    postings: DataFrame, doc_stats: DataFrame, query_terms: DataFrame
-) -> DataFrame:
+def corpus_totals(index: Index) -> Column:
+    """``struct(docs, avgdl)`` of the whole corpus, as a scalar subquery."""
+    return index.doc_stats.agg(
+        F.struct(F.count(F.lit(1)).alias("docs"), F.avg("dl").alias("avgdl")).alias("totals")
+    ).scalar()
+
+
+def bm25_scores(index: Index, query_terms: DataFrame) -> DataFrame:
     """``(query_id, id, score)`` for ``query_terms(query_id, term)`` without repeats.
 
     Scores are rounded to 6 places before anything is ranked by them, so the order in
     which shares were added cannot change a ranking.
     """
     wanted = query_terms.select("term").distinct()
-    weighted = query_terms.join(
-        term_frequencies(postings.join(wanted, "term", "left_semi")), "term"
-    )
-    totals = doc_stats.agg(
-        F.struct(F.count(F.lit(1)).alias("docs"), F.avg("dl").alias("avgdl")).alias("totals")
-    ).scalar()
+    weighted = query_terms.join(term_frequencies(postings_join(index, wanted)), "term")
     share = bm25_part(
         F.col("tf"), F.col("df"), F.col("dl"), F.col("totals.docs"), F.col("totals.avgdl")
     )
     return (
-        postings_join(postings, weighted)
-        .withColumn("totals", totals)
+        postings_join(index, weighted)
+        .withColumn("totals", corpus_totals(index))
         .groupBy("query_id", F.col("dataset_id").alias("id"))
         .agg(F.round(F.sum(share), 6).alias("score"))
     )

@@ -38,13 +38,9 @@ def all_queries() -> dict[str, Query]:
     return dict(_REGISTRY)
 
 
-def _docs(spark, sf):
-    return search_ops.build_search_docs(tables.datasets(spark, sf))
-
-
 def _hits(spark, sf):
     """All hits of the fixed query, as ``(id, score)``."""
-    docs = _docs(spark, sf)
+    docs = tables.docs(spark, sf)
     score = text.match_score(F.col("content"), QUERY.split())
     return docs.select(F.col("dataset_id").alias("id"), score.alias("score")).filter("score > 0")
 
@@ -229,7 +225,7 @@ def size_label(spark, sf):
 @query
 def join_search_catalog(spark, sf):
     d = tables.datasets(spark, sf)
-    joined = joins.join_docs(search_ops.build_search_docs(d), d)
+    joined = joins.join_docs(tables.docs(spark, sf), d)
     return joined.select("id", "title", F.length("content").alias("content_chars"))
 
 
@@ -259,15 +255,14 @@ def signal_score_join(spark, sf):
 
 @query
 def fts_join(spark, sf):
-    postings, _ = search_ops.build_inverted_index(_docs(spark, sf))
     terms = tables.queries(spark).transform(search_ops.query_terms)
-    return search_ops.postings_join(postings, terms).select("query_id", "term", "dataset_id", "tf")
+    return search_ops.postings_join(tables.index(spark, sf), terms).select("query_id", "term", "dataset_id", "tf")
 
 
 @query
 def like_match_join(spark, sf):
     words = search_ops.query_words(tables.queries(spark))
-    return search_ops.like_join(_docs(spark, sf), words)
+    return search_ops.like_join(tables.docs(spark, sf), words)
 
 
 @query
@@ -391,7 +386,7 @@ def rank_hits(spark, sf):
 def rank_hits_batch(spark, sf):
     queries = tables.queries(spark)
     words = search_ops.query_words(queries)
-    scored = search.like_scores(_docs(spark, sf), words, words)
+    scored = search.like_scores(tables.docs(spark, sf), words)
     hits = scored.join(queries.select("query_id", "limit", "offset"), "query_id")
     return ordering.rank_hits_batch(hits).select("query_id", "id", "score", "rn")
 
@@ -566,7 +561,7 @@ def access_class(spark, sf):
 
 @query
 def build_search_docs(spark, sf):
-    docs = _docs(spark, sf)
+    docs = search_ops.build_search_docs(tables.datasets(spark, sf))
     return docs.select("dataset_id", F.md5("content").alias("content_md5"))
 
 
@@ -578,7 +573,7 @@ def _hit_columns(hits: DataFrame) -> DataFrame:
 def search_like(spark, sf):
     d = tables.datasets(spark, sf)
     hits, total = search.search_like(
-        search_ops.build_search_docs(d), d, tables.artifacts(spark, sf), QUERY
+        tables.docs(spark, sf), d, tables.artifacts(spark, sf), QUERY
     )
     return _hit_columns(hits).withColumn("total", total.scalar())
 
@@ -586,9 +581,8 @@ def search_like(spark, sf):
 @query
 def search_bm25(spark, sf):
     d = tables.datasets(spark, sf)
-    index = search_ops.build_inverted_index(search_ops.build_search_docs(d))
     hits, total = search.search_bm25(
-        index, d, tables.artifacts(spark, sf), QUERY, {"modality": "image"}, limit=20, offset=3
+        tables.index(spark, sf), d, tables.artifacts(spark, sf), QUERY, {"modality": "image"}, limit=20, offset=3
     )
     return _hit_columns(hits).withColumn("total", total.scalar())
 
@@ -597,7 +591,7 @@ def search_bm25(spark, sf):
 def search_batch(spark, sf):
     d = tables.datasets(spark, sf)
     found = search.search_batch(
-        search_ops.build_search_docs(d), d, tables.artifacts(spark, sf), tables.queries(spark)
+        tables.docs(spark, sf), d, tables.artifacts(spark, sf), tables.queries(spark)
     )
     return _json_lists(found)
 
@@ -605,9 +599,8 @@ def search_batch(spark, sf):
 @query
 def search_with_fallback(spark, sf):
     d = tables.datasets(spark, sf)
-    docs = search_ops.build_search_docs(d)
     found = search.search_with_fallback(
-        search_ops.build_inverted_index(docs), docs, d, tables.artifacts(spark, sf),
+        tables.index(spark, sf), tables.docs(spark, sf), d, tables.artifacts(spark, sf),
         tables.queries(spark),
     )
     return _json_lists(found)
@@ -616,7 +609,7 @@ def search_with_fallback(spark, sf):
 @query
 def build_inverted_index(spark, sf):
     path = shared_dir(spark, "index")
-    search_ops.write_inverted_index(_docs(spark, sf), path, buckets=16)
+    search_ops.write_inverted_index(tables.docs(spark, sf), path, buckets=16)
     return spark.read.parquet(f"{path}/postings").select("term", "dataset_id", "tf", "dl")
 
 

@@ -15,6 +15,7 @@ from shelfmark.functions import text
 from shelfmark.operators import filters as flt
 from shelfmark.operators import joins, ordering
 from shelfmark.operators import search as ops
+from shelfmark.session import materialize
 
 MAX_PAGE = 100  # fixed value: the largest page a request may ask for
 
@@ -30,15 +31,15 @@ def _wide_page(
 ) -> DataFrame:
     """The page of ``scored(id, score)`` with every field of a hit.
 
-    The page has at most 100 rows, which bounds what is broadcast here.
+    The page has at most 100 rows. Its ids become a literal filter, so the wide catalog
+    is read by a pushed-down id filter instead of being joined.
     """
-    page = ordering.rank_hits(scored, limit, offset)
-    fresh = (
-        flt.fresh_artifacts(artifacts)
-        .join(F.broadcast(page.select(F.col("id").alias("dataset_id"))), "dataset_id")
-        .select("dataset_id", "kind", "stale")
-    )
-    found = datasets.join(F.broadcast(page), "id")
+    spark = scored.sparkSession
+    page = ordering.rank_hits(scored, limit, offset).collect()  # at most MAX_PAGE rows
+    ids = [row["id"] for row in page]
+    ranked = spark.createDataFrame(page, scored.schema)
+    fresh = flt.fresh_artifacts(artifacts).filter(F.col("dataset_id").isin(ids))
+    found = datasets.filter(F.col("id").isin(ids)).join(F.broadcast(ranked), "id")
     asked = F.array(*[F.lit(t) for t in tokens])
     hits = joins.with_schema_flag(found, fresh).withColumn(
         "why", text.why_tokens(asked, text.search_content(found))
@@ -52,8 +53,9 @@ def _nothing(docs: DataFrame, datasets: DataFrame, artifacts: DataFrame):
 
 
 def _finish(scored, datasets, artifacts, tokens, filters, limit, offset):
+    """Page and total of one search; the matching itself runs once, for both."""
     eligible = flt.by_search_filters(datasets, filters).select("id")
-    scored = scored.join(eligible, "id", "left_semi")
+    scored = materialize(scored.join(eligible, "id", "left_semi"), "scored")
     hits = _wide_page(scored, datasets, artifacts, tokens, limit, offset)
     return hits, scored.agg(F.count(F.lit(1)).alias("total"))
 
@@ -80,39 +82,32 @@ def search_like(
 
 
 def search_bm25(
-    index: tuple[DataFrame, DataFrame], datasets: DataFrame, artifacts: DataFrame, query: str,
+    index: ops.Index, datasets: DataFrame, artifacts: DataFrame, query: str,
     filters: dict[str, str | None] | None = None, limit: int = 30, offset: int = 0,
 ) -> tuple[DataFrame, DataFrame]:
     """Ranked full-text search: ``(hits, total)``. Documents share a term with the query."""
     _check_page(limit, offset)
-    postings, doc_stats = index
     terms = list(dict.fromkeys(re.findall(r"[^\W_]+", query.lower())))
     tokens = query.lower().split()
     if not terms:
-        return _nothing(doc_stats, datasets, artifacts)
-    wanted = postings.filter(F.col("term").isin(terms))
+        return _nothing(index.doc_stats, datasets, artifacts)
+    wanted = ops.postings_of(index, terms)
     frequencies = ops.term_frequencies(wanted)  # one row per term of the query
-    totals = doc_stats.agg(
-        F.struct(F.count(F.lit(1)).alias("docs"), F.avg("dl").alias("avgdl")).alias("totals")
-    ).scalar()
     share = ops.bm25_part(
         F.col("tf"), F.col("df"), F.col("dl"), F.col("totals.docs"), F.col("totals.avgdl")
     )
     scored = (
         wanted.join(F.broadcast(frequencies), "term")
-        .withColumn("totals", totals)
+        .withColumn("totals", ops.corpus_totals(index))
         .groupBy(F.col("dataset_id").alias("id"))
         .agg(F.round(F.sum(share), 6).alias("score"))
     )
     return _finish(scored, datasets, artifacts, tokens, filters, limit, offset)
 
 
-def like_scores(docs: DataFrame, words: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """``(query_id, id, score)`` of a substring search for ``words`` of many queries.
-
-    ``vocabulary(token)`` covers the words; it decides how documents are matched.
-    """
-    pairs = ops.like_join(docs, vocabulary)
+def like_scores(docs: DataFrame, words: DataFrame) -> DataFrame:
+    """``(query_id, id, score)`` of a substring search for ``words`` of many queries."""
+    pairs = ops.like_join(docs, words)
     return (
         ops.salted_join(pairs, words, "token", "dataset_id")
         .groupBy("query_id", F.col("dataset_id").alias("id"))
@@ -144,10 +139,11 @@ def _eligible_batch(scored: DataFrame, queries: DataFrame, datasets: DataFrame)
     return rows.select("query_id", "id", "score", "limit", "offset")
 
 
-def _finish_batch(
-    scored: DataFrame, queries: DataFrame, datasets: DataFrame, artifacts: DataFrame
+def _pages(
+    eligible: DataFrame, queries: DataFrame, datasets: DataFrame, artifacts: DataFrame
 ) -> DataFrame:
-    eligible = _eligible_batch(scored, queries, datasets)
+    """Page and total of every query; the matching itself runs once, for both."""
+    eligible = materialize(eligible, "eligible")
     totals = eligible.groupBy("query_id").agg(F.count(F.lit(1)).alias("total"))
     page = ordering.rank_hits_batch(eligible).select("query_id", "id", "score", "rn")
     tokens = queries.select("query_id", text.query_tokens(F.col("query")).alias("tokens"))
@@ -170,18 +166,19 @@ def search_batch(
     limit, offset``. The result holds the page of each query with its ``total``.
     """
     words = ops.query_words(queries)
-    return _finish_batch(like_scores(docs, words, words), queries, datasets, artifacts)
+    eligible = _eligible_batch(like_scores(docs, words), queries, datasets)
+    return _pages(eligible, queries, datasets, artifacts)
 
 
 def search_with_fallback(
-    index: tuple[DataFrame, DataFrame], docs: DataFrame, datasets: DataFrame,
+    index: ops.Index, docs: DataFrame, datasets: DataFrame,
     artifacts: DataFrame, queries: DataFrame,
 ) -> DataFrame:
     """BM25 for every query; those without any BM25 hit use the substring search."""
-    ranked = ops.bm25_scores(*index, ops.query_terms(queries))
-    answered = _eligible_batch(ranked, queries, datasets).select("query_id").distinct()
-    words = ops.query_words(queries)
-    left = words.join(answered, "query_id", "left_anti")
-    matched = like_scores(docs, left, words)
-    scored = ranked.unionByName(matched.withColumn("score", F.col("score").cast("double")))
-    return _finish_batch(scored, queries, datasets, artifacts)
+    ranked = ops.bm25_scores(index, ops.query_terms(queries))
+    answered = materialize(_eligible_batch(ranked, queries, datasets), "answered")
+    left = queries.join(answered.select("query_id").distinct(), "query_id", "left_anti")
+    words = ops.query_words(left)
+    matched = _eligible_batch(like_scores(docs, words), left, datasets)
+    eligible = answered.unionByName(matched.withColumn("score", F.col("score").cast("double")))
+    return _pages(eligible, queries, datasets, artifacts)

@@ -1,21 +1,47 @@
 """The catalog tables the registered queries run on, derived from the given tables.
 
 Every rule here has a twin in SQL (``oracles.py``); both cover all rows of their source.
+Each table is derived from all rows and whole texts once per session and kept as Parquet in
+the shared folder, as a catalog keeps its tables.
 """
 
 from __future__ import annotations
 
+import threading
+import zlib
+from collections.abc import Callable
 from datetime import datetime
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfmark.functions import text, values
-from shelfmark.schemas import ARTIFACTS, DATASETS, JOBS, SIGNALS, SIZE_CLASSES
+from shelfmark.operators import search
+from shelfmark.schemas import (
+    ARTIFACTS, DATASETS, JOBS, LISTING, SEARCH_DOCS, SIGNALS, SIZE_CLASSES,
+)
+from shelfmark.session import shared_base
+from shelfmark.sources import snapshots
 from shelfmark.sources.conform import conform
 
 AS_OF = datetime(2024, 1, 31)
 CURSOR = (datetime(2024, 1, 21), "ds/5")  # where the last listing run ended
+INDEX_BUCKETS = 16
+
+REQUESTS = T.StructType(
+    [T.StructField(n, T.StringType()) for n in ("request_id", "dataset_id", "kind")]
+    + [T.StructField(n, T.IntegerType()) for n in ("budget_ms", "row_cap")]
+)
+SAMPLE_ROWS = T.StructType(
+    [
+        T.StructField("dataset_id", T.StringType()),
+        T.StructField("row_idx", T.LongType()),
+        T.StructField("row_json", T.StringType()),
+    ]
+)
+BATCH = T.StructType([*DATASETS.fields, T.StructField("batch_pos", T.LongType())])
 
 
 def read(spark: SparkSession, sf_dir: str, name: str, key: str | None = None) -> DataFrame:
@@ -48,6 +74,48 @@ def _hours_before(n: Column) -> Column:
     return values.at(AS_OF) - F.make_dt_interval(hours=n.cast("int"))
 
 
+_BUILDING = threading.RLock()
+
+
+def _home(spark: SparkSession, sf_dir: str) -> str:
+    place = f"{spark.sparkContext.applicationId}-{zlib.crc32(sf_dir.encode()):08x}"
+    return f"{shared_base(spark)}/catalog-{place}"
+
+
+def stored(schema: T.StructType):
+    """Marks a derived table; the first query of a session that needs it writes it."""
+    def wrap(derive: Callable[[SparkSession, str], DataFrame]):
+        @wraps(derive)
+        def table(spark: SparkSession, sf_dir: str) -> DataFrame:
+            path = f"{_home(spark, sf_dir)}/{derive.__name__}"
+            with _BUILDING:
+                if snapshots.latest_version(spark, path) is None:
+                    rows = conform(derive(spark, sf_dir), schema)
+                    snapshots.write_snapshot(rows, path, version=1)
+            return snapshots.read_snapshot(spark, path, schema, version=1)
+
+        return table
+
+    return wrap
+
+
+@stored(SEARCH_DOCS)
+def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search documents of the datasets."""
+    return search.build_search_docs(datasets(spark, sf_dir))
+
+
+def index(spark: SparkSession, sf_dir: str) -> search.Index:
+    """The stored BM25 index of the search documents."""
+    path = f"{_home(spark, sf_dir)}/index"
+    with _BUILDING:
+        if snapshots.latest_version(spark, f"{path}/done") is None:
+            search.write_inverted_index(docs(spark, sf_dir), path, INDEX_BUCKETS)
+            snapshots.write_snapshot(spark.range(1), f"{path}/done", version=1)
+    return search.read_inverted_index(spark, path, INDEX_BUCKETS)
+
+
+@stored(DATASETS)
 def datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read(spark, sf_dir, "documents", "doc_id")
     n, chars = F.col("doc_id"), F.col("n_chars")
@@ -64,39 +132,37 @@ def datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
     quality = F.concat(
         F.lit('{"downloads":'), downloads, F.lit(',"likes":'), (n % 50).cast("string"), F.lit("}")
     )
-    tokens = text.token_count(F.col("text"))
-    local_id, sha = n.cast("string"), F.sha2("text", 256)
+    d = d.withColumns({"tokens": text.token_count(F.col("text")), "sha": F.sha2("text", 256)})
+    tokens, sha, local_id = F.col("tokens"), F.col("sha"), n.cast("string")
     license_class = _choose("doc_id", "mit", "apache-2.0", "cc-by-4.0", "proprietary", None)
-    return conform(
-        d.select(
-            F.concat(F.lit("ds/"), local_id).alias("id"),
-            "source",
-            local_id.alias("ns_local_id"),
-            F.when(~_every("doc_id", 13), F.split_part("text", F.lit("\n"), F.lit(1))).alias("title"),
-            F.nullif(F.split_part("text", F.lit("\n"), F.lit(2)), F.lit("")).alias("description"),
-            F.col("text").alias("readme_text"),
-            F.array("source", F.concat(F.lit("lang:"), "lang")).alias("tags"),
-            F.when(_every("doc_id", 17), None)
-            .when(_every("doc_id", 3), F.array(F.lit("image"), F.lit("text")))
-            .otherwise(F.array(F.lit("text"))).alias("modalities"),
-            license_class.alias("license_class"),
-            F.when(_every("doc_id", 7), "private").otherwise("public").alias("access_class"),
-            size.alias("size_class"),
-            F.array("lang").alias("languages"),
-            lm.alias("last_seen_lm"),
-            sha.alias("readme_sha256"),
-            text.fingerprint(
-                F.col("source"), local_id, sha, values.iso_format(lm), size, license_class
-            ).alias("fingerprint"),
-            _hours_before(n % 72).alias("indexed_at"),
-            tokens.alias("readme_tokens"),
-            text.score_log(tokens).alias("readme_score"),
-            quality.alias("quality_signals"),
-        ),
-        DATASETS,
+    return d.select(
+        F.concat(F.lit("ds/"), local_id).alias("id"),
+        "source",
+        local_id.alias("ns_local_id"),
+        F.when(~_every("doc_id", 13), F.split_part("text", F.lit("\n"), F.lit(1))).alias("title"),
+        F.nullif(F.split_part("text", F.lit("\n"), F.lit(2)), F.lit("")).alias("description"),
+        F.col("text").alias("readme_text"),
+        F.array("source", F.concat(F.lit("lang:"), "lang")).alias("tags"),
+        F.when(_every("doc_id", 17), None)
+        .when(_every("doc_id", 3), F.array(F.lit("image"), F.lit("text")))
+        .otherwise(F.array(F.lit("text"))).alias("modalities"),
+        license_class.alias("license_class"),
+        F.when(_every("doc_id", 7), "private").otherwise("public").alias("access_class"),
+        size.alias("size_class"),
+        F.array("lang").alias("languages"),
+        lm.alias("last_seen_lm"),
+        sha.alias("readme_sha256"),
+        text.fingerprint(
+            F.col("source"), local_id, sha, values.iso_format(lm), size, license_class
+        ).alias("fingerprint"),
+        _hours_before(n % 72).alias("indexed_at"),
+        tokens.alias("readme_tokens"),
+        text.score_log(tokens).alias("readme_score"),
+        quality.alias("quality_signals"),
     )
 
 
+@stored(ARTIFACTS)
 def artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A schema per label, stale where toxic (unset for some), and snips for low quality."""
     labels = read(spark, sf_dir, "labels")
@@ -105,24 +171,22 @@ def artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = F.when(F.col("quality") == 0, F.array(F.lit("schema"), F.lit("snips"))).otherwise(
         F.array(F.lit("schema"))
     )
-    return conform(
-        labels.select(
-            dataset_id.alias("dataset_id"), F.explode(kinds).alias("kind"), "doc_id", "toxic"
-        ).select(
-            "dataset_id", "kind",
-            F.when(
-                ~_every("doc_id", 5),
-                F.concat(F.lit('{"dataset_id":"'), "dataset_id", F.lit('","kind":"'), "kind", F.lit('"}')),
-            ).alias("payload"),
-            _hours_before(n % 30 * 24).alias("created_at"),
-            F.when(~_every("doc_id", 19), F.col("toxic") == 1).alias("stale"),
-        ),
-        ARTIFACTS,
+    return labels.select(
+        dataset_id.alias("dataset_id"), F.explode(kinds).alias("kind"), "doc_id", "toxic"
+    ).select(
+        "dataset_id", "kind",
+        F.when(
+            ~_every("doc_id", 5),
+            F.concat(F.lit('{"dataset_id":"'), "dataset_id", F.lit('","kind":"'), "kind", F.lit('"}')),
+        ).alias("payload"),
+        _hours_before(n % 30 * 24).alias("created_at"),
+        F.when(~_every("doc_id", 19), F.col("toxic") == 1).alias("stale"),
     )
 
 
+@stored(JOBS)
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = read(spark, sf_dir, "events", "event_id")
+    e = read(spark, sf_dir, "events")
     kind, n = F.col("event_type"), F.col("event_id")
     state = (
         F.when(kind.isin("purchase", "signup"), "done").when(kind == "error", "error")
@@ -131,33 +195,31 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     started = F.when(state != "queued", F.timestamp_add("SECOND", F.lit(1), F.col("ts")))
     took = F.round(F.col("value") * 100000).cast("bigint")
     is_error = state == "error"
-    return conform(
-        e.select(
-            F.concat(F.lit("job-"), n.cast("string")).alias("id"),
-            F.concat(F.lit("ds/"), F.col("user_id").cast("string")).alias("dataset_id"),
-            _choose("event_id", "schema", "schema", "schema", "snips").alias("kind"),
-            state.alias("state"),
-            (n % 4).cast("int").alias("attempts"),
-            F.when(
-                is_error,
-                _choose("event_id", "timeout", "rate_limited", "network", "parse_error", "unknown"),
-            ).alias("error_class"),
-            F.when(is_error, F.col("props")).alias("error_detail"),
-            F.lit(1500).alias("budget_ms"),
-            F.lit(200).alias("row_cap"),
-            F.col("ts").alias("enqueued_at"),
-            started.alias("started_at"),
-            F.when(
-                state.isin("done", "error"), F.timestamp_add("MICROSECOND", took, started)
-            ).alias("finished_at"),
-        ),
-        JOBS,
+    return e.select(
+        F.concat(F.lit("job-"), n.cast("string")).alias("id"),
+        F.concat(F.lit("ds/"), F.col("user_id").cast("string")).alias("dataset_id"),
+        _choose("event_id", "schema", "schema", "schema", "snips").alias("kind"),
+        state.alias("state"),
+        (n % 4).cast("int").alias("attempts"),
+        F.when(
+            is_error,
+            _choose("event_id", "timeout", "rate_limited", "network", "parse_error", "unknown"),
+        ).alias("error_class"),
+        F.when(is_error, F.col("props")).alias("error_detail"),
+        F.lit(1500).alias("budget_ms"),
+        F.lit(200).alias("row_cap"),
+        F.col("ts").alias("enqueued_at"),
+        started.alias("started_at"),
+        F.when(
+            state.isin("done", "error"), F.timestamp_add("MICROSECOND", took, started)
+        ).alias("finished_at"),
     )
 
 
+@stored(SIGNALS)
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "events")
-    return conform(signal_columns(e.filter(F.col("event_type").isin("view", "click"))), SIGNALS)
+    return signal_columns(e.filter(F.col("event_type").isin("view", "click")))
 
 
 def signal_columns(e: DataFrame) -> DataFrame:
@@ -174,6 +236,7 @@ def signal_columns(e: DataFrame) -> DataFrame:
     )
 
 
+@stored(LISTING)
 def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A catalog listing: all documents and, as entries never seen before, all pages."""
     d, p = read(spark, sf_dir, "documents", "doc_id"), read(spark, sf_dir, "pages")
@@ -216,6 +279,7 @@ def stored_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return datasets(spark, sf_dir).withColumn("fingerprint", F.when(known, F.col("fingerprint")))
 
 
+@stored(BATCH)
 def new_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A batch against the stored catalog: every labelled document again (changed where
     the quality is 1, without fingerprint where toxic, toxic ones twice) and every page."""
@@ -244,6 +308,7 @@ def new_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.unionByName(pages, allowMissingColumns=True)
 
 
+@stored(REQUESTS)
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A resolve request per event; datasets beyond the catalog do not exist."""
     n = F.col("event_id")
@@ -256,6 +321,7 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@stored(SAMPLE_ROWS)
 def sample_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sample rows of five datasets (the event types), one per event."""
     n = F.col("event_id").cast("string")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", app: str = "shelfmark") -> SparkSession:
@@ -15,6 +15,7 @@ def local_session(cores: int | str = "*", app: str = "shelfmark") -> SparkSessio
         .appName(app)
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.shuffle.partitions", "8")
@@ -22,8 +23,8 @@ def local_session(cores: int | str = "*", app: str = "shelfmark") -> SparkSessio
     )
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below the one ``spark.checkpoint.dir`` names.
+def shared_base(spark: SparkSession) -> str:
+    """The folder ``spark.checkpoint.dir`` names.
 
     Where it is unset a temporary folder serves a local session; a cluster must set it,
     as its executors do not share a machine.
@@ -34,4 +35,19 @@ def shared_dir(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         base = tempfile.mkdtemp(prefix="shelfmark-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """A new folder name below the shared one."""
+    return f"{shared_base(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Compute a frame once, as a table in the shared folder, and read it from there.
+
+    Later uses cost a scan of the result, and losing executors costs no recomputation.
+    """
+    path = shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
