@@ -12,6 +12,7 @@ from shelfmark.functions import text
 # Up to this many distinct tokens are tested in one pass over the documents.
 INLINE_TOKENS = 256
 _SALTS = 32
+_BROADCAST_ROWS, _BROADCAST_BYTES = 100_000, 8 * 2**20
 _POSTINGS = "term string, dataset_id string, tf int, dl int"
 _K1, _B = 1.2, 0.75  # the usual BM25 parameters
 
@@ -34,6 +35,22 @@ def salted_join(many: DataFrame, few: DataFrame, key: str, spread_by: str) -> Da
     return spread.join(few.withColumn("_part", F.explode(parts)), [key, "_part"]).drop("_part")
 
 
+def keyed_join(many: DataFrame, few: DataFrame, key: str, spread_by: str) -> DataFrame:
+    """Inner join on a text ``key`` with a side that is usually short.
+
+    The size of ``few`` is measured: up to 100,000 rows and 8 MB of keys it is broadcast
+    and ``many`` stays where it is; beyond that the salted join moves both.
+    """
+    size = (
+        few.limit(_BROADCAST_ROWS + 1)
+        .agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length(key)).alias("bytes"))
+        .first()
+    )
+    if size["rows"] <= _BROADCAST_ROWS and (size["bytes"] or 0) <= _BROADCAST_BYTES:
+        return many.join(F.broadcast(few), key)
+    return salted_join(many, few, key, spread_by)
+
+
 def _grams(content: Column, size: int) -> Column:
     """Distinct runs of ``size`` characters."""
     if size == 0:
@@ -69,7 +86,7 @@ def like_join_by_grams(docs: DataFrame, tokens: DataFrame) -> DataFrame:
         return docs.select(F.lit("").alias("token"), "dataset_id").limit(0)
     grams = F.concat(*[_grams(F.col("content"), n) for n in sorted(sizes)])
     doc_grams = docs.select("dataset_id", F.explode(grams).alias("gram"))
-    candidates = salted_join(doc_grams, anchors, "gram", "dataset_id").select("token", "dataset_id")
+    candidates = keyed_join(doc_grams, anchors, "gram", "dataset_id").select("token", "dataset_id")
     return (
         candidates.join(docs, "dataset_id")
         .filter(text.matches_column(F.col("content"), F.col("token")))
@@ -100,19 +117,25 @@ def like_join(docs: DataFrame, tokens: DataFrame) -> DataFrame:
 
 
 class Index(NamedTuple):
-    """A BM25 index: postings, document lengths and, if stored, its number of buckets."""
+    """A BM25 index.
+
+    ``postings(term, dataset_id, tf, dl)``, ``terms(term, df)``, and one row
+    ``corpus(docs, avgdl)``; ``buckets`` is set for a stored index, whose postings and
+    terms lie in folders by a hash of the term.
+    """
 
     postings: DataFrame
-    doc_stats: DataFrame
+    terms: DataFrame
+    corpus: DataFrame
     buckets: int | None = None
 
 
-def build_inverted_index(docs: DataFrame) -> Index:
-    """The postings and document lengths of BM25.
+def _postings(docs: DataFrame) -> DataFrame:
+    """``(term, dataset_id, tf, dl)``.
 
-    ``postings(term, dataset_id, tf, dl)`` carry the document length, so scoring needs no
-    second join. A document's terms are sorted inside its row and run lengths give the
-    term counts: the index is built without a shuffle.
+    A document's terms are sorted inside its row and run lengths give the term counts, so
+    no shuffle is needed; the document length is repeated in each row, so scoring needs no
+    second join.
     """
     termed = docs.select("dataset_id", text.sorted_terms(F.col("content")).alias("terms"))
     sized = termed.withColumn("dl", F.size("terms"))
@@ -120,8 +143,7 @@ def build_inverted_index(docs: DataFrame) -> Index:
     positions = F.when(F.col("dl") > 0, F.sequence(F.lit(1), F.col("dl")))
     starts = F.filter(
         positions,
-        lambda i: (i == 1)
-        | (F.get("terms", i - 1) != F.get("terms", i - 2)),
+        lambda i: (i == 1) | (F.get("terms", i - 1) != F.get("terms", i - 2)),
     )
     runs = sized.withColumn("starts", starts)
     counted = F.transform(
@@ -131,10 +153,25 @@ def build_inverted_index(docs: DataFrame) -> Index:
             (F.coalesce(F.get("starts", i + 1), F.col("dl") + 1) - s).alias("tf"),
         ),
     )
-    postings = runs.select("dataset_id", "dl", F.explode(counted).alias("p")).select(
+    return runs.select("dataset_id", "dl", F.explode(counted).alias("p")).select(
         "p.term", "dataset_id", "p.tf", "dl"
     )
-    return Index(postings, sized.select("dataset_id", "dl"))
+
+
+def _corpus(docs: DataFrame) -> DataFrame:
+    lengths = docs.select(text.term_count(F.col("content")).alias("dl"))
+    return lengths.agg(F.count(F.lit(1)).alias("docs"), F.avg("dl").alias("avgdl"))
+
+
+def term_frequencies(postings: DataFrame) -> DataFrame:
+    """In how many documents each term occurs."""
+    return postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+
+def build_inverted_index(docs: DataFrame) -> Index:
+    """The index of search documents ``(dataset_id, content)``, computed when it is used."""
+    postings = _postings(docs)
+    return Index(postings, term_frequencies(postings), _corpus(docs))
 
 
 def _bucket_of(term: Column, buckets: int) -> Column:
@@ -144,56 +181,65 @@ def _bucket_of(term: Column, buckets: int) -> Column:
 def write_inverted_index(docs: DataFrame, path: str, buckets: int = 256) -> None:
     """Store the index so that a query reads only the folders of its terms.
 
-    Postings are laid out by a hash of the term; a bucket that holds hot terms is spread
-    over several files by document.
+    A bucket that holds hot terms is spread over several tasks and files by document.
     """
-    postings, doc_stats, _ = build_inverted_index(docs)
+    spark = docs.sparkSession
+    bucketed = _postings(docs).withColumn("bucket", _bucket_of(F.col("term"), buckets))
     (
-        postings.withColumn("bucket", _bucket_of(F.col("term"), buckets))
-        .withColumn("part", F.pmod(F.hash("dataset_id"), F.lit(8)))
+        bucketed.withColumn("part", F.pmod(F.hash("dataset_id"), F.lit(_SALTS)))
         .repartition("bucket", "part")
         .drop("part")
         .sortWithinPartitions("bucket", "term")
-        .write.mode("errorifexists").partitionBy("bucket").parquet(f"{path}/postings")
+        .write.partitionBy("bucket").parquet(f"{path}/postings")
+    )
+    written = spark.read.schema(f"{_POSTINGS}, bucket int").parquet(f"{path}/postings")
+    (
+        written.groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("df"))
+        .repartition("bucket")
+        .write.partitionBy("bucket").parquet(f"{path}/terms")
     )
-    doc_stats.write.mode("errorifexists").parquet(f"{path}/doc_stats")
+    _corpus(docs).write.parquet(f"{path}/corpus")
 
 
 def read_inverted_index(spark: SparkSession, path: str, buckets: int = 256) -> Index:
     """A stored index; ``buckets`` is the number it was written with."""
     return Index(
         spark.read.schema(f"{_POSTINGS}, bucket int").parquet(f"{path}/postings"),
-        spark.read.schema("dataset_id string, dl int").parquet(f"{path}/doc_stats"),
+        spark.read.schema("term string, df bigint, bucket int").parquet(f"{path}/terms"),
+        spark.read.schema("docs bigint, avgdl double").parquet(f"{path}/corpus"),
         buckets,
     )
 
 
-def postings_of(index: Index, terms: list[str]) -> DataFrame:
-    """Postings of a few terms; of a stored index only their folders are read."""
-    found = index.postings.filter(F.col("term").isin(terms))
+def _only(table: DataFrame, index: Index, terms: list[str]) -> DataFrame:
+    found = table.filter(F.col("term").isin(terms))
     if index.buckets:
         folders = [_bucket_of(F.lit(t), index.buckets) for t in terms]
-        found = found.filter(F.col("bucket").isin(folders))
+        found = found.filter(F.col("bucket").isin(folders)).drop("bucket")
     return found
 
 
+def postings_of(index: Index, terms: list[str]) -> DataFrame:
+    """Postings of a few terms with their ``df``; a stored index is read by folder."""
+    frequencies = _only(index.terms, index, terms)  # at most one row per asked term
+    return _only(index.postings, index, terms).join(F.broadcast(frequencies), "term")
+
+
+def _in_folders(table: DataFrame, index: Index, terms: DataFrame) -> DataFrame:
+    if not index.buckets:
+        return table
+    # No more rows than there are buckets; broadcast, they prune the folders to read.
+    folders = terms.select(_bucket_of(F.col("term"), index.buckets).alias("bucket")).distinct()
+    return table.join(F.broadcast(folders), "bucket", "left_semi").drop("bucket")
+
+
 def postings_join(index: Index, terms: DataFrame) -> DataFrame:
     """Postings of the given terms, with every other column of ``terms``.
 
     Postings of a stored index are cut down to the folders the terms are in.
     """
-    postings = index.postings
-    if index.buckets:
-        folders = terms.select(_bucket_of(F.col("term"), index.buckets).alias("bucket"))
-        postings = postings.join(folders.distinct(), "bucket", "left_semi")
-    return salted_join(
-        postings.select("term", "dataset_id", "tf", "dl"), terms, "term", "dataset_id"
-    )
-
-
-def term_frequencies(postings: DataFrame) -> DataFrame:
-    """In how many documents each term occurs."""
-    return postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    postings = _in_folders(index.postings, index, terms)
+    return keyed_join(postings, terms, "term", "dataset_id")
 
 
 def bm25_part(tf: Column, df: Column, dl: Column, docs: Column, avgdl: Column) -> Column:
@@ -202,11 +248,13 @@ def bm25_part(tf: Column, df: Column, dl: Column, docs: Column, avgdl: Column) -
     return idf * tf * (_K1 + 1) / (tf + _K1 * (1 - _B + _B * dl / avgdl))
 
 
-def corpus_totals(index: Index) -> Column:
-    """``struct(docs, avgdl)`` of the whole corpus, as a scalar subquery."""
-    return index.doc_stats.agg(
-        F.struct(F.count(F.lit(1)).alias("docs"), F.avg("dl").alias("avgdl")).alias("totals")
-    ).scalar()
+def with_bm25_share(postings: DataFrame, index: Index) -> DataFrame:
+    """Adds ``share``, what a posting with its ``df`` adds to the score."""
+    totals = index.corpus.select(F.struct("docs", "avgdl").alias("totals")).scalar()
+    share = bm25_part(
+        F.col("tf"), F.col("df"), F.col("dl"), F.col("totals.docs"), F.col("totals.avgdl")
+    )
+    return postings.withColumn("totals", totals).withColumn("share", share)
 
 
 def bm25_scores(index: Index, query_terms: DataFrame) -> DataFrame:
@@ -215,16 +263,11 @@ def bm25_scores(index: Index, query_terms: DataFrame) -> DataFrame:
     Scores are rounded to 6 places before anything is ranked by them, so the order in
     which shares were added cannot change a ranking.
     """
-    wanted = query_terms.select("term").distinct()
-    weighted = query_terms.join(term_frequencies(postings_join(index, wanted)), "term")
-    share = bm25_part(
-        F.col("tf"), F.col("df"), F.col("dl"), F.col("totals.docs"), F.col("totals.avgdl")
-    )
+    weighted = query_terms.join(_in_folders(index.terms, index, query_terms), "term")
     return (
-        postings_join(index, weighted)
-        .withColumn("totals", corpus_totals(index))
+        with_bm25_share(postings_join(index, weighted), index)
         .groupBy("query_id", F.col("dataset_id").alias("id"))
-        .agg(F.round(F.sum(share), 6).alias("score"))
+        .agg(F.round(F.sum("share"), 6).alias("score"))
     )
 
 

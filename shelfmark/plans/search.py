@@ -47,8 +47,8 @@ def _wide_page(
     return flt.hit_projection(hits).orderBy(F.desc("score"), F.asc("id"))
 
 
-def _nothing(docs: DataFrame, datasets: DataFrame, artifacts: DataFrame):
-    none = docs.limit(0).select(F.col("dataset_id").alias("id"), F.lit(0).alias("score"))
+def _nothing(datasets: DataFrame, artifacts: DataFrame):
+    none = datasets.sparkSession.createDataFrame([], "id string, score int")
     return _wide_page(none, datasets, artifacts, [""], 1, 0), none.agg(F.count("id").alias("total"))
 
 
@@ -73,7 +73,7 @@ def search_like(
     _check_page(limit, offset)
     tokens = query.lower().split()
     if not tokens:
-        return _nothing(docs, datasets, artifacts)
+        return _nothing(datasets, artifacts)
     score = text.match_score(F.col("content"), tokens)
     scored = docs.select(F.col("dataset_id").alias("id"), score.alias("score"))
     return _finish(
@@ -90,17 +90,11 @@ def search_bm25(
     terms = list(dict.fromkeys(re.findall(r"[^\W_]+", query.lower())))
     tokens = query.lower().split()
     if not terms:
-        return _nothing(index.doc_stats, datasets, artifacts)
-    wanted = ops.postings_of(index, terms)
-    frequencies = ops.term_frequencies(wanted)  # one row per term of the query
-    share = ops.bm25_part(
-        F.col("tf"), F.col("df"), F.col("dl"), F.col("totals.docs"), F.col("totals.avgdl")
-    )
+        return _nothing(datasets, artifacts)
     scored = (
-        wanted.join(F.broadcast(frequencies), "term")
-        .withColumn("totals", ops.corpus_totals(index))
+        ops.with_bm25_share(ops.postings_of(index, terms), index)
         .groupBy(F.col("dataset_id").alias("id"))
-        .agg(F.round(F.sum(share), 6).alias("score"))
+        .agg(F.round(F.sum("share"), 6).alias("score"))
     )
     return _finish(scored, datasets, artifacts, tokens, filters, limit, offset)
 
@@ -109,7 +103,7 @@ def like_scores(docs: DataFrame, words: DataFrame) -> DataFrame:
     """``(query_id, id, score)`` of a substring search for ``words`` of many queries."""
     pairs = ops.like_join(docs, words)
     return (
-        ops.salted_join(pairs, words, "token", "dataset_id")
+        ops.keyed_join(pairs, words, "token", "dataset_id")
         .groupBy("query_id", F.col("dataset_id").alias("id"))
         .agg(F.sum("weight").alias("score"))
     )
