@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from shelfmark.schemas import SIZE_CLASSES, SIZE_LABELS
 
 # ISO 8601 forms of a listing time. The plain one casts as it is; the
-# compact ones have no dashes or colons, no minutes, or a comma before the fraction.
-_PLAIN = r"^\d{4}-\d\d-\d\d([T ]\d\d:\d\d(:\d\d(\.\d+)?)?(Z|[+-]\d\d:\d\d)?)?$"
-_COMPACT = (
+# others lack dashes, colons or seconds, or have a comma before the fraction.
+_PLAIN = r"^\d{4}-\d\d-\d\d([T ]\d\d:\d\d:\d\d(\.\d+)?(Z|[+-]\d\d:\d\d)?)?$"
+_LOOSE = (
     r"^(\d{4})-?(\d\d)-?(\d\d)(?:[T ](\d\d)(?::?(\d\d))?(?::?(\d\d))?(?:[.,](\d+))?"
     r"(Z|[+-]\d\d(?::?\d\d)?)?)?$"
 )
@@ -50,7 +50,7 @@ def json_bigint(json: Column, key: str) -> Column:
 def parse_lm(value: Column) -> Column:
     """ISO 8601 text to a zone-free UTC timestamp; no zone means UTC, bad text NULL."""
     def part(i: int) -> Column:
-        return F.regexp_extract(value, _COMPACT, i)
+        return F.regexp_extract(value, _LOOSE, i)
 
     def or_else(text: Column, default: str) -> Column:
         return F.coalesce(F.nullif(text, F.lit("")), F.lit(default))
@@ -68,7 +68,7 @@ def parse_lm(value: Column) -> Column:
     utc_text = F.concat(value, F.when(date_only, "T00:00:00Z").otherwise("Z"))
     text = (
         F.when(value.rlike(_PLAIN), F.when(value.rlike(_ZONED), value).otherwise(utc_text))
-        .when(value.rlike(_COMPACT), expanded)
+        .when(value.rlike(_LOOSE), expanded)
     )
     return utc(text.try_cast("timestamp"))
 
