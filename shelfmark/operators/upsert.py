@@ -11,10 +11,11 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfmark.functions import values
-from shelfmark.sources.conform import conform
 from shelfmark.schemas import ARTIFACTS, DATASETS, JOBS
+from shelfmark.sources.conform import conform
 
 
 def last_per_key(batch: DataFrame, keys: list[str], order: str | None = "batch_pos") -> DataFrame:
@@ -33,7 +34,10 @@ def last_per_key(batch: DataFrame, keys: list[str], order: str | None = "batch_p
     )
 
 
-def _merge(old: DataFrame, new: DataFrame, keys: list[str], schema) -> DataFrame:
+def merge_rows(
+    old: DataFrame, new: DataFrame, keys: list[str], schema: T.StructType
+) -> DataFrame:
+    """Old rows whose key is not among the new ones, and the last new row of each key."""
     latest = conform(last_per_key(new, keys), schema)
     kept = old.join(latest.select(*keys), keys, "left_anti")
     return conform(kept, schema).unionByName(latest)
@@ -41,15 +45,15 @@ def _merge(old: DataFrame, new: DataFrame, keys: list[str], schema) -> DataFrame
 
 def upsert_datasets(old: DataFrame, new: DataFrame) -> DataFrame:
     """Insert or overwrite whole dataset rows; NULLs of the new row overwrite too."""
-    return _merge(old, new, ["id"], DATASETS)
+    return merge_rows(old, new, ["id"], DATASETS)
 
 
 def upsert_artifacts(old: DataFrame, new: DataFrame) -> DataFrame:
-    return _merge(old, new, ["dataset_id", "kind"], ARTIFACTS)
+    return merge_rows(old, new, ["dataset_id", "kind"], ARTIFACTS)
 
 
 def upsert_jobs(old: DataFrame, new: DataFrame) -> DataFrame:
-    return _merge(old, new, ["id"], JOBS)
+    return merge_rows(old, new, ["id"], JOBS)
 
 
 def compare_fingerprints(old: DataFrame, new: DataFrame) -> DataFrame:

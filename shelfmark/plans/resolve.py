@@ -11,6 +11,7 @@ from shelfmark.functions import values
 from shelfmark.operators import joins, policy
 from shelfmark.operators import resolve as ops
 from shelfmark.schemas import EVENTS, JOBS, Settings
+from shelfmark.session import materialize
 from shelfmark.sources.conform import conform
 
 
@@ -36,9 +37,15 @@ def plan_resolves(
     budget_ms, row_cap)``.
 
     A fresh artifact answers a request at once; otherwise the policy either blocks it with
-    a reason or lets it become a queued job, whose id is the request's id.
+    a reason or lets it become a queued job, whose id is the request's id. The requests are
+    routed once; the four results are read from that.
     """
-    routed = route_requests(requests, artifacts, datasets, settings)
+    routed = materialize(
+        route_requests(requests, artifacts, datasets, settings).select(
+            "request_id", "dataset_id", "kind", "budget_ms", "row_cap", "route", "reason_code"
+        ),
+        "routed",
+    )
     now = values.at(as_of)
     cached = routed.filter("route = 'cached'").select(
         "request_id", F.concat(F.lit("cached-"), "dataset_id").alias("job_id")

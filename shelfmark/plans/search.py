@@ -139,7 +139,8 @@ def _pages(
     """Page and total of every query; the matching itself runs once, for both."""
     eligible = materialize(eligible, "eligible")
     totals = eligible.groupBy("query_id").agg(F.count(F.lit(1)).alias("total"))
-    page = ordering.rank_hits_batch(eligible).select("query_id", "id", "score", "rn")
+    deepest = queries.agg(F.max(F.col("offset") + F.col("limit"))).first()[0] or 0
+    page = ordering.rank_hits_batch(eligible, deepest).select("query_id", "id", "score", "rn")
     tokens = queries.select("query_id", text.query_tokens(F.col("query")).alias("tokens"))
     found = page.join(datasets, "id").join(tokens, "query_id").join(totals, "query_id")
     hits = joins.with_schema_flag(found, artifacts).withColumn(

@@ -1,9 +1,12 @@
-"""Versioned table snapshots.
+"""Versioned tables: full snapshots and small deltas on top of them.
 
-A table lives in ``<path>/v00000001``, ``v00000002``, … A version counts once its
-``_SUCCESS`` file exists, which Spark writes after all tasks are committed, so readers
-never see a half-written version and a failed write leaves the last one in force. A
-version is never overwritten while it may be read.
+A table lives in ``<path>/v00000001`` (all rows) and ``<path>/d00000002`` (rows changed by
+one batch). A version counts once its ``_SUCCESS`` file exists, which Spark writes after
+all tasks are committed, so readers never see a half-written version and a failed write
+leaves the last one in force. No version is overwritten once it is complete.
+
+A small batch costs a small write: the stored rows are not rewritten. Readers merge the
+deltas after the last snapshot, and ``compact`` folds them into a new one.
 """
 
 from __future__ import annotations
@@ -11,13 +14,17 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_VERSION = re.compile(r"v(\d{8})$")
+from shelfmark.operators.upsert import merge_rows
+from shelfmark.sources.conform import conform
+
+_VERSION = re.compile(r"([vd])(\d{8})$")
 
 
-def _versions(spark: SparkSession, path: str) -> dict[int, bool]:
-    """Versions below the path, and whether each one is complete."""
+def _versions(spark: SparkSession, path: str) -> dict[tuple[str, int], bool]:
+    """Snapshots ``("v", n)`` and deltas ``("d", n)``, and whether each is complete."""
     jvm = spark._jvm
     root = jvm.org.apache.hadoop.fs.Path(path)
     fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -28,35 +35,87 @@ def _versions(spark: SparkSession, path: str) -> dict[int, bool]:
         match = _VERSION.search(status.getPath().getName())
         if match:
             done = fs.exists(jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS"))
-            found[int(match.group(1))] = done
+            found[match.group(1), int(match.group(2))] = done
     return found
 
 
+def _complete(spark: SparkSession, path: str, kind: str, below: int | None) -> list[int]:
+    return sorted(
+        n for (k, n), done in _versions(spark, path).items()
+        if k == kind and done and (below is None or n < below)
+    )
+
+
+def _folder(path: str, kind: str, number: int) -> str:
+    return f"{path.rstrip('/')}/{kind}{number:08d}"
+
+
 def latest_version(spark: SparkSession, path: str, below: int | None = None) -> int | None:
-    """The newest complete version, or the newest one below a given number."""
-    complete = [v for v, done in _versions(spark, path).items() if done]
-    return max((v for v in complete if below is None or v < below), default=None)
+    """The newest complete snapshot, or the newest one below a given number."""
+    return max(_complete(spark, path, "v", below), default=None)
+
+
+def _write(df: DataFrame, path: str, kind: str, version: int | None) -> str:
+    known = _versions(df.sparkSession, path)
+    number = max((n for _, n in known), default=0) + 1 if version is None else version
+    target = _folder(path, kind, number)
+    if not known.get((kind, number)):
+        df.write.mode("overwrite").parquet(target)
+    return target
 
 
 def write_snapshot(df: DataFrame, path: str, version: int | None = None) -> str:
-    """Write the next version and return its folder.
+    """Write all rows as the next version and return its folder.
 
     With a given ``version`` a write that is already complete is left as it is, which
     makes a repeated micro-batch harmless.
     """
-    known = _versions(df.sparkSession, path)
-    number = version if version is not None else max(known, default=0) + 1
-    target = f"{path.rstrip('/')}/v{number:08d}"
-    if not known.get(number):
-        df.write.mode("overwrite").parquet(target)
-    return target
+    return _write(df, path, "v", version)
+
+
+def write_delta(df: DataFrame, path: str, version: int) -> str:
+    """Write the rows one batch changed, each key once."""
+    return _write(df.withColumn("batch_pos", F.lit(version).cast("bigint")), path, "d", version)
 
 
 def read_snapshot(
     spark: SparkSession, path: str, schema: T.StructType, version: int | None = None
 ) -> DataFrame:
-    """The newest complete version, or the given one; an empty table if there is none."""
+    """The newest complete snapshot, or the given one; an empty table if there is none."""
     number = latest_version(spark, path) if version is None else version
     if number is None:
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{path.rstrip('/')}/v{number:08d}")
+    return spark.read.schema(schema).parquet(_folder(path, "v", number))
+
+
+def read_deltas(
+    spark: SparkSession, path: str, schema: T.StructType, below: int | None = None
+) -> DataFrame | None:
+    """Changed rows since the last snapshot with their version as ``batch_pos``."""
+    base = latest_version(spark, path, below) or 0
+    numbers = [n for n in _complete(spark, path, "d", below) if n > base]
+    if not numbers:
+        return None
+    wanted = T.StructType([*schema.fields, T.StructField("batch_pos", T.LongType())])
+    return spark.read.schema(wanted).parquet(*[_folder(path, "d", n) for n in numbers])
+
+
+def read_current(
+    spark: SparkSession, path: str, schema: T.StructType, keys: list[str], below: int | None = None
+) -> DataFrame:
+    """The last snapshot with the deltas after it: the newest row of every key."""
+    number = latest_version(spark, path, below)
+    base = (
+        spark.createDataFrame([], schema)
+        if number is None
+        else read_snapshot(spark, path, schema, number)
+    )
+    deltas = read_deltas(spark, path, schema, below)
+    return base if deltas is None else conform(merge_rows(base, deltas, keys, schema), schema)
+
+
+def compact(spark: SparkSession, path: str, schema: T.StructType, keys: list[str]) -> None:
+    """Fold the deltas into a snapshot with the number of the last one."""
+    deltas = _complete(spark, path, "d", None)
+    if deltas and deltas[-1] > (latest_version(spark, path) or 0):
+        write_snapshot(read_current(spark, path, schema, keys), path, deltas[-1])

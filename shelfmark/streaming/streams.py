@@ -1,8 +1,8 @@
 """Structured Streaming jobs. Each one processes what is there and stops.
 
-State that a batch merges into lives in versioned snapshots; the version is the number
-of the micro-batch, so a batch that is run again after a failure finds its own version
-complete and changes nothing.
+State that a batch merges into lives in versioned tables; a batch writes only the rows it
+changes, as a delta with the number of the micro-batch, so a batch that is run again after
+a failure finds its own version complete and changes nothing.
 """
 
 from __future__ import annotations
@@ -16,12 +16,12 @@ from pyspark.sql.streaming import StreamingQuery
 
 from shelfmark.functions import values
 from shelfmark.operators import jobs as job_ops
-from shelfmark.plans.ingest import merge_batch
+from shelfmark.operators import upsert
 from shelfmark.schemas import ARTIFACTS, DATASETS, EVENTS, SIGNALS
 from shelfmark.sources import snapshots
 from shelfmark.sources.conform import conform
 
-STATE = {"datasets": DATASETS, "artifacts": ARTIFACTS}
+STATE = {"datasets": (DATASETS, ["id"]), "artifacts": (ARTIFACTS, ["dataset_id", "kind"])}
 JOB_STATE = T.StructType(
     [
         T.StructField("id", T.StringType()),
@@ -83,9 +83,10 @@ def stream_popularity(
     )
 
 
-def current(spark: SparkSession, state_path: str, name: str) -> DataFrame:
+def current(spark: SparkSession, state_path: str, name: str, below: int | None = None) -> DataFrame:
     """The newest state of a table kept by ``stream_upsert_datasets``."""
-    return snapshots.read_snapshot(spark, f"{state_path}/{name}", STATE[name])
+    schema, keys = STATE[name]
+    return snapshots.read_current(spark, f"{state_path}/{name}", schema, keys, below)
 
 
 def stream_upsert_datasets(
@@ -93,24 +94,27 @@ def stream_upsert_datasets(
 ) -> StreamingQuery:
     """Merges a stream of dataset rows into the stored catalog.
 
-    Below ``state_path`` are the snapshots ``datasets`` and ``artifacts`` and the change
-    log ``events``. ``seed_version`` is the state the stream started from (it may be
-    missing); it stays the same as long as the checkpoint does. A batch reads the versions
-    before its own and writes its own.
+    Below ``state_path`` are the tables ``datasets`` and ``artifacts`` and the change log
+    ``events``. ``seed_version`` is the state the stream started from (it may be missing);
+    it stays the same as long as the checkpoint does. A batch compares itself with the ids
+    and fingerprints of the versions before its own; its dataset rows are written last, so
+    a batch counts as merged only when all it caused is written.
     """
     spark = source.sparkSession
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         version = seed_version + batch_id + 1
-
-        def before(name: str) -> DataFrame:
-            known = snapshots.latest_version(spark, f"{state_path}/{name}", below=version)
-            return snapshots.read_snapshot(spark, f"{state_path}/{name}", STATE[name], known)
-
-        merged, artifacts, events = merge_batch(before("datasets"), before("artifacts"), batch, as_of)
+        stored = current(spark, state_path, "datasets", below=version)
+        artifacts = current(spark, state_path, "artifacts", below=version)
+        changed = upsert.changed_ids(stored, batch)
+        hit = artifacts.join(changed.withColumnRenamed("id", "dataset_id"), "dataset_id", "left_semi")
+        events = upsert.detect_changes(stored, batch, as_of)
+        latest = conform(upsert.last_per_key(batch, ["id"]), DATASETS)
         snapshots.write_snapshot(conform(events, EVENTS), f"{state_path}/events", version)
-        snapshots.write_snapshot(artifacts, f"{state_path}/artifacts", version)
-        snapshots.write_snapshot(merged, f"{state_path}/datasets", version)
+        snapshots.write_delta(
+            conform(hit.withColumn("stale", F.lit(True)), ARTIFACTS), f"{state_path}/artifacts", version
+        )
+        snapshots.write_delta(latest, f"{state_path}/datasets", version)
 
     return (
         source.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
@@ -119,17 +123,14 @@ def stream_upsert_datasets(
 
 
 def stream_job_state(source: DataFrame, state_path: str, checkpoint: str) -> StreamingQuery:
-    """Keeps the last state of every job from a stream of ``(id, state, at, seq)``."""
-    spark = source.sparkSession
+    """Keeps the last state of every job from a stream of ``(id, state, at, seq)``.
 
+    A batch stores the last record of each of its jobs; which of them is the newest of all
+    is settled by time when the state is read.
+    """
     def merge(batch: DataFrame, batch_id: int) -> None:
-        version = batch_id + 1
-        known = snapshots.latest_version(spark, state_path, below=version)
-        before = snapshots.read_snapshot(spark, state_path, JOB_STATE, known)
-        records = before.unionByName(conform(batch, JOB_STATE))
-        # The time fields stay in the record, so the next batch can compare with them.
-        kept = job_ops.latest_state(records)
-        snapshots.write_snapshot(kept.select(*JOB_STATE.names), state_path, version)
+        last = job_ops.latest_state(conform(batch, JOB_STATE)).select(*JOB_STATE.names)
+        snapshots.write_delta(last, state_path, batch_id + 1)
 
     return (
         source.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
@@ -138,4 +139,9 @@ def stream_job_state(source: DataFrame, state_path: str, checkpoint: str) -> Str
 
 
 def current_job_state(spark: SparkSession, state_path: str) -> DataFrame:
-    return snapshots.read_snapshot(spark, state_path, JOB_STATE)
+    """The last record of every job."""
+    records = snapshots.read_snapshot(spark, state_path, JOB_STATE)
+    deltas = snapshots.read_deltas(spark, state_path, JOB_STATE)
+    if deltas is not None:
+        records = records.unionByName(deltas.drop("batch_pos"))
+    return job_ops.latest_state(records)

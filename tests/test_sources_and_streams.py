@@ -144,7 +144,13 @@ def test_stream_upsert_equals_batch_and_survives_a_rerun(spark, catalog, tmp_pat
     ]
     # The same batches again, as after a lost checkpoint: their versions are complete.
     streams.stream_upsert_datasets(streams.read_folder(spark, folder, 1), state, str(tmp_path / "c2"), NOW).awaitTermination()
+    assert sorted(streams.current(spark, state, "datasets").select("id", "fingerprint").collect(), key=str) == sorted(
+        got.select("id", "fingerprint").collect(), key=str)
+    assert spark.read.parquet(f"{state}/events/v00000002").count() == 2
+    # Folding the deltas into a snapshot changes nothing either.
+    snapshots.compact(spark, f"{state}/datasets", DATASETS, ["id"])
     assert snapshots.latest_version(spark, f"{state}/datasets") == 3
+    assert streams.current(spark, state, "datasets").count() == got.count() == 5
 
 
 def test_stream_job_state_keeps_the_latest(spark, tmp_path):
