@@ -148,7 +148,3 @@ def sorted_terms(content: Column) -> Column:
     """All BM25 terms of a text in sorted order, repeats kept."""
     return F.sort_array(F.regexp_extract_all(content, F.lit(TERM), F.lit(0)))
 
-
-def term_count(content: Column) -> Column:
-    """Number of BM25 terms of a text."""
-    return F.regexp_count(content, F.lit(TERM))

@@ -52,14 +52,17 @@ def lookup_datasets(datasets: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def lookup_artifacts(artifacts: DataFrame, keys: DataFrame) -> DataFrame:
-    """Servable artifacts for ``keys(dataset_id, kind)``; a NULL payload reads ``{}``.
+    """Servable artifacts for ``keys(dataset_id, kind)``; no valid payload reads ``{}``.
 
     An artifact is servable unless it is marked stale; an unset mark does not block it.
     """
     return (
         artifacts.filter(~F.coalesce(F.col("stale"), F.lit(False)))
         .join(keys.select("dataset_id", "kind"), ["dataset_id", "kind"], "left_semi")
-        .withColumn("payload", F.coalesce(F.nullif("payload", F.lit("")), F.lit("{}")))
+        .withColumn(
+            "payload",
+            F.when(F.try_parse_json("payload").isNotNull(), F.col("payload")).otherwise("{}"),
+        )
     )
 
 

@@ -40,7 +40,7 @@ def artifact_flags(artifacts: DataFrame) -> DataFrame:
     """One row per dataset: does it hold a fresh schema, fresh snips."""
     def any_fresh(kind: str):
         fresh = (F.col("kind") == kind) & (F.col("stale") == F.lit(False))
-        return F.max(F.when(fresh, 1).otherwise(0)).alias(f"has_{'schema' if kind == 'schema' else 'snips'}")
+        return F.max(F.when(fresh, 1).otherwise(0)).alias(f"has_{kind}")
 
     return artifacts.groupBy(F.col("dataset_id").alias("id")).agg(
         any_fresh("schema"), any_fresh("snips"), F.count(F.lit(1)).alias("artifacts")

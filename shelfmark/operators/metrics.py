@@ -74,8 +74,8 @@ def queue_depth(jobs: DataFrame) -> DataFrame:
     return jobs.agg(_count(F.col("state") == "queued").alias("queue_depth"))
 
 
-def value_at_rank(values_: DataFrame, rank: int, low: int, high: int) -> int:
-    """The value at a 1-based rank of ``values_(v)``, whole numbers in ``low..high``.
+def value_at_rank(numbers: DataFrame, rank: int, low: int, high: int) -> int:
+    """The value at a 1-based rank of ``numbers(v)``, whole numbers in ``low..high``.
 
     Each round counts the values of the remaining range in at most 16,384 buckets, with
     partial aggregation, and goes on inside the bucket that holds the rank. No task sorts
@@ -85,14 +85,15 @@ def value_at_rank(values_: DataFrame, rank: int, low: int, high: int) -> int:
         width = (high - low) // _BUCKETS + 1
         bucket = F.expr(f"(v - {low}L) div {width}L").alias("bucket")
         sizes = (
-            values_.filter(F.col("v").between(low, high))
+            numbers.filter(F.col("v").between(low, high))
             .groupBy(bucket)
             .agg(F.count(F.lit(1)).alias("n"))
             .collect()
         )
         for size in sorted(sizes):
             if rank <= size["n"]:
-                low, high = low + size["bucket"] * width, min(high, low + (size["bucket"] + 1) * width - 1)
+                low += size["bucket"] * width
+                high = min(high, low + width - 1)
                 break
             rank -= size["n"]
     return low
@@ -200,7 +201,8 @@ def facet_values(hits: DataFrame) -> DataFrame:
     with partial aggregation. A facet no hit fills offers its fallback values, count 0.
     """
     def single(facet: str, column: str) -> Column:
-        return F.array(F.struct(F.lit(facet).alias("facet"), F.nullif(F.col(column), F.lit("")).alias("value")))
+        value = F.nullif(F.col(column), F.lit(""))
+        return F.array(F.struct(F.lit(facet).alias("facet"), value.alias("value")))
 
     def many(facet: str, column: str) -> Column:
         items = F.coalesce(F.array_distinct(column), F.array().cast("array<string>"))

@@ -35,18 +35,23 @@ def salted_join(many: DataFrame, few: DataFrame, key: str, spread_by: str) -> Da
     return spread.join(few.withColumn("_part", F.explode(parts)), [key, "_part"]).drop("_part")
 
 
-def keyed_join(many: DataFrame, few: DataFrame, key: str, spread_by: str) -> DataFrame:
-    """Inner join on a text ``key`` with a side that is usually short.
-
-    The size of ``few`` is measured: up to 100,000 rows and 8 MB of keys it is broadcast
-    and ``many`` stays where it is; beyond that the salted join moves both.
-    """
+def is_short(table: DataFrame, key: str) -> bool:
+    """Measured: at most 100,000 rows and 8 MB of keys, so fit to be broadcast."""
     size = (
-        few.limit(_BROADCAST_ROWS + 1)
+        table.limit(_BROADCAST_ROWS + 1)
         .agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length(key)).alias("bytes"))
         .first()
     )
-    if size["rows"] <= _BROADCAST_ROWS and (size["bytes"] or 0) <= _BROADCAST_BYTES:
+    return size["rows"] <= _BROADCAST_ROWS and (size["bytes"] or 0) <= _BROADCAST_BYTES
+
+
+def keyed_join(many: DataFrame, few: DataFrame, key: str, spread_by: str) -> DataFrame:
+    """Inner join on a text ``key`` with a side that is usually short.
+
+    A short side is broadcast and ``many`` stays where it is; else the salted join moves
+    both.
+    """
+    if is_short(few, key):
         return many.join(F.broadcast(few), key)
     return salted_join(many, few, key, spread_by)
 
@@ -75,22 +80,29 @@ def _anchors(tokens: DataFrame) -> DataFrame:
 
 
 def like_join_by_grams(docs: DataFrame, tokens: DataFrame) -> DataFrame:
-    """``like_join`` for any number of tokens, as equi-joins.
+    """``like_join`` for any number of tokens.
 
     Texts meet tokens on a shared short character run; the candidates, which include
-    every true match, are then checked against the whole text.
+    every true match, are then checked against the whole text. With a short list of
+    tokens, each document is cut to the runs that are asked for inside its own row and
+    the texts are not moved; a longer list is joined by shuffles.
     """
     anchors = _anchors(tokens.select("token").distinct())
     sizes = [r[0] for r in anchors.select(F.length("gram")).distinct().collect()]  # at most 4
     if not sizes:
         return docs.select(F.lit("").alias("token"), "dataset_id").limit(0)
     grams = F.concat(*[_grams(F.col("content"), n) for n in sorted(sizes)])
-    doc_grams = docs.select("dataset_id", F.explode(grams).alias("gram"))
-    candidates = keyed_join(doc_grams, anchors, "gram", "dataset_id").select("token", "dataset_id")
-    return (
-        candidates.join(docs, "dataset_id")
-        .filter(text.matches_column(F.col("content"), F.col("token")))
-        .select("token", "dataset_id")
+    if is_short(anchors, "token"):
+        asked = anchors.agg(F.collect_set("gram").alias("grams")).scalar()
+        found = docs.select(
+            "dataset_id", "content", F.explode(F.array_intersect(grams, asked)).alias("gram")
+        ).join(F.broadcast(anchors), "gram")
+    else:
+        doc_grams = docs.select("dataset_id", F.explode(grams).alias("gram"))
+        met = salted_join(doc_grams, anchors, "gram", "dataset_id")
+        found = met.select("token", "dataset_id").join(docs, "dataset_id")
+    return found.filter(text.matches_column(F.col("content"), F.col("token"))).select(
+        "token", "dataset_id"
     )
 
 
@@ -158,9 +170,13 @@ def _postings(docs: DataFrame) -> DataFrame:
     )
 
 
-def _corpus(docs: DataFrame) -> DataFrame:
-    lengths = docs.select(text.term_count(F.col("content")).alias("dl"))
-    return lengths.agg(F.count(F.lit(1)).alias("docs"), F.avg("dl").alias("avgdl"))
+def _corpus(docs: DataFrame, postings: DataFrame) -> DataFrame:
+    """One row: the number of documents and their average number of terms."""
+    counted = docs.agg(F.count(F.lit(1)).alias("n")).scalar()
+    terms = postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("terms"))
+    return terms.select(counted.alias("docs"), "terms").select(
+        "docs", F.try_divide("terms", "docs").alias("avgdl")
+    )
 
 
 def term_frequencies(postings: DataFrame) -> DataFrame:
@@ -171,7 +187,7 @@ def term_frequencies(postings: DataFrame) -> DataFrame:
 def build_inverted_index(docs: DataFrame) -> Index:
     """The index of search documents ``(dataset_id, content)``, computed when it is used."""
     postings = _postings(docs)
-    return Index(postings, term_frequencies(postings), _corpus(docs))
+    return Index(postings, term_frequencies(postings), _corpus(docs, postings))
 
 
 def _bucket_of(term: Column, buckets: int) -> Column:
@@ -198,7 +214,7 @@ def write_inverted_index(docs: DataFrame, path: str, buckets: int = 256) -> None
         .repartition("bucket")
         .write.partitionBy("bucket").parquet(f"{path}/terms")
     )
-    _corpus(docs).write.parquet(f"{path}/corpus")
+    _corpus(docs, written).write.parquet(f"{path}/corpus")
 
 
 def read_inverted_index(spark: SparkSession, path: str, buckets: int = 256) -> Index:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
-from datetime import datetime, timedelta
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +17,7 @@ from shelfmark.operators import search as search_ops
 from shelfmark.plans import ingest as ingest_plan
 from shelfmark.plans import prefetch, search, tables
 from shelfmark.plans import resolve as resolve_plan
-from shelfmark.schemas import ARTIFACTS, JOBS, Settings
+from shelfmark.schemas import EVENTS, JOBS, Settings
 from shelfmark.session import shared_dir
 from shelfmark.sources import catalog, logs
 from shelfmark.sources.conform import conform
@@ -121,13 +121,7 @@ def append_events(spark, sf):
         F.when(F.col("user_id") > 50, F.col("ts")).alias("created_at"),
         F.col("user_id"), F.when(F.col("event_type") == "click", F.col("event_id")).alias("rank"),
     )
-    return logs.append_events(conform(old, tables_events()), new, AS_OF)
-
-
-def tables_events():
-    from shelfmark.schemas import EVENTS
-
-    return EVENTS
+    return logs.append_events(conform(old, EVENTS), new, AS_OF)
 
 
 @query
@@ -196,9 +190,8 @@ def fresh_artifacts(spark, sf):
 @query
 def recency_filter(spark, sf):
     e = tables.read(spark, sf, "events")
-    edge = AS_OF
-    return e.filter(values.since(F.col("ts"), edge, 7)).select(
-        "event_id", values.since(F.col("ts"), edge, 1, strict=True).alias("last_day")
+    return e.filter(values.since(F.col("ts"), AS_OF, 7)).select(
+        "event_id", values.since(F.col("ts"), AS_OF, 1, strict=True).alias("last_day")
     )
 
 
@@ -694,21 +687,24 @@ def upsert_artifacts(spark, sf):
 
 @query
 def merge_connector_state(spark, sf):
-    def by_source(d, seen, limit, backoff):
+    """Connectors by source, before and after the labelled datasets were listed again."""
+    def by_source(d, limit, backoff):
+        seen = F.max(F.struct(F.col("last_seen_lm").alias("lm"), "id"))
         return d.groupBy("source").agg(
-            F.struct(F.max(F.struct(F.col("last_seen_lm").alias("lm"), "id")).alias("max_seen")).alias("cursor"),
+            F.struct(seen.alias("max_seen")).alias("cursor"),
             limit.alias("qps_limit"), backoff.alias("backoff_state"),
         )
 
     d = tables.datasets(spark, sf).filter(F.col("last_seen_lm").isNotNull())
-    old = by_source(
-        d, None, F.max(F.col("readme_tokens")), F.lit('{"wait":1}')
-    )
-    labelled = d.join(tables.artifacts(spark, sf).select(F.col("dataset_id").alias("id")).distinct(), "id", "left_semi")
-    fresh = labelled.filter("license_class = 'mit'").withColumn("source", F.concat("source", F.when(F.col("access_class") == "private", "-p").otherwise(F.lit(""))))
-    new = by_source(
-        fresh, None, F.when(F.count("description") > 2, F.lit(5)), F.lit(None).cast("string")
-    )
+    old = by_source(d, F.max("readme_tokens"), F.lit('{"wait":1}'))
+    labelled = tables.artifacts(spark, sf).select(F.col("dataset_id").alias("id"))
+    suffix = F.when(F.col("access_class") == "private", "-p").otherwise("")
+    again = (
+        d.join(labelled, "id", "left_semi")
+        .filter("license_class = 'mit'")
+        .withColumn("source", F.concat("source", suffix))
+    )
+    new = by_source(again, F.when(F.count("description") > 2, 5), F.lit(None).cast("string"))
     merged = upsert.merge_connectors(old, new)
     return merged.select(
         "source", F.col("cursor.max_seen.lm").alias("lm"), F.col("cursor.max_seen.id").alias("seen_id"),
@@ -780,7 +776,7 @@ def _info(spark, sf):
         F.lit('{"dataset_id":"ds/'), n.cast("string"), F.lit('","splits":['),
         F.lit('{"config":"c0","split":"test"},'), split, F.lit("]"),
         F.when(n % 5 == 0, ',"default_config":"main"').otherwise(""),
-        F.when(n % 6 == 1, F.concat(F.lit(',"features":[{"name":"top"}]'))).otherwise(""), F.lit("}"),
+        F.when(n % 6 == 1, ',"features":[{"name":"top"}]').otherwise(""), F.lit("}"),
     )
     bare = F.concat(F.lit('{"dataset_id":"ds/'), n.cast("string"), F.lit('"}'))
     labels = tables.read(spark, sf, "labels")

@@ -67,9 +67,13 @@ def plan_resolves(
     return cached, blocked, conform(jobs, JOBS), conform(events, EVENTS)
 
 
+# Fixed value: what a payload names as its source.
+PAYLOAD_SOURCE = "hf_connector"
+
+
 def resolve_schemas(
     jobs: DataFrame, info: DataFrame, rows: DataFrame, cards: DataFrame,
-    source: str = "hf_connector",
+    source: str = PAYLOAD_SOURCE,
 ) -> DataFrame:
     """``(job_id, dataset_id, payload)``: the schema of each job's dataset.
 

@@ -67,14 +67,18 @@ def test_filters_and_pages(catalog):
         run(catalog, "river", limit=101)
 
 
-def test_both_like_joins_give_all_pairs(spark):
+def test_all_like_joins_give_all_pairs(spark, monkeypatch):
     rng = random.Random(3)
     texts = ["".join(rng.choice("abcé% _\\😀") for _ in range(rng.randint(0, 40))) for _ in range(120)] + [""]
     tokens = ["a", "ab", "abc", "abca", "%", "_", "__%_", "a%c", "a_c", "é", "\\", "😀a", "zz", "c%a_b", "_é", "a%" * 3]
     docs = docs_of(spark, texts)
     frame = spark.createDataFrame([(t,) for t in tokens], "token string")
     want = {(t, f"d{i:04d}") for i, c in enumerate(texts) for t in tokens if like(c, t)}
-    for pairs in (ops.like_join_inline(docs, tokens), ops.like_join_by_grams(docs, frame)):
+    ways = [ops.like_join_inline(docs, tokens), ops.like_join_by_grams(docs, frame)]
+    monkeypatch.setattr(ops, "_BROADCAST_ROWS", 3)
+    ways.append(ops.like_join_by_grams(docs, frame))
+    assert ["_part" in w._jdf.queryExecution().optimizedPlan().toString() for w in ways] == [False, False, True]
+    for pairs in ways:
         rows = [tuple(r) for r in pairs.collect()]
         assert len(rows) == len(set(rows)) and set(rows) == want
 

@@ -14,7 +14,6 @@ from shelfmark.plans import prefetch
 from shelfmark.plans import ingest as ingest_plan
 from shelfmark.plans import resolve as resolve_plan
 from shelfmark.schemas import DATASETS, Settings
-from shelfmark.sources.conform import conform
 
 
 def batch_of(spark, rows):
@@ -22,9 +21,8 @@ def batch_of(spark, rows):
     df = spark.createDataFrame(
         [(i, *r) for i, r in enumerate(rows)], "batch_pos long, id string, fingerprint string, title string"
     )
-    return conform(df, DATASETS).withColumn("_id", F.col("id")).drop("_id").join(
-        df.select("id", "batch_pos", F.col("title").alias("t")), "id"
-    ).filter(F.equal_null("title", "t")).drop("t")
+    empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in DATASETS if f.name not in df.columns]
+    return df.select("*", *empty)
 
 
 BATCH = [
