@@ -17,8 +17,8 @@ from shelfmark.operators import search as search_ops
 from shelfmark.plans import ingest as ingest_plan
 from shelfmark.plans import prefetch, search, tables
 from shelfmark.plans import resolve as resolve_plan
-from shelfmark.schemas import EVENTS, JOBS, Settings
-from shelfmark.session import shared_dir
+from shelfmark.schemas import CURSOR, EVENTS, JOBS, Settings
+from shelfmark.session import literal_frame, shared_dir
 from shelfmark.sources import catalog, logs
 from shelfmark.sources.conform import conform
 from shelfmark.streaming import streams
@@ -92,7 +92,7 @@ def conform_schema(spark, sf):
 
 
 def _cursor(spark):
-    return spark.createDataFrame([tables.CURSOR], "lm timestamp_ntz, id string")
+    return literal_frame(spark, [tables.CURSOR], CURSOR)
 
 
 @query
@@ -602,7 +602,7 @@ def search_with_fallback(spark, sf):
 @query
 def build_inverted_index(spark, sf):
     path = shared_dir(spark, "index")
-    search_ops.write_inverted_index(tables.docs(spark, sf), path, buckets=16)
+    search_ops.write_inverted_index(tables.docs(spark, sf), path, tables.INDEX_BUCKETS)
     return spark.read.parquet(f"{path}/postings").select("term", "dataset_id", "tf", "dl")
 
 

@@ -10,12 +10,13 @@ import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfmark.functions import text
 from shelfmark.operators import filters as flt
 from shelfmark.operators import joins, ordering
 from shelfmark.operators import search as ops
-from shelfmark.session import materialize
+from shelfmark.session import literal_frame, materialize
 
 MAX_PAGE = 100  # fixed value: the largest page a request may ask for
 
@@ -37,7 +38,7 @@ def _wide_page(
     spark = scored.sparkSession
     page = ordering.rank_hits(scored, limit, offset).collect()  # at most MAX_PAGE rows
     ids = [row["id"] for row in page]
-    ranked = spark.createDataFrame(page, scored.schema)
+    ranked = literal_frame(spark, page, scored.schema)
     fresh = flt.fresh_artifacts(artifacts).filter(F.col("dataset_id").isin(ids))
     found = datasets.filter(F.col("id").isin(ids)).join(F.broadcast(ranked), "id")
     asked = F.array(*[F.lit(t) for t in tokens])
@@ -48,7 +49,10 @@ def _wide_page(
 
 
 def _nothing(datasets: DataFrame, artifacts: DataFrame):
-    none = datasets.sparkSession.createDataFrame([], "id string, score int")
+    schema = T.StructType(
+        [T.StructField("id", T.StringType()), T.StructField("score", T.IntegerType())]
+    )
+    none = literal_frame(datasets.sparkSession, [], schema)
     return _wide_page(none, datasets, artifacts, [""], 1, 0), none.agg(F.count("id").alias("total"))
 
 

@@ -22,13 +22,13 @@ from shelfmark.operators import search
 from shelfmark.schemas import (
     ARTIFACTS, DATASETS, JOBS, LISTING, SEARCH_DOCS, SIGNALS, SIZE_CLASSES,
 )
-from shelfmark.session import shared_base
+from shelfmark.session import literal_frame, shared_base
 from shelfmark.sources import snapshots
 from shelfmark.sources.conform import conform
 
 AS_OF = datetime(2024, 1, 31)
 CURSOR = (datetime(2024, 1, 21), "ds/5")  # where the last listing run ended
-INDEX_BUCKETS = 16
+INDEX_BUCKETS = 8
 
 REQUESTS = T.StructType(
     [T.StructField(n, T.StringType()) for n in ("request_id", "dataset_id", "kind")]
@@ -41,6 +41,13 @@ SAMPLE_ROWS = T.StructType(
         T.StructField("row_json", T.StringType()),
     ]
 )
+QUERY_COLUMNS = T.StructType(
+    [
+        T.StructField(n, T.StringType())
+        for n in ("query_id", "query", "modality", "license_class", "size_class", "language")
+    ]
+    + [T.StructField(n, T.IntegerType()) for n in ("limit", "offset")]
+)
 BATCH = T.StructType([*DATASETS.fields, T.StructField("batch_pos", T.LongType())])
 
 
@@ -361,8 +368,4 @@ QUERIES = (
 
 def queries(spark: SparkSession) -> DataFrame:
     """A few search requests to run against the whole catalog."""
-    return spark.createDataFrame(
-        list(QUERIES),
-        "query_id string, query string, modality string, license_class string, "
-        "size_class string, language string, limit int, offset int",
-    )
+    return literal_frame(spark, list(QUERIES), QUERY_COLUMNS)
