@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.llm import byte_bpe, packing, quality, secrets, token_counts, topk, toxicity
@@ -14,11 +14,15 @@ from shelfmark.llm.common import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _of_kind(kind: str) -> Callable[[Column], Column]:
+    return lambda span: span["kind"] == kind
+
+
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan_secrets(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["kind"].isin(*secrets.BASE))
     counts = [
-        F.size(F.filter("spans", lambda s, k=kind: s["kind"] == k)).cast("long").alias(f"n_{kind}")
+        F.size(F.filter("spans", _of_kind(kind))).cast("long").alias(f"n_{kind}")
         for kind in secrets.BASE
     ]
     return found.select(
