@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import byte_bpe, packing, quality, secrets, token_counts, topk, toxicity
+from shelfmark.llm import byte_bpe, packing, pii, quality, rules, secrets, token_counts, topk, toxicity
 from shelfmark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,19 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"].isin(*pii.BASE))
+    counts = [
+        F.size(F.filter("spans", _of_kind(kind))).cast("long").alias(f"n_{kind}") for kind in pii.BASE
+    ]
+    scores = F.array_join(F.transform("spans", lambda s: s["score"].cast("string")), ",")
+    return found.select(
+        "doc_id", *counts, F.sha2(secrets.span_list(base), 256).alias("base_sha256"),
+        secrets.span_list(F.col("spans")).alias("spans"), scores.alias("scores"),
+    )
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = byte_bpe.encode_documents(
         table(spark, sf_dir, "documents"),
@@ -47,6 +60,14 @@ def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0))
 
 
+def op5_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = rules.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept",
+    )
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -73,8 +94,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     made = (
-        op1_secrets, op3_byte_bpe, op4_topk, op6_toxicity, op7_quality, op9_packing,
-        op10_token_counts,
+        op1_secrets, op2_pii, op3_byte_bpe, op4_topk, op5_rules, op6_toxicity, op7_quality,
+        op9_packing, op10_token_counts,
     )
     return {q.__name__: q for q in made}
 
