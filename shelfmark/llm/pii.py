@@ -151,5 +151,8 @@ def redacted(text: Column, spans: Column) -> Column:
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """All columns of ``docs``, with the spans of the text replaced; a null text stays null."""
     text = F.col(f"`{text_col}`")
-    found = docs.select("*", all_spans(F.coalesce(text, F.lit(""))).alias("__spans"))
-    return found.withColumn(text_col, redacted(text, F.col("__spans"))).drop("__spans")
+    own = "spans"
+    while own in docs.columns:
+        own += "_"
+    found = docs.withColumn(own, all_spans(F.coalesce(text, F.lit(""))))
+    return found.withColumn(text_col, redacted(text, F.col(own))).drop(own)

@@ -11,6 +11,7 @@ list becomes one conditional expression of Spark, evaluated where the text is.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -96,15 +97,18 @@ def statistics(text: Column) -> Column:
     return bind(F.regexp_extract_all(text, F.lit(rf"[^{_SPACE}]+"), F.lit(0)), of_words)
 
 
-def base_failed() -> Column:
-    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+Source = Callable[[str], Column]
 
 
-def ratios() -> list[Column]:
+def base_failed(of: Source = F.col) -> Column:
+    return (of("n_words") < 50) | (100 * of("n_repeat_words") > 50 * of("n_words"))
+
+
+def ratios(of: Source = F.col) -> list[Column]:
     """The statistics the rules speak of, as shares; 0 where there are no words."""
 
     def share(part: str, whole: str) -> Column:
-        return F.when(F.col(whole) > 0, F.round(F.col(part) / F.col(whole), 6)).otherwise(0.0)
+        return F.when(of(whole) > 0, F.round(of(part) / of(whole), 6)).otherwise(0.0)
 
     return [
         share("n_symbols", "word_chars").alias("symbol_share"),
@@ -130,8 +134,8 @@ class Condition:
     above: bool
     threshold: float
 
-    def column(self) -> Column:
-        value = F.col(self.name)
+    def column(self, of: Source = F.col) -> Column:
+        value = of(self.name)
         return value > self.threshold if self.above else value <= self.threshold
 
 
@@ -246,13 +250,13 @@ def learn_rules(docs: DataFrame, labels: DataFrame, label: str = "quality", max_
     return Learner(thresholds).learn(cells[False], cells[True])
 
 
-def verdict(rules: list[Rule]) -> Column:
+def verdict(rules: list[Rule], of: Source = F.col) -> Column:
     """The list as one conditional expression: false from the first rule that holds."""
     out: Column | None = None
     for rule in rules:
         holds = F.lit(True)
         for c in rule:
-            holds = holds & c.column()
+            holds = holds & c.column(of)
         out = F.when(holds, F.lit(False)) if out is None else out.when(holds, F.lit(False))
     return F.lit(True) if out is None else out.otherwise(F.lit(True))
 
@@ -267,6 +271,18 @@ def judge(docs: DataFrame, rules: list[Rule], id_col: str = "doc_id", text_col:
     return rows.withColumn("kept", ~F.col("base_failed") & verdict(rules))
 
 
+def filter_kept(docs: DataFrame, rules: list[Rule], text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns and no others."""
+    own = "stats"
+    while own in docs.columns:
+        own += "_"
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    rows = docs.withColumn(own, statistics(text))
+    rows = rows.withColumn(own, F.col(own).withField("shares", F.struct(*ratios(lambda n: F.col(f"{own}.{n}")))))
+    kept = ~base_failed(lambda n: F.col(f"{own}.{n}")) & verdict(rules, lambda n: F.col(f"{own}.shares.{n}"))
+    return rows.where(kept).drop(own)
+
+
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Learn from the labels and judge every document."""
     return judge(docs, learn_rules(docs, labels))

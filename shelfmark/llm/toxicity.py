@@ -13,11 +13,13 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.llm import common
@@ -125,32 +127,36 @@ def train(
     return learnt.groupBy("coordinate").agg((F.sum("weight") / shards).alias("weight"))
 
 
-def score(
-    docs: DataFrame, weights: DataFrame, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """``doc_id, score`` of every row: the probability that the label is 1.
-
-    A null or empty text has the intercept's score. Null ids stay, repeated rows are scored
-    each, other columns are left behind, an empty table gives no rows.
-    """
+def scorer(spark: SparkSession, weights: DataFrame) -> Callable[[Column], Column]:
+    """A function from a text column to its score, as an Arrow-batched expression."""
     rows = weights.collect()  # at most 2^BITS + 1, by the coordinates' range
     dense = np.zeros((1 << BITS) + 1, dtype=np.float64)
     dense[[r["coordinate"] for r in rows]] = [r["weight"] for r in rows]
     at = np.flatnonzero(dense)
-    shared = docs.sparkSession.sparkContext.broadcast((at, dense[at]))
-    schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
+    shared = spark.sparkContext.broadcast((at, dense[at]))
 
-    def run(batches):
+    @F.pandas_udf("double")
+    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         w = np.zeros((1 << BITS) + 1)
         places, values = shared.value
         w[places] = values
-        made = (
-            (doc_id, float(1.0 / (1.0 + np.exp(-np.clip(w[features(text)].sum() + w[-1], -35, 35)))))
-            for doc_id, text in common.rows_of(batches)
-        )
-        yield from common.batched(made, schema)
+        for texts in batches:
+            sums = np.array([w[features(t)].sum() + w[-1] for t in texts], dtype=np.float64)
+            yield pd.Series(1.0 / (1.0 + np.exp(-np.clip(sums, -35, 35))))
+
+    return scores
 
-    return common.texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double")
+
+def score(
+    docs: DataFrame, weights: DataFrame, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """``doc_id, score`` of every row: the probability that the label is 1.
+
+    A null or empty text has the intercept's score. Null ids stay, repeated rows are scored
+    each, other columns are left behind, an empty table gives no rows.
+    """
+    scores = scorer(docs.sparkSession, weights)
+    return common.texts(docs, id_col, text_col).select("doc_id", scores("text").alias("score"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
