@@ -206,7 +206,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows:
     pooled = sample.mapInArrow(run, "doc_id long, label long, pooled binary").collect()
     pooled.sort(key=lambda r: (r["doc_id"], bytes(r["pooled"])))
     x = np.array([np.frombuffer(r["pooled"], dtype="<f4") for r in pooled], dtype=np.float64)
-    return shared, fit(x.reshape(len(pooled), -1), np.array([r["label"] for r in pooled]))
+    return shared, fit(x.reshape(len(pooled), 2 * DIMENSIONS), np.array([r["label"] for r in pooled]))
 
 
 def score(docs: DataFrame, matrix, network: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
