@@ -140,8 +140,14 @@ def match_score(content: Column, tokens: list[str]) -> Column:
 
 
 def why_tokens(tokens: Column, content: Column) -> Column:
-    """Tokens that literally occur in the text, in query order, repeats kept."""
-    return F.filter(tokens, lambda token: F.contains(content, token))
+    """Tokens that literally occur in the text, in query order, repeats kept.
+
+    The text is bound once, so it is not put together again for every token.
+    """
+    found = F.transform(
+        F.array(content), lambda text: F.filter(tokens, lambda token: F.contains(text, token))
+    )
+    return F.get(found, F.lit(0))
 
 
 def sorted_terms(content: Column) -> Column:

@@ -60,6 +60,13 @@ def newest(listing: DataFrame, limit: int | None) -> DataFrame:
     return listing.orderBy(F.desc("lm"), F.desc("id")).limit(limit)
 
 
+def oldest(listing: DataFrame, limit: int | None) -> DataFrame:
+    """The oldest ``limit`` rows: those a run must take first, so that none is left behind."""
+    if not limit:
+        return listing
+    return listing.orderBy(F.asc("lm"), F.asc("id")).limit(limit)
+
+
 def listing_to_datasets(listing: DataFrame, as_of: datetime, source: str = "hf") -> DataFrame:
     """Dataset rows for listing rows ``(id, lm, tags, license, private, …)``.
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_BUCKETS = 4096  # values of three hex digits
 _SALTS = 64
 
 
@@ -36,23 +35,21 @@ def rank_hits(hits: DataFrame, limit: int = 30, offset: int = 0) -> DataFrame:
     return hits.orderBy(F.desc("score"), F.asc("id")).offset(offset).limit(limit)
 
 
-def rank_hits_batch(hits: DataFrame, deepest: int | None = None) -> DataFrame:
+def rank_hits_batch(hits: DataFrame, deepest: int) -> DataFrame:
     """One page of hits for every query of a batch.
 
     ``hits`` has ``query_id, id, score, limit, offset``. A query may hold a large share
     of all hits, so the ranking runs in two steps: each of 64 parts of a query keeps the
     rows that could still reach the page, then the survivors of a query are ranked
     together. No hit of the page can be lost, as a row's rank within its part is never
-    worse than its rank overall. ``deepest`` is the largest ``offset + limit`` of the batch
-    where it is known; then every map task already drops what lies behind it.
+    worse than its rank overall. ``deepest`` is the largest ``offset + limit`` of the batch;
+    every map task drops what lies behind it before anything is shuffled.
     """
     best = [F.desc("score"), F.asc("id")]
     part = Window.partitionBy("query_id", F.pmod(F.hash("id"), F.lit(_SALTS))).orderBy(*best)
     whole = Window.partitionBy("query_id").orderBy(*best)
     last = F.col("offset") + F.col("limit")
-    kept = hits.withColumn("rn", F.row_number().over(part))
-    if deepest is not None:
-        kept = kept.filter(F.col("rn") <= deepest)
+    kept = hits.withColumn("rn", F.row_number().over(part)).filter(F.col("rn") <= deepest)
     return (
         kept.filter(F.col("rn") <= last)
         .withColumn("rn", F.row_number().over(whole))

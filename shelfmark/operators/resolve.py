@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import values
 from shelfmark.schemas import ARTIFACTS, EVENTS, JOBS
+from shelfmark.session import materialize
 from shelfmark.sources.conform import conform
 
 # The inferred types, in an order used only to keep them as numbers.
@@ -45,15 +46,22 @@ def _example_text(value: Column) -> Column:
     return F.when(whole_float, F.concat(plain, F.lit(".0"))).otherwise(plain)
 
 
-def sample_fields(
-    rows: DataFrame, row_cap: int | None = None, by: tuple[str, ...] = ("dataset_id",)
-) -> DataFrame:
+def first_rows(rows: DataFrame, cap: int, by: tuple[str, ...] = ("dataset_id",)) -> DataFrame:
+    """The first ``cap`` rows of each dataset by ``row_idx``, which becomes 0, 1, 2, ….
+
+    The stored numbers only tell the order: they may start anywhere, repeat and have gaps.
+    Every map task passes on ``cap`` rows of a dataset at most.
+    """
+    order = Window.partitionBy(*by).orderBy("row_idx", "row_json")
+    numbered = rows.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= cap)
+    return numbered.withColumn("row_idx", F.col("_n").cast("bigint") - 1).drop("_n")
+
+
+def sample_fields(rows: DataFrame, by: tuple[str, ...] = ("dataset_id",)) -> DataFrame:
     """``(*by, row_idx, pos, name, value)``: every field of every sample row.
 
     A row ``{"row": {…}}`` stands for its inner object; what is no object is left out.
     """
-    if row_cap is not None:
-        rows = rows.filter(F.col("row_idx") < row_cap)
     parsed = rows.select(*by, "row_idx", "row_json", F.from_json("row_json", _MAP).alias("outer"))
     inner = F.from_json(F.get_json_object("row_json", "$.row"), _MAP)
     fields = parsed.select(
@@ -83,9 +91,11 @@ def infer_schema(
     per field and map task. Nullability is looked for only in rows that contain the text
     ``null``, and is reduced to distinct field names before the shuffle as well.
     """
+    if row_cap is not None:
+        rows = first_rows(rows, row_cap, by)
     first = Window.partitionBy(*by, "name").orderBy("row_idx")
     kept = (
-        sample_fields(rows, row_cap, by)
+        sample_fields(rows, by)
         .withColumn("rn", F.row_number().over(first))
         .filter(F.col("rn") <= EXAMPLES)
         .withColumns({"code": _dtype_code(F.col("value")), "example": _example_text(F.col("value"))})
@@ -97,7 +107,7 @@ def infer_schema(
         F.sort_array(F.collect_list(F.struct("rn", "example"))).alias("kept"),
     )
     nullable = (
-        sample_fields(rows.filter(F.contains("row_json", F.lit("null"))), row_cap, by)
+        sample_fields(rows.filter(F.contains("row_json", F.lit("null"))), by)
         .filter(F.col("value").isNull() | F.is_variant_null("value"))
         .select(*by, "name")
         .distinct()
@@ -234,7 +244,8 @@ def apply_outcomes(
         F.col("job_id").alias("id"), "ok", "payload",
         F.col("error_class").alias("new_class"), F.col("error_detail").alias("new_detail"),
     )
-    joined = jobs.join(o, "id", "left")
+    # Joined once and stored; the three results are read from that.
+    joined = materialize(jobs.join(o, "id", "left"), "outcomes")
     failed = F.coalesce(~F.col("ok"), F.lit(False))
     ended = F.col("ok").isNotNull()
     updated = joined.withColumns(
@@ -248,7 +259,7 @@ def apply_outcomes(
             "finished_at": F.when(ended, now).otherwise(F.col("finished_at")),
         }
     )
-    finished = jobs.join(o, "id", "inner")
+    finished = joined.filter(ended)
     artifacts = finished.filter("ok").select(
         "dataset_id", "kind", "payload",
         F.coalesce("started_at", "enqueued_at").alias("created_at"),

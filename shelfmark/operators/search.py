@@ -35,11 +35,12 @@ def salted_join(many: DataFrame, few: DataFrame, key: str, spread_by: str) -> Da
     return spread.join(few.withColumn("_part", F.explode(parts)), [key, "_part"]).drop("_part")
 
 
-def is_short(table: DataFrame, key: str) -> bool:
-    """Measured: at most 100,000 rows and 8 MB of keys, so fit to be broadcast."""
+def is_short(table: DataFrame) -> bool:
+    """Measured: at most 100,000 rows and 8 MB in all columns, so fit to be broadcast."""
+    row_bytes = F.octet_length(F.to_json(F.struct(*table.columns)))
     size = (
         table.limit(_BROADCAST_ROWS + 1)
-        .agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length(key)).alias("bytes"))
+        .agg(F.count(F.lit(1)).alias("rows"), F.sum(row_bytes).alias("bytes"))
         .first()
     )
     return size["rows"] <= _BROADCAST_ROWS and (size["bytes"] or 0) <= _BROADCAST_BYTES
@@ -51,7 +52,7 @@ def keyed_join(many: DataFrame, few: DataFrame, key: str, spread_by: str) -> Dat
     A short side is broadcast and ``many`` stays where it is; else the salted join moves
     both.
     """
-    if is_short(few, key):
+    if is_short(few):
         return many.join(F.broadcast(few), key)
     return salted_join(many, few, key, spread_by)
 
@@ -60,9 +61,17 @@ def _grams(content: Column, size: int) -> Column:
     """Distinct runs of ``size`` characters."""
     if size == 0:
         return F.array(F.lit(""))
-    chars = F.split(content, "")
     starts = F.sequence(F.lit(1), F.length(content) - (size - 1))
-    runs = F.transform(starts, lambda i: F.array_join(F.slice(chars, i, F.lit(size)), ""))
+    # The characters are bound once; inside the inner lambda they would be split per start.
+    runs = F.get(
+        F.transform(
+            F.array(F.split(content, "")),
+            lambda chars: F.transform(
+                starts, lambda i: F.array_join(F.slice(chars, i, F.lit(size)), "")
+            ),
+        ),
+        F.lit(0),
+    )
     return F.array_distinct(
         F.when(F.length(content) >= size, runs).otherwise(F.array().cast("array<string>"))
     )
@@ -92,7 +101,7 @@ def like_join_by_grams(docs: DataFrame, tokens: DataFrame) -> DataFrame:
     if not sizes:
         return docs.select(F.lit("").alias("token"), "dataset_id").limit(0)
     grams = F.concat(*[_grams(F.col("content"), n) for n in sorted(sizes)])
-    if is_short(anchors, "token"):
+    if is_short(anchors):
         asked = anchors.agg(F.collect_set("gram").alias("grams")).scalar()
         found = docs.select(
             "dataset_id", "content", F.explode(F.array_intersect(grams, asked)).alias("gram")
@@ -197,14 +206,13 @@ def _bucket_of(term: Column, buckets: int) -> Column:
 def write_inverted_index(docs: DataFrame, path: str, buckets: int = 256) -> None:
     """Store the index so that a query reads only the folders of its terms.
 
-    A bucket that holds hot terms is spread over several tasks and files by document.
+    Adaptive execution splits buckets that hold hot terms over several tasks and files, by
+    their measured size.
     """
     spark = docs.sparkSession
     bucketed = _postings(docs).withColumn("bucket", _bucket_of(F.col("term"), buckets))
     (
-        bucketed.withColumn("part", F.pmod(F.hash("dataset_id"), F.lit(_SALTS)))
-        .repartition("bucket", "part")
-        .drop("part")
+        bucketed.hint("rebalance", "bucket")
         .sortWithinPartitions("bucket", "term")
         .write.partitionBy("bucket").parquet(f"{path}/postings")
     )
@@ -244,9 +252,10 @@ def postings_of(index: Index, terms: list[str]) -> DataFrame:
 def _in_folders(table: DataFrame, index: Index, terms: DataFrame) -> DataFrame:
     if not index.buckets:
         return table
-    # No more rows than there are buckets; broadcast, they prune the folders to read.
+    # No more numbers than there are buckets; as literals they prune the folders to read.
     folders = terms.select(_bucket_of(F.col("term"), index.buckets).alias("bucket")).distinct()
-    return table.join(F.broadcast(folders), "bucket", "left_semi").drop("bucket")
+    numbers = sorted(row["bucket"] for row in folders.collect())
+    return table.filter(F.col("bucket").isin(numbers)).drop("bucket")
 
 
 def postings_join(index: Index, terms: DataFrame) -> DataFrame:

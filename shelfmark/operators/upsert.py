@@ -18,19 +18,23 @@ from shelfmark.schemas import ARTIFACTS, DATASETS, JOBS
 from shelfmark.sources.conform import conform
 
 
-def last_per_key(batch: DataFrame, keys: list[str], order: str | None = "batch_pos") -> DataFrame:
-    """The last row of each key in batch order.
+# What tells the last row of a key, where the batch has it.
+_LATEST = ("batch_pos", "last_seen_lm", "fingerprint", "created_at", "enqueued_at")
 
-    Without the order column the batch must hold each key once. Each map task passes on
-    one row per key only, so a key that fills the batch stays cheap.
+
+def last_per_key(batch: DataFrame, keys: list[str]) -> DataFrame:
+    """One row for each key: the last in batch order.
+
+    The order is ``batch_pos``; where that is missing or equal, the latest by time and
+    fingerprint, and a hash of the whole row settles the rest. Each map task passes on one
+    row per key only, so a key that fills the batch stays cheap.
     """
-    if order not in batch.columns:
-        return batch
-    latest = Window.partitionBy(*keys).orderBy(F.desc(order))
+    known = [F.desc(c) for c in _LATEST if c in batch.columns]
+    latest = Window.partitionBy(*keys).orderBy(*known, F.xxhash64(*batch.columns))
     return (
         batch.withColumn("_rn", F.row_number().over(latest))
         .filter(F.col("_rn") == 1)
-        .drop("_rn", order)
+        .drop("_rn", "batch_pos")
     )
 
 

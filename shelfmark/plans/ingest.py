@@ -12,23 +12,24 @@ from shelfmark.operators import ingest as ops
 from shelfmark.operators import upsert
 
 
-def _selected(listing, cursor, limit, backfill_until) -> DataFrame:
+def _selected(listing, cursor, limit, backfill_until, gap_safe) -> DataFrame:
     rows = ops.after_cursor(ops.with_lm(listing), cursor)
     if backfill_until is not None:
         rows = rows.filter(F.col("lm") >= values.at(backfill_until))
-    return ops.newest(rows, limit)
+    return ops.oldest(rows, limit) if gap_safe else ops.newest(rows, limit)
 
 
 def ingest_listing(
     listing: DataFrame, cursor: DataFrame, as_of: datetime, limit: int | None = None,
-    backfill_until: datetime | None = None, source: str = "hf",
+    backfill_until: datetime | None = None, source: str = "hf", gap_safe: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     """``(datasets, cursor)``: rows of the listing after the cursor, and the new cursor.
 
-    With a ``limit`` the newest rows are taken and the cursor still moves to the newest
-    one, so older rows that were cut off are not seen by the next run.
+    With a ``limit`` the oldest rows after the cursor are taken, and the cursor moves to the
+    last of them, so repeated runs see every row once. ``gap_safe=False`` takes the newest
+    rows first; the cursor then passes the older ones, which no later run sees.
     """
-    rows = _selected(listing, cursor, limit, backfill_until)
+    rows = _selected(listing, cursor, limit, backfill_until, gap_safe)
     datasets = ops.listing_to_datasets(rows, as_of, source)
     return datasets, ops.next_cursor(rows.select("lm", "id"), cursor)
 

@@ -442,7 +442,7 @@ FROM events"""
     add("ingest_listing", "listing", """
 , top AS (
   SELECT l.* FROM listed l WHERE last_seen_lm > TIMESTAMP '2024-01-21' OR (last_seen_lm = TIMESTAMP '2024-01-21' AND id > 'ds/5')
-  ORDER BY last_seen_lm DESC, id DESC LIMIT 500
+  ORDER BY last_seen_lm, id LIMIT 500
 )
 SELECT id, title, fingerprint, last_seen_lm, access_class, license_class,
   (SELECT last_seen_lm FROM top ORDER BY last_seen_lm DESC, id DESC LIMIT 1) AS cursor_lm,
@@ -671,15 +671,29 @@ FROM typed GROUP BY dataset_id, name""")
     sql["features_from_info"] = _INFO + " SELECT dataset_id, features, config, split FROM info"
     sql["features_from_card"] = _INFO + " SELECT dataset_id, features FROM cards"
     sql["resolve_schemas"] = _INFO + """
+, numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events
+),
+sampled AS (
+  SELECT user_id, cap, string_agg(CAST(user_id AS VARCHAR), ',' ORDER BY rn) AS ids,
+    string_agg(CAST(json(props) AS VARCHAR), ',' ORDER BY rn) AS objects
+  FROM numbered, (SELECT unnest([2, 200]) AS cap) WHERE rn <= least(cap, 3) GROUP BY user_id, cap
+),
+asked AS (SELECT *, CASE WHEN event_id % 2 = 0 THEN 2 ELSE 200 END AS cap FROM events),
+solved AS (
+  SELECT e.*, i.config, i.split, CASE WHEN i.features IS NOT NULL THEN i.features
+    WHEN i.config IS NOT NULL THEN '[{"name":"id","dtype":"int64","nullable":false,"examples":[' || s.ids
+      || ']},{"name":"props","dtype":"struct","nullable":false,"examples":[' || s.objects || ']}]'
+    ELSE c.features END AS found
+  FROM asked e JOIN sampled s USING (user_id, cap)
+  LEFT JOIN info i ON i.dataset_id = 'ds/' || e.user_id LEFT JOIN cards c ON c.dataset_id = 'ds/' || e.user_id
+)
 SELECT 'job-' || event_id AS job_id, 'ds/' || user_id AS dataset_id,
-  CASE WHEN s.name IS NOT NULL THEN i.config END AS config, CASE WHEN s.name IS NOT NULL THEN i.split END AS split,
-  CASE WHEN s.name IS NULL THEN 'schema_not_available' END AS note, s.name AS first_name, s.dtype AS first_dtype, 1000000 AS cap
-FROM events e LEFT JOIN info i ON i.dataset_id = 'ds/' || e.user_id LEFT JOIN cards c ON c.dataset_id = 'ds/' || e.user_id,
-LATERAL (SELECT
-  CASE WHEN i.features IS NOT NULL THEN json_extract_string(i.features, '$[0].name')
-    WHEN i.config IS NOT NULL THEN 'id' ELSE json_extract_string(c.features, '$[0].name') END AS name,
-  CASE WHEN i.features IS NOT NULL THEN json_extract_string(i.features, '$[0].dtype')
-    WHEN i.config IS NOT NULL THEN 'int64' ELSE json_extract_string(c.features, '$[0].dtype') END AS dtype) s"""
+  CASE WHEN found IS NOT NULL THEN config END AS config, CASE WHEN found IS NOT NULL THEN split END AS split,
+  CASE WHEN found IS NULL THEN 'schema_not_available' END AS note, 'hf_connector' AS source,
+  CASE WHEN event_id % 4 = 3 THEN 'snips' ELSE 'schema' END AS kind, coalesce(found, '[]') AS schema,
+  cap AS row_cap_applied, 0 AS fetched_ms, 1500 AS budget_ms_requested, false AS budget_exhausted
+FROM solved"""
     add("classify_error", "failures", "SELECT event_id, new_class AS error_class FROM classified")
     add("apply_outcomes", "jobs failures", f"""
 , outcomes AS (
@@ -716,6 +730,7 @@ UNION ALL SELECT 'prefetch-' || id, id, 'schema', 'queued', 1500, {_AS_OF} FROM
 
     # Streams
     add("stream_signals", "signals", "SELECT * FROM signals0")
+    add("stream_signals_shuffled", "signals", "SELECT * FROM signals0")
     sql["stream_popularity"] = """
 WITH starts AS (
   SELECT unnest(generate_series(date_trunc('day', min(ts)) - INTERVAL 6 DAY, date_trunc('day', max(ts)), INTERVAL 1 DAY)) AS window_start,
@@ -728,6 +743,11 @@ SELECT window_start, window_start + INTERVAL 7 DAY AS window_end, 'ds/' || user_
 FROM events JOIN shifted ON ts >= window_start AND ts < window_start + INTERVAL 7 DAY
 WHERE window_start + INTERVAL 7 DAY <= latest - INTERVAL 1 DAY GROUP BY ALL"""
     add("stream_upsert_datasets", "batch", "SELECT id, title, fingerprint, readme_tokens FROM merged")
+    add("stream_upsert_effects", "batch artifacts", """
+SELECT 'artifact' AS part, dataset_id, kind AS what,
+  CASE WHEN dataset_id IN (SELECT id FROM compared WHERE type = 'dataset.changed') THEN true ELSE stale END AS stale
+FROM artifacts UNION ALL
+SELECT 'event', id, type, CAST(NULL AS BOOLEAN) FROM compared WHERE type IS NOT NULL""")
     sql["stream_job_state"] = """
 SELECT 'job-' || user_id AS id, event_type AS state, ts AS at FROM events
 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"""

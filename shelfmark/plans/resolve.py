@@ -93,10 +93,10 @@ def resolve_schemas(
         & (F.coalesce("split", F.lit("")) != "")
     ).select("dataset_id")
     asked = jobs.select("dataset_id", "cap").distinct().join(lacking, "dataset_id", "left_semi")
-    # Cut every dataset to the largest cap before rows meet jobs: what is joined then has
-    # a bounded number of rows per dataset.
-    widest = jobs.agg(F.max("cap")).scalar()
-    sampled = rows.filter(F.col("row_idx") < widest).join(asked, "dataset_id")
+    # Cut every dataset to the largest cap, in map tasks, before rows meet jobs: what is
+    # joined then has a bounded number of rows per dataset.
+    widest = jobs.agg(F.max("cap")).first()[0] or 0
+    sampled = ops.first_rows(rows, widest).join(asked, "dataset_id")
     inferred = ops.features_from_rows(
         sampled.filter("row_idx < cap"), by=("dataset_id", "cap")
     ).withColumnRenamed("features", "inferred")

@@ -58,8 +58,10 @@ def _nothing(datasets: DataFrame, artifacts: DataFrame):
 
 def _finish(scored, datasets, artifacts, tokens, filters, limit, offset):
     """Page and total of one search; the matching itself runs once, for both."""
-    eligible = flt.by_search_filters(datasets, filters).select("id")
-    scored = materialize(scored.join(eligible, "id", "left_semi"), "scored")
+    if filters and any(filters.values()):
+        eligible = flt.by_search_filters(datasets, filters).select("id")
+        scored = scored.join(eligible, "id", "left_semi")
+    scored = materialize(scored, "scored")
     hits = _wide_page(scored, datasets, artifacts, tokens, limit, offset)
     return hits, scored.agg(F.count(F.lit(1)).alias("total"))
 
@@ -137,14 +139,21 @@ def _eligible_batch(scored: DataFrame, queries: DataFrame, datasets: DataFrame)
     return rows.select("query_id", "id", "score", "limit", "offset")
 
 
+def deepest_row(queries: DataFrame) -> int:
+    """The largest ``offset + limit`` of a batch."""
+    return queries.agg(F.max(F.col("offset") + F.col("limit"))).first()[0] or 0
+
+
 def _pages(
     eligible: DataFrame, queries: DataFrame, datasets: DataFrame, artifacts: DataFrame
 ) -> DataFrame:
     """Page and total of every query; the matching itself runs once, for both."""
     eligible = materialize(eligible, "eligible")
     totals = eligible.groupBy("query_id").agg(F.count(F.lit(1)).alias("total"))
-    deepest = queries.agg(F.max(F.col("offset") + F.col("limit"))).first()[0] or 0
-    page = ordering.rank_hits_batch(eligible, deepest).select("query_id", "id", "score", "rn")
+    page = ordering.rank_hits_batch(eligible, deepest_row(queries))
+    page = materialize(page.select("query_id", "id", "score", "rn"), "page")
+    if ops.is_short(page):  # no more rows than the limits of the queries add up to
+        page = F.broadcast(page)
     tokens = queries.select("query_id", text.query_tokens(F.col("query")).alias("tokens"))
     found = page.join(datasets, "id").join(tokens, "query_id").join(totals, "query_id")
     hits = joins.with_schema_flag(found, artifacts).withColumn(

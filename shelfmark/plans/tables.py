@@ -28,7 +28,7 @@ from shelfmark.sources.conform import conform
 
 AS_OF = datetime(2024, 1, 31)
 CURSOR = (datetime(2024, 1, 21), "ds/5")  # where the last listing run ended
-INDEX_BUCKETS = 8
+INDEX_BUCKETS = 256
 
 REQUESTS = T.StructType(
     [T.StructField(n, T.StringType()) for n in ("request_id", "dataset_id", "kind")]

@@ -18,7 +18,8 @@ from shelfmark.functions import values
 from shelfmark.operators import jobs as job_ops
 from shelfmark.operators import upsert
 from shelfmark.schemas import ARTIFACTS, DATASETS, EVENTS, SIGNALS
-from shelfmark.sources import snapshots
+from shelfmark.session import materialize
+from shelfmark.sources import logs, snapshots
 from shelfmark.sources.conform import conform
 
 STATE = {"datasets": (DATASETS, ["id"]), "artifacts": (ARTIFACTS, ["dataset_id", "kind"])}
@@ -48,15 +49,43 @@ def read_folder(spark: SparkSession, folder: str, files_per_batch: int | None =
     return reader.parquet(folder)
 
 
+def read_log(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """All rows of a log that is written in one folder per micro-batch."""
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
+
+
+def _write_log(rows: DataFrame, path: str, run: str, batch_id: int) -> None:
+    """One batch's rows, in a folder of its own; a batch that is run again replaces them."""
+    rows.write.mode("overwrite").parquet(f"{path}/run={run}/batch={batch_id}")
+
+
+def _run_of(batch: DataFrame) -> str:
+    """The id a stream keeps as long as its checkpoint."""
+    return batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or "none"
+
+
 def stream_signals(
-    source: DataFrame, sink: str, checkpoint: str, delay: str = "1 day"
+    source: DataFrame, sink: str, checkpoint: str, as_of: datetime
 ) -> StreamingQuery:
-    """Appends signals to the log, each id once within the watermark delay."""
-    rows = conform(source, SIGNALS).withColumn("seen_at", values.instant(F.col("created_at")))
-    unique = rows.withWatermark("seen_at", delay).dropDuplicatesWithinWatermark(["id"])
+    """Appends signals to the log, each id once, however late it comes.
+
+    Every batch is held against the ids of the whole log, so the log is the same as after
+    ``append_signals`` of all signals at once, in whatever order they arrive. Signals
+    without an id get one; a missing time becomes ``as_of``.
+    """
+    spark = source.sparkSession
+    spark.createDataFrame([], SIGNALS).write.mode("ignore").parquet(f"{sink}/run=none/batch=0")
+
+    def append(batch: DataFrame, batch_id: int) -> None:
+        run = _run_of(batch)
+        logged = read_log(spark, sink, SIGNALS).filter(
+            ~F.contains(F.input_file_name(), F.lit(f"/run={run}/batch={batch_id}/"))
+        )
+        rows = logs.signal_rows(batch, as_of).join(logged.select("id"), "id", "left_anti")
+        _write_log(rows.select(*SIGNALS.names), sink, run, batch_id)
+
     return (
-        unique.drop("seen_at").writeStream.format("parquet").option("path", sink)
-        .option("checkpointLocation", checkpoint).outputMode("append")
+        source.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )
 
@@ -90,7 +119,8 @@ def current(spark: SparkSession, state_path: str, name: str, below: int | None =
 
 
 def stream_upsert_datasets(
-    source: DataFrame, state_path: str, checkpoint: str, as_of: datetime, seed_version: int = 1
+    source: DataFrame, state_path: str, checkpoint: str, as_of: datetime, seed_version: int = 1,
+    compact_every: int = 16,
 ) -> StreamingQuery:
     """Merges a stream of dataset rows into the stored catalog.
 
@@ -98,23 +128,29 @@ def stream_upsert_datasets(
     ``events``. ``seed_version`` is the state the stream started from (it may be missing);
     it stays the same as long as the checkpoint does. A batch compares itself with the ids
     and fingerprints of the versions before its own; its dataset rows are written last, so
-    a batch counts as merged only when all it caused is written.
+    a batch counts as merged only when all it caused is written. The batch is stored once
+    and read from there. After every ``compact_every`` batches the changes are folded into
+    a full version, so reading never has to merge more than that many.
     """
     spark = source.sparkSession
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         version = seed_version + batch_id + 1
+        batch = materialize(batch, "micro-batch")
         stored = current(spark, state_path, "datasets", below=version)
         artifacts = current(spark, state_path, "artifacts", below=version)
         changed = upsert.changed_ids(stored, batch)
         hit = artifacts.join(changed.withColumnRenamed("id", "dataset_id"), "dataset_id", "left_semi")
         events = upsert.detect_changes(stored, batch, as_of)
         latest = conform(upsert.last_per_key(batch, ["id"]), DATASETS)
-        snapshots.write_snapshot(conform(events, EVENTS), f"{state_path}/events", version)
+        _write_log(conform(events, EVENTS), f"{state_path}/events", "merge", version)
         snapshots.write_delta(
             conform(hit.withColumn("stale", F.lit(True)), ARTIFACTS), f"{state_path}/artifacts", version
         )
         snapshots.write_delta(latest, f"{state_path}/datasets", version)
+        if version % compact_every == 0:
+            for name, (schema, keys) in STATE.items():
+                snapshots.compact(spark, f"{state_path}/{name}", schema, keys)
 
     return (
         source.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)

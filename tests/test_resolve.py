@@ -80,6 +80,14 @@ def test_random_rows_with_one_hot_dataset(spark):
     assert inferred(spark, data, row_cap=5) == capped
 
 
+def test_row_cap_counts_rows_not_numbers(spark):
+    rows = [("d", 7, '{"a":1}'), ("d", 1_000_007, '{"a":null,"b":2}'), ("d", 1_000_007, '{"c":3}'), ("d", 2_000_000, '{"z":0}')]
+    df = spark.createDataFrame(rows, "dataset_id string, row_idx long, row_json string")
+    got = [(r["name"], r["dtype"], r["nullable"]) for r in ops.infer_schema(df, 2).orderBy("pos").collect()]
+    assert got == [("a", "int64", True), ("b", "int64", False)]
+    assert [r["name"] for r in ops.infer_schema(df, 4).orderBy("pos").collect()] == ["a", "b", "c", "z"]
+
+
 def info_of(spark, records):
     df = spark.createDataFrame([(json.dumps(r),) for r in records], "j string")
     return df.select(F.from_json("j", ops.INFO).alias("i")).select("i.*")

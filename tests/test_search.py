@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -83,6 +84,17 @@ def test_all_like_joins_give_all_pairs(spark, monkeypatch):
         assert len(rows) == len(set(rows)) and set(rows) == want
 
 
+def test_grams_take_linear_time(spark):
+    """Twice the text must not take four times as long; the longest has 200,000 characters."""
+    took = {}
+    for n in (2_000, 50_000, 100_000, 200_000):
+        docs = docs_of(spark, ["abcdefghij" * (n // 10)])
+        begin = time.perf_counter()
+        docs.select(F.size(ops._grams(F.col("content"), 3))).collect()
+        took[n] = time.perf_counter() - begin
+    assert took[200_000] < 8 * took[50_000] + 2
+
+
 def test_long_vocabulary_takes_the_gram_join(spark, monkeypatch):
     monkeypatch.setattr(ops, "INLINE_TOKENS", 2)
     docs = docs_of(spark, ["one two", "two three"])
@@ -162,7 +174,7 @@ def test_rank_hits_batch_keeps_every_page_row(spark):
     rows = [("hot", f"i{n}", rng.randint(0, 3), 7, 20) for n in range(900)]
     rows += [("cold", f"i{n}", 1, 5, 0) for n in range(3)]
     df = spark.createDataFrame(rows, "query_id string, id string, score int, limit int, offset int")
-    got = {(r["query_id"], r["rn"]): r["id"] for r in ordering.rank_hits_batch(df).collect()}
+    got = {(r["query_id"], r["rn"]): r["id"] for r in ordering.rank_hits_batch(df, 27).collect()}
     best = sorted((r for r in rows if r[0] == "hot"), key=lambda r: (-r[2], r[1]))
     assert [got["hot", n] for n in range(21, 28)] == [r[1] for r in best[20:27]]
     assert len(got) == 10

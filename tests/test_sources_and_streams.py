@@ -88,20 +88,24 @@ def files(df, folder):
     df.coalesce(1).write.mode("append").parquet(folder)
 
 
-def test_stream_signals_drops_repeats_across_batches(spark, tmp_path):
+def test_stream_signals_keeps_late_rows_and_equals_the_batch(spark, tmp_path):
     def signal(rows):
         return conform(spark.createDataFrame(rows, "id string, dataset_id string, created_at timestamp_ntz"), SIGNALS)
 
     folder, out, ckpt = (str(tmp_path / n) for n in ("in", "out", "ckpt"))
     day = datetime(2024, 1, 1)
     files(signal([("a", "d", day), ("a", "d", day), ("b", "d", day)]), folder)
-    streams.stream_signals(streams.read_folder(spark, folder), out, ckpt).awaitTermination()
+    streams.stream_signals(streams.read_folder(spark, folder), out, ckpt, NOW).awaitTermination()
     files(signal([("a", "d", day + timedelta(hours=1)), ("c", "d", day + timedelta(days=9))]), folder)
-    streams.stream_signals(streams.read_folder(spark, folder), out, ckpt).awaitTermination()
+    streams.stream_signals(streams.read_folder(spark, folder), out, ckpt, NOW).awaitTermination()
     files(signal([("late", "d", day), ("a", "d", day + timedelta(days=9))]), folder)
-    streams.stream_signals(streams.read_folder(spark, folder), out, ckpt).awaitTermination()
-    # Late rows are dropped by the watermark; a repeat far beyond it counts as new.
-    assert sorted(r["id"] for r in spark.read.parquet(out).collect()) == ["a", "a", "b", "c"]
+    streams.stream_signals(streams.read_folder(spark, folder), out, ckpt, NOW).awaitTermination()
+    once = logs.append_signals(spark.createDataFrame([], SIGNALS), spark.read.parquet(folder), NOW)
+    got = sorted(r["id"] for r in streams.read_log(spark, out, SIGNALS).collect())
+    assert got == sorted(r["id"] for r in once.collect()) == ["a", "b", "c", "late"]
+    # With a lost checkpoint everything is read again, and nothing is logged twice.
+    streams.stream_signals(streams.read_folder(spark, folder, 1), out, ckpt + "2", NOW).awaitTermination()
+    assert sorted(r["id"] for r in streams.read_log(spark, out, SIGNALS).collect()) == got
 
 
 def test_stream_popularity_emits_closed_windows_once(spark, tmp_path):
@@ -138,7 +142,7 @@ def test_stream_upsert_equals_batch_and_survives_a_rerun(spark, catalog, tmp_pat
     assert sorted(got.select("id", "fingerprint").collect(), key=str) == sorted(want.select("id", "fingerprint").collect(), key=str)
     stale = streams.current(spark, state, "artifacts").filter("stale").select("dataset_id", "kind").collect()
     assert {tuple(r) for r in stale} == {("lab/river-levels", "schema"), ("lab/river-levels", "snips")}
-    log = spark.read.parquet(*[f"{state}/events/v0000000{v}" for v in (2, 3)]).collect()
+    log = streams.read_log(spark, f"{state}/events", EVENTS).collect()
     assert sorted((r["type"], r["dataset_id"]) for r in log) == [
         ("dataset.changed", "lab/river-levels"), ("dataset.changed", "x"), ("dataset.discovered", "x"),
     ]
@@ -146,7 +150,7 @@ def test_stream_upsert_equals_batch_and_survives_a_rerun(spark, catalog, tmp_pat
     streams.stream_upsert_datasets(streams.read_folder(spark, folder, 1), state, str(tmp_path / "c2"), NOW).awaitTermination()
     assert sorted(streams.current(spark, state, "datasets").select("id", "fingerprint").collect(), key=str) == sorted(
         got.select("id", "fingerprint").collect(), key=str)
-    assert spark.read.parquet(f"{state}/events/v00000002").count() == 2
+    assert streams.read_log(spark, f"{state}/events", EVENTS).count() == 3
     # Folding the deltas into a snapshot changes nothing either.
     snapshots.compact(spark, f"{state}/datasets", DATASETS, ["id"])
     assert snapshots.latest_version(spark, f"{state}/datasets") == 3

@@ -100,8 +100,27 @@ def test_cursor(spark):
         ingest.backfill(rows, NOW, 2)
 
 
-def test_ingest_limit_moves_cursor_to_the_newest(spark):
-    datasets, cursor = ingest_plan.ingest_listing(listing_of(spark), cursor_of(spark), NOW, limit=2)
+def test_limited_runs_see_every_row_once(spark):
+    want = {r["id"] for r in ingest.with_lm(listing_of(spark)).collect()}
+    cursor, seen = cursor_of(spark), []
+    for _ in range(10):
+        datasets, after = ingest_plan.ingest_listing(listing_of(spark), cursor, NOW, limit=1)
+        seen += [r["id"] for r in datasets.collect()]
+        cursor = cursor_of(spark, *[tuple(r) for r in after.collect()])
+    assert sorted(seen) == sorted(want)
+
+
+def test_repeated_ids_without_a_position_leave_one_row(spark, catalog):
+    batch = batch_of(spark, BATCH).drop("batch_pos")
+    merged = upsert.upsert_datasets(catalog[0], batch.unionByName(batch)).collect()
+    assert len(merged) == len({r["id"] for r in merged}) == 5
+    assert {r["id"]: r["title"] for r in merged}["new"] == "second"
+
+
+def test_newest_first_ingest_moves_cursor_to_the_newest(spark):
+    datasets, cursor = ingest_plan.ingest_listing(
+        listing_of(spark), cursor_of(spark), NOW, limit=2, gap_safe=False
+    )
     rows = {r["id"]: r for r in datasets.collect()}
     assert set(rows) == {"new", "b/3"} and rows["b/3"]["ns_local_id"] == "3" and rows["new"]["title"] == "new"
     assert json.loads(rows["new"]["quality_signals"]) == {"downloads": None, "likes": None, "gated": None}
