@@ -203,6 +203,7 @@ def pack_instructions(
     conversation as ``doc_id``, and the turn. Nulls are treated as in ``pack_documents``; a
     turn without a role bears no loss.
     """
+    common.importable(turns.sparkSession)
     rows = turns.select(
         F.col("conv_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),

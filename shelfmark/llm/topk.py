@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfmark.llm.common import importable
+
 CELL_CANDIDATES, CELL_QUERIES = 16_384, 2_048
 #: Candidates whose scores are held at once.
 BLOCK = 4_096
@@ -94,6 +96,7 @@ def top_k(
     """
     if k < 1:
         raise ValueError("k must be at least 1")
+    importable(vectors.sparkSession)
     both = []
     for df in (vectors, queries):
         narrow = df.select(
