@@ -26,7 +26,7 @@ from shelfmark.llm import common
 
 BITS = 20
 #: Bound of the training sample, in labelled rows, and of the rows that one task learns from.
-MAX_ROWS, SHARD_ROWS = 20_000, 5_000
+MAX_ROWS, SHARD_ROWS = 20_000, 10_000
 THRESHOLD = 0.3
 #: Word hashes kept in a worker.
 KEPT = 1_000_000
@@ -129,6 +129,7 @@ def train(
 
 def scorer(spark: SparkSession, weights: DataFrame) -> Callable[[Column], Column]:
     """A function from a text column to its score, as an Arrow-batched expression."""
+    common.importable(spark)
     rows = weights.collect()  # at most 2^BITS + 1, by the coordinates' range
     dense = np.zeros((1 << BITS) + 1, dtype=np.float64)
     dense[[r["coordinate"] for r in rows]] = [r["weight"] for r in rows]
