@@ -11,10 +11,18 @@ import numpy as np
 
 from shelfmark.llm.bpe import is_plain
 
-#: Words kept in a worker's table; it starts anew beyond that.
-KEPT = 1_000_000
+#: Entries that each of a worker's two tables takes; later words are put together anew.
+KEPT = 800_000
 # Fixed value: the tokenizer's own split pattern in the dialect of ``re``, for plain texts.
-_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letters that byte-level vocabularies write bytes with, by byte: printable ones
+    stand for themselves, the others follow from U+0100 on."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
 @functools.cache
@@ -22,31 +30,43 @@ def encoder(path: str) -> Callable[[str], np.ndarray]:
     """A function from a text to its ids (little-endian unsigned 32-bit), one per worker.
 
     Ids are those of the tokenizers library without added special tokens. Plain texts are
-    put together from the ids of their words, for the merges never cross words; texts with
-    other characters or with a special string are given to the library as a whole.
+    put together from the ids of their words, for neither the tokenizer's split nor its
+    merges ever cross white space; texts with other characters or with a special string are
+    given to the library as a whole.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(path)
-    known: dict[str, bytes] = {}
+    model, letters = library.model, _byte_letters()
+    words: dict[str, bytes] = {}
+    pieces: dict[str, bytes] = {}
+
+    def packed(ids: list[int]) -> bytes:
+        return np.array(ids, dtype="<u4").tobytes()
+
+    def of_piece(piece: str) -> bytes:
+        spelled = piece if piece.isascii() else piece.encode().decode("latin-1").translate(letters)
+        ids = packed([token.id for token in model.tokenize(spelled)])
+        if len(pieces) < KEPT:
+            pieces[piece] = ids
+        return ids
 
-    def whole(text: str) -> bytes:
-        return np.array(library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    def of_word(word: str) -> bytes:
+        ids = b"".join([pieces.get(p) or of_piece(p) for p in _PIECES.findall(word)])
+        if len(words) < KEPT:
+            words[word] = ids
+        return ids
 
     def encode(text: str) -> np.ndarray:
         if "<|" in text or not is_plain(text):
-            return np.frombuffer(whole(text), dtype="<u4")
-        words = _WORDS.findall(text.lower())
+            whole = library.encode(text, add_special_tokens=False)
+            return np.frombuffer(packed(whole.ids), dtype="<u4")
+        parts = text.lower().split()
         try:
-            ids = b"".join([known[w] for w in words])
+            ids = b"".join(map(words.__getitem__, parts))
         except KeyError:
-            if len(known) > KEPT:
-                known.clear()
-            new = [w for w in set(words) if w not in known]
-            for word, done in zip(new, library.encode_batch(new, add_special_tokens=False)):
-                known[word] = np.array(done.ids, dtype="<u4").tobytes()
-            ids = b"".join([known[w] for w in words])
+            ids = b"".join([words.get(w) or of_word(w) for w in parts])
         return np.frombuffer(ids, dtype="<u4")
 
     return encode
