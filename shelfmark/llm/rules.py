@@ -227,9 +227,10 @@ def learn_rules(docs: DataFrame, labels: DataFrame, label: str = "quality", max_
     read.
     """
     sample = common.labelled_texts(docs, common.bounded_labels(labels, label, max_rows))
-    stats = sample.select("doc_id", "label", statistics(F.col("text")).alias("s")).select("doc_id", "label", "s.*")
+    stats = sample.select("doc_id", "label", statistics(F.col("text")).alias("s"))
+    # Stored before it is filtered, lest the filter computes the statistics again.
+    stats = materialize(stats, "rule-statistics").select("doc_id", "label", "s.*")
     rows = stats.where(~base_failed()).select("doc_id", "label", *ratios())
-    rows = materialize(rows, "rule-statistics")
     cuts = [k / QUANTILES for k in range(1, QUANTILES)] + [0.99, 0.995]
     found = rows.agg(*[F.percentile(name, cuts).alias(name) for name in RATIOS]).first()
     thresholds = {name: between(found[name] or []) for name in RATIOS}
@@ -272,15 +273,19 @@ def judge(docs: DataFrame, rules: list[Rule], id_col: str = "doc_id", text_col:
 
 
 def filter_kept(docs: DataFrame, rules: list[Rule], text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns and no others."""
-    own = "stats"
-    while own in docs.columns:
-        own += "_"
+    """The rows of ``docs`` that are kept, with all their columns and no others.
+
+    The whole decision is one expression of the text, so a filter that the optimizer moves
+    computes the statistics once.
+    """
+
+    def decided(stats: Column) -> Column:
+        shares = F.struct(*ratios(lambda name: stats[name]))
+        passed = ~base_failed(lambda name: stats[name])
+        return bind(shares, lambda share: passed & verdict(rules, lambda name: share[name]))
+
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    rows = docs.withColumn(own, statistics(text))
-    rows = rows.withColumn(own, F.col(own).withField("shares", F.struct(*ratios(lambda n: F.col(f"{own}.{n}")))))
-    kept = ~base_failed(lambda n: F.col(f"{own}.{n}")) & verdict(rules, lambda n: F.col(f"{own}.shares.{n}"))
-    return rows.where(kept).drop(own)
+    return docs.where(bind(statistics(text), decided))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
