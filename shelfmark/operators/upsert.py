@@ -1,8 +1,8 @@
 """Keyed merges and change detection.
 
 A merge keeps the stored rows whose key is not in the batch (anti join) and adds the
-batch. Only the keys of the batch meet the stored table, so a small batch never makes
-the wide stored rows move; a large one moves them once.
+batch. Only the keys of the batch meet the stored table. Upserts measure them, so a small
+batch never makes the wide stored rows move; a large one moves them once.
 """
 
 from __future__ import annotations
@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfmark.functions import values
+from shelfmark.operators.search import build_search_docs, is_short
 from shelfmark.schemas import ARTIFACTS, DATASETS, JOBS
+from shelfmark.session import materialize
 from shelfmark.sources.conform import conform
 
 
@@ -47,17 +49,37 @@ def merge_rows(
     return conform(kept, schema).unionByName(latest)
 
 
+def _upsert(old: DataFrame, new: DataFrame, keys: list[str], schema: T.StructType) -> DataFrame:
+    """``merge_rows`` with the batch stored once and its keys measured.
+
+    Few keys are broadcast, so the wide stored rows stay where they are; many are joined by
+    a shuffle.
+    """
+    latest = materialize(conform(last_per_key(new, keys), schema), "batch")
+    few = latest.select(*keys)
+    kept = old.join(F.broadcast(few) if is_short(few) else few, keys, "left_anti")
+    return conform(kept, schema).unionByName(latest)
+
+
 def upsert_datasets(old: DataFrame, new: DataFrame) -> DataFrame:
     """Insert or overwrite whole dataset rows; NULLs of the new row overwrite too."""
-    return merge_rows(old, new, ["id"], DATASETS)
+    return _upsert(old, new, ["id"], DATASETS)
 
 
 def upsert_artifacts(old: DataFrame, new: DataFrame) -> DataFrame:
-    return merge_rows(old, new, ["dataset_id", "kind"], ARTIFACTS)
+    return _upsert(old, new, ["dataset_id", "kind"], ARTIFACTS)
 
 
 def upsert_jobs(old: DataFrame, new: DataFrame) -> DataFrame:
-    return merge_rows(old, new, ["id"], JOBS)
+    return _upsert(old, new, ["id"], JOBS)
+
+
+def upsert_docs(docs: DataFrame, batch: DataFrame) -> DataFrame:
+    """Search documents after a batch of dataset rows: only the batch's are made anew."""
+    fresh = materialize(build_search_docs(last_per_key(batch, ["id"])), "documents")
+    few = fresh.select("dataset_id")
+    kept = docs.join(F.broadcast(few) if is_short(few) else few, "dataset_id", "left_anti")
+    return kept.unionByName(fresh)
 
 
 def compare_fingerprints(old: DataFrame, new: DataFrame) -> DataFrame:

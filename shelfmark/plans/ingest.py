@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from shelfmark.functions import values
 from shelfmark.operators import ingest as ops
 from shelfmark.operators import upsert
+from shelfmark.session import materialize
 
 
 def _selected(listing, cursor, limit, backfill_until, gap_safe) -> DataFrame:
@@ -43,3 +45,52 @@ def merge_batch(
         upsert.mark_stale(artifacts, upsert.changed_ids(datasets, batch)),
         upsert.detect_changes(datasets, batch, as_of),
     )
+
+
+class Catalog(NamedTuple):
+    """The tables that a discovery run reads and brings up to date."""
+
+    datasets: DataFrame
+    artifacts: DataFrame
+    connectors: DataFrame
+    docs: DataFrame
+
+
+class Discovery(NamedTuple):
+    """The catalog after a run, its change events, and the ids it touched."""
+
+    catalog: Catalog
+    events: DataFrame
+    ids: DataFrame
+
+
+def discover(
+    catalog: Catalog, listing: DataFrame, as_of: datetime, limit: int | None = None,
+    source: str = "hf", gap_safe: bool = True,
+) -> Discovery:
+    """One discovery run: the listing after the source's cursor is merged into the catalog.
+
+    Datasets are upserted, artifacts of changed ones become stale, changes become events,
+    the connector's cursor moves on, and search documents are made anew for the touched
+    datasets only. With a ``limit``, further runs take up where this one ended.
+    """
+    mine = catalog.connectors.filter(F.col("source") == source)
+    cursor = mine.select("cursor.max_seen.lm", "cursor.max_seen.id")
+    rows, after = ingest_listing(listing, cursor, as_of, limit, None, source, gap_safe)
+    batch = materialize(rows, "discovered")
+    datasets, artifacts, events = merge_batch(catalog.datasets, catalog.artifacts, batch, as_of)
+    moved = after.filter(F.col("id").isNotNull()).select(
+        F.lit(source).alias("source"),
+        F.struct(F.struct("lm", "id").alias("max_seen")).alias("cursor"),
+        F.lit(None).cast("int").alias("qps_limit"),
+        F.lit(None).cast("string").alias("backoff_state"),
+    )
+    return Discovery(
+        Catalog(
+            datasets, artifacts,
+            upsert.merge_connectors(catalog.connectors, materialize(moved, "cursor")),
+            upsert.upsert_docs(catalog.docs, batch),
+        ),
+        events,
+        batch.select("id").distinct(),
+    )

@@ -63,6 +63,8 @@ datasets AS (
   FROM datasets0
 )"""
 
+_LISTED_CONTENT = "lower(concat_ws(' ', coalesce(title, ''), '', '', tags, '', ''))"
+
 _TABLES = {
     "datasets": ((), _DATASETS),
     "artifacts": ((), f"""
@@ -431,7 +433,9 @@ def oracles() -> dict[str, str]:
     add("load_catalog", "datasets artifacts", f"""
 SELECT id, source, id AS ns_local_id, access_class, 'fixture:' || id AS fingerprint, {_AS_OF} AS indexed_at,
   readme_tokens, round(least(readme_tokens / 50.0::DOUBLE, 1.0), 9) AS readme_score,
-  id IN (SELECT dataset_id FROM artifacts WHERE kind = 'schema') AS has_schema, md5(text) AS readme_md5
+  id IN (SELECT dataset_id FROM artifacts WHERE kind = 'schema') AS has_schema,
+  CASE WHEN id IN (SELECT dataset_id FROM artifacts WHERE kind = 'schema') THEN coalesce(
+    (SELECT string_agg(payload, '|' ORDER BY payload) FROM artifacts a WHERE a.dataset_id = datasets.id), '') END AS payloads, md5(text) AS readme_md5
 FROM datasets""")
     sql["conform_schema"] = """
 SELECT CAST(event_id AS VARCHAR) AS id, CAST(NULL AS VARCHAR) AS dataset_id, CAST(NULL AS VARCHAR) AS kind,
@@ -448,6 +452,41 @@ SELECT id, title, fingerprint, last_seen_lm, access_class, license_class,
   (SELECT last_seen_lm FROM top ORDER BY last_seen_lm DESC, id DESC LIMIT 1) AS cursor_lm,
   (SELECT id FROM top ORDER BY last_seen_lm DESC, id DESC LIMIT 1) AS cursor_id
 FROM top""")
+    add("discovery_job", "listing datasets artifacts", f"""
+, top AS (
+  SELECT l.* FROM listed l WHERE last_seen_lm > TIMESTAMP '2024-01-21' OR (last_seen_lm = TIMESTAMP '2024-01-21' AND id > 'ds/5')
+  ORDER BY last_seen_lm, id LIMIT 500
+)
+SELECT 'doc' AS part, id, md5(content) AS detail FROM datasets WHERE id NOT IN (SELECT id FROM top)
+UNION ALL SELECT 'doc', id, md5({_LISTED_CONTENT}) FROM top
+UNION ALL SELECT 'event', t.id, CASE WHEN d.fingerprint IS NULL THEN 'dataset.discovered' ELSE 'dataset.changed' END
+FROM top t LEFT JOIN datasets d USING (id) WHERE t.fingerprint IS DISTINCT FROM d.fingerprint
+UNION ALL SELECT 'stale', dataset_id, kind FROM artifacts
+WHERE stale OR dataset_id IN (SELECT id FROM top JOIN datasets d USING (id) WHERE top.fingerprint <> d.fingerprint)
+UNION ALL SELECT 'dataset', id, fingerprint FROM datasets WHERE id NOT IN (SELECT id FROM top)
+UNION ALL SELECT 'dataset', id, fingerprint FROM top
+UNION ALL SELECT 'cursor', arg_max(id, (last_seen_lm, id)), strftime(max(last_seen_lm), '%Y-%m-%d %H:%M:%S') FROM top""")
+    add("update_index", "listing datasets", rf"""
+, top AS (
+  SELECT l.* FROM listed l WHERE last_seen_lm > TIMESTAMP '2024-01-21' OR (last_seen_lm = TIMESTAMP '2024-01-21' AND id > 'ds/5')
+  ORDER BY last_seen_lm, id LIMIT 500
+),
+after AS (
+  SELECT id, content FROM datasets WHERE id NOT IN (SELECT id FROM top) UNION ALL SELECT id, {_LISTED_CONTENT} FROM top
+),
+termed AS (SELECT id, regexp_extract_all(content, '[\p{{L}}\p{{N}}]+') AS terms FROM after),
+posted AS (
+  SELECT term, id, CAST(count(*) AS INT) AS tf, CAST(any_value(dl) AS INT) AS dl
+  FROM (SELECT id, unnest(terms) AS term, len(terms) AS dl FROM termed) GROUP BY term, id
+)
+SELECT term, id AS dataset_id, tf, dl, count(*) OVER (PARTITION BY term) AS df, CAST(NULL AS DOUBLE) AS avgdl FROM posted
+UNION ALL SELECT NULL, NULL, NULL, NULL, count(*), round(avg(len(terms)), 6) FROM termed""")
+    add("index_terms", "index", """
+SELECT term, count(*) AS df, CAST(NULL AS DOUBLE) AS avgdl FROM postings GROUP BY term
+UNION ALL SELECT NULL, docs, round(avgdl, 6) FROM corpus""")
+    add("like_match_many", "datasets", f"""
+, tokens AS (SELECT DISTINCT unnest({_WORDS.format('lower(text)')}) AS token FROM benchmark)
+SELECT token, id AS dataset_id FROM tokens JOIN datasets ON content LIKE '%' || token || '%'""")
     sql["append_events"] = f"""
 SELECT 'old-' || event_id AS id, event_type AS type, CAST(NULL AS VARCHAR) AS dataset_id, '{{}}' AS payload, ts AS created_at FROM events
 UNION ALL

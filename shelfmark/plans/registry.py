@@ -17,7 +17,7 @@ from shelfmark.operators import search as search_ops
 from shelfmark.plans import ingest as ingest_plan
 from shelfmark.plans import prefetch, search, tables
 from shelfmark.plans import resolve as resolve_plan
-from shelfmark.schemas import CURSOR, EVENTS, JOBS, SIGNALS, Settings
+from shelfmark.schemas import CONNECTORS, CURSOR, EVENTS, JOBS, SIGNALS, Settings
 from shelfmark.session import literal_frame, shared_dir
 from shelfmark.sources import catalog, logs
 from shelfmark.sources.conform import conform
@@ -65,18 +65,27 @@ def load_catalog(spark, sf):
         "dataset_id", "kind", F.parse_json("payload").alias("payload")
     )
     path = shared_dir(spark, "load_catalog")
-    raw.write.json(f"{path}/datasets")
-    stored.write.json(f"{path}/artifacts")
-    datasets, artifacts = catalog.load_records(
-        spark, f"{path}/datasets", f"{path}/artifacts", AS_OF
+    # Many catalog files, of about 200 records each whatever the size of the catalog.
+    files = max(1, raw.count() // 200)
+    by = F.pmod(F.hash("id"), F.lit(files)).alias("file")
+    listed = raw.groupBy(by).agg(F.collect_list(F.struct(*raw.columns)).alias("datasets"))
+    made = stored.withColumn("id", F.col("dataset_id")).groupBy(by).agg(
+        F.collect_list(F.struct(*stored.columns)).alias("artifacts")
     )
-    has_schema = artifacts.filter("kind = 'schema'").select(
+    listed.join(made, "file", "left").write.partitionBy("file").json(f"{path}/files")
+    datasets, artifacts = catalog.load_catalog(spark, f"{path}/files", AS_OF)
+    schemas = artifacts.filter("kind = 'schema'").select(
         F.col("dataset_id").alias("id"), F.lit(True).alias("has_schema")
+    ).distinct()
+    has_schema = schemas.join(
+        artifacts.groupBy(F.col("dataset_id").alias("id")).agg(
+            F.array_join(F.sort_array(F.collect_list("payload")), "|").alias("payloads")
+        ), "id",
     )
     return datasets.join(has_schema, "id", "left").select(
         "id", "source", "ns_local_id", "access_class", "fingerprint", "indexed_at",
         "readme_tokens", F.round("readme_score", 9).alias("readme_score"),
-        F.coalesce("has_schema", F.lit(False)).alias("has_schema"),
+        F.coalesce("has_schema", F.lit(False)).alias("has_schema"), "payloads",
         F.md5("readme_text").alias("readme_md5"),
     )
 
@@ -107,6 +116,68 @@ def ingest_listing(spark, sf):
     )
 
 
+def _discovered(spark, sf):
+    connectors = literal_frame(spark, [("hf", {"max_seen": dict(zip(("lm", "id"), tables.CURSOR))}, 3, None)], CONNECTORS)
+    catalog_now = ingest_plan.Catalog(
+        tables.datasets(spark, sf), tables.artifacts(spark, sf), connectors, tables.docs(spark, sf)
+    )
+    return ingest_plan.discover(catalog_now, tables.listing(spark, sf), AS_OF, limit=500)
+
+
+@query
+def discovery_job(spark, sf):
+    """One run over the stored catalog: documents, events, stale marks and cursor after it."""
+    run = _discovered(spark, sf)
+    seen = F.col("cursor.max_seen")
+    docs = run.catalog.docs.select(
+        F.lit("doc").alias("part"), F.col("dataset_id").alias("id"), F.md5("content").alias("detail")
+    )
+    events = run.events.select(F.lit("event").alias("part"), F.col("dataset_id").alias("id"), F.col("type").alias("detail"))
+    stale = run.catalog.artifacts.filter("stale").select(
+        F.lit("stale").alias("part"), F.col("dataset_id").alias("id"), F.col("kind").alias("detail")
+    )
+    rows = run.catalog.datasets.select(F.lit("dataset").alias("part"), "id", F.col("fingerprint").alias("detail"))
+    moved = run.catalog.connectors.select(
+        F.lit("cursor").alias("part"), seen["id"].alias("id"), F.date_format(seen["lm"], "yyyy-MM-dd HH:mm:ss").alias("detail")
+    )
+    return docs.unionByName(events).unionByName(stale).unionByName(rows).unionByName(moved)
+
+
+@query
+def update_index(spark, sf):
+    """The stored index after a discovery run, by an update with the touched documents only."""
+    path = shared_dir(spark, "index")
+    run = _discovered(spark, sf)
+    before = tables.docs(spark, sf)
+    touched = run.ids.select(F.col("id").alias("dataset_id"))
+    search_ops.write_inverted_index(before, path, 16)
+    search_ops.update_inverted_index(
+        before.join(touched, "dataset_id", "left_semi"),
+        run.catalog.docs.join(touched, "dataset_id", "left_semi"), path, 1, 16,
+    )
+    index = search_ops.read_inverted_index(spark, path, 16)
+    totals = index.corpus.select(
+        F.lit(None).cast("string").alias("term"), F.lit(None).cast("string").alias("dataset_id"),
+        F.lit(None).cast("int").alias("tf"), F.lit(None).cast("int").alias("dl"),
+        F.col("docs").alias("df"), F.round("avgdl", 6).alias("avgdl"),
+    )
+    nothing = F.lit(None).cast("double").alias("avgdl")
+    return (
+        index.postings.select("term", "dataset_id", "tf", "dl").join(index.terms.select("term", "df"), "term")
+        .withColumn("avgdl", nothing).unionByName(totals)
+    )
+
+
+@query
+def index_terms(spark, sf):
+    """The document frequencies and the corpus row of the stored index."""
+    index = tables.index(spark, sf)
+    corpus = index.corpus.select(
+        F.lit(None).cast("string").alias("term"), F.col("docs").alias("df"), F.round("avgdl", 6).alias("avgdl")
+    )
+    return index.terms.select("term", "df", F.lit(None).cast("double").alias("avgdl")).unionByName(corpus)
+
+
 @query
 def append_events(spark, sf):
     e = tables.read(spark, sf, "events")
@@ -590,6 +661,15 @@ def search_batch(spark, sf):
     return _json_lists(found)
 
 
+@query
+def like_match_many(spark, sf):
+    """Every word of the benchmark texts as a search token, thousands at once."""
+    words = tables.read(spark, sf, "benchmark").select(
+        F.explode(text.query_tokens(F.col("text"))).alias("token")
+    )
+    return search_ops.like_join(tables.docs(spark, sf), words).select("token", "dataset_id")
+
+
 @query
 def search_with_fallback(spark, sf):
     d = tables.datasets(spark, sf)
