@@ -148,7 +148,8 @@ def admin_metrics(
         ),
         _pct(F.col("covered"), F.col("public_total")).alias("public_with_schema_pct"),
     )
-    # Job states and error classes are small closed vocabularies, so are these maps.
+    # Job states and error classes are small vocabularies, so are these maps; both come from
+    # one count of the jobs.
     counts = jobs.groupBy("state", "error_class").agg(F.count(F.lit(1)).alias("n"))
     by_state = counts.groupBy("state").agg(F.sum("n").alias("n")).agg(
         F.coalesce(F.max(F.when(F.col("state") == "queued", F.col("n"))), F.lit(0)).alias(
@@ -162,7 +163,11 @@ def admin_metrics(
             )
         ).alias("jobs_by_state"),
     )
-    by_error = error_taxonomy(jobs).agg(
+    taxonomy = (
+        counts.filter(F.col("error_class").isNotNull())
+        .groupBy("error_class").agg(F.sum("n").alias("n"))
+    )
+    by_error = taxonomy.agg(
         F.map_from_entries(F.sort_array(F.collect_list(F.struct("error_class", "n")))).alias(
             "error_taxonomy"
         )

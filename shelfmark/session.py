@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -46,12 +47,35 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_base(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_MATERIALIZED: list[tuple[SparkSession, str]] = []
+
+
+def release() -> None:
+    """Delete the folders of all tables that ``materialize`` has written in this process.
+
+    It runs by itself when the process ends; frames that read these tables, or come from
+    them, must not be used afterwards.
+    """
+    while _MATERIALIZED:
+        spark, path = _MATERIALIZED.pop()
+        try:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        except Exception:  # the session's process has ended before
+            _MATERIALIZED.clear()
+
+
+atexit.register(release)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Compute a frame once, as a table in the shared folder, and read it from there.
 
-    Later uses cost a scan of the result, and losing executors costs no recomputation.
+    Later uses cost a scan of the result, and losing executors costs no recomputation. The
+    folder is deleted by ``release``, at the latest when the process ends.
     """
     path = shared_dir(df.sparkSession, name)
+    _MATERIALIZED.append((df.sparkSession, path))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -1,5 +1,6 @@
 import json
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import pytest
 from conftest import NOW
@@ -84,6 +85,16 @@ def test_materialize_uses_the_shared_folder(spark):
     assert df.count() == 10 and "Range" not in df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_release_deletes_what_was_materialized(spark, tmp_path, monkeypatch):
+    from shelfmark import session
+
+    monkeypatch.setattr(session, "_MATERIALIZED", [])
+    path = materialize(spark.range(3), "gone").inputFiles()[0].split("/part-")[0].removeprefix("file:")
+    assert len(session._MATERIALIZED) == 1 and list(Path(path).iterdir())
+    session.release()
+    assert not Path(path).exists() and not session._MATERIALIZED
+
+
 def files(df, folder):
     df.coalesce(1).write.mode("append").parquet(folder)
 
