@@ -140,8 +140,16 @@ def _eligible_batch(scored: DataFrame, queries: DataFrame, datasets: DataFrame)
 
 
 def deepest_row(queries: DataFrame) -> int:
-    """The largest ``offset + limit`` of a batch."""
-    return queries.agg(F.max(F.col("offset") + F.col("limit"))).first()[0] or 0
+    """The largest ``offset + limit`` of a batch, whose pages are checked like single ones."""
+    asked = queries.agg(
+        F.min("limit").alias("least"), F.max("limit").alias("most"),
+        F.min("offset").alias("first"), F.max(F.col("offset") + F.col("limit")).alias("deepest"),
+    ).first()
+    if asked["deepest"] is None:
+        return 0
+    _check_page(asked["least"], asked["first"])
+    _check_page(asked["most"], asked["first"])
+    return asked["deepest"]
 
 
 def _pages(

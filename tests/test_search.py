@@ -152,6 +152,15 @@ def test_batch_equals_single_searches(spark, catalog):
         assert all(r["total"] == total for r in mine)
 
 
+def test_batch_pages_are_checked(spark, catalog):
+    datasets, artifacts = catalog
+    docs = ops.build_search_docs(datasets)
+    for limit, offset in ((0, 0), (101, 0), (5, -1)):
+        queries = spark.createDataFrame([("a", "river", None, None, None, None, limit, offset)], QUERY_SCHEMA)
+        with pytest.raises(ValueError):
+            search.search_batch(docs, datasets, artifacts, queries)
+
+
 def test_bm25_single_equals_batch_and_fallback(spark, catalog):
     datasets, artifacts = catalog
     docs = ops.build_search_docs(datasets)
