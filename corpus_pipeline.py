@@ -35,8 +35,7 @@ def drop_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents below the toxicity threshold, by a model learnt on these and their labels."""
     weights = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    score = toxicity.scorer(spark, weights)
-    return docs.where(score(F.coalesce("text", F.lit(""))) < toxicity.THRESHOLD)
+    return toxicity.drop_toxic(docs, weights)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

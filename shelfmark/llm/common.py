@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import os
-from collections.abc import Iterable, Iterator
+from collections.abc import Hashable, Iterable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -80,10 +81,28 @@ def labelled_texts(docs: DataFrame, sample: DataFrame) -> DataFrame:
     return texts(docs).join(F.broadcast(sample), "doc_id")
 
 
-def rows_of(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, str]]:
-    """``(doc_id, text)`` of the batches of ``texts``."""
+def rows_of(batches: Iterable[pa.RecordBatch], size: int = 256) -> Iterator[tuple]:
+    """The rows of the batches; no more than ``size`` of them are Python objects at once."""
     for batch in batches:
-        yield from zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+        for low in range(0, batch.num_rows, size):
+            yield from zip(*(c.to_pylist() for c in batch.slice(low, size).columns))
+    pa.default_memory_pool().release_unused()
+
+
+_TABLES: dict[Hashable, dict] = {}
+
+
+def worker_table(owner: Hashable) -> dict:
+    """A table that a Python worker keeps between tasks of one operator.
+
+    Workers serve the stages of a job one after another; the tables of the operator before
+    are let go when another one asks, so memory is bounded by the largest one's.
+    """
+    if owner not in _TABLES:
+        _TABLES.clear()
+        gc.collect()
+        _TABLES[owner] = {}
+    return _TABLES[owner]
 
 
 def batched(rows: Iterator[tuple], schema: pa.Schema, size: int = 2000) -> Iterator[pa.RecordBatch]:

@@ -24,6 +24,7 @@ from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,7 +52,9 @@ def words_of(text: str) -> list[str]:
 
 def kmer_hashes(words: list[str], k: int = WORDS) -> np.ndarray:
     """Hashes of the occurrence-labelled k-mers in text order; one for shorter texts."""
-    h = np.array([hash_word(w) for w in words], dtype=np.uint64)
+    table = common.worker_table("near_dup")
+    known = table.get
+    h = np.array([known(w) or _hash(w, table) for w in words], dtype=np.uint64)
     with np.errstate(over="ignore"):
         n = max(1, len(h) - k + 1)
         out = np.zeros(n, dtype=np.uint64)
@@ -69,18 +72,15 @@ def kmer_hashes(words: list[str], k: int = WORDS) -> np.ndarray:
     return out
 
 
-_WORD_HASHES: dict[str, int] = {}
+#: Word hashes kept in a worker.
+KEPT = 300_000
 
 
-def hash_word(word: str) -> int:
-    found = _WORD_HASHES.get(word)
-    if found is None:
-        import xxhash
-
-        if len(_WORD_HASHES) > 1_000_000:
-            _WORD_HASHES.clear()
-        found = _WORD_HASHES[word] = xxhash.xxh64_intdigest(word.encode())
-    return found
+def _hash(word: str, table: dict[str, int]) -> int:
+    value = xxhash.xxh64_intdigest(word.encode())
+    if len(table) < KEPT:
+        table[word] = value
+    return value
 
 
 def sketches_of(kmers: np.ndarray) -> np.ndarray:
@@ -118,8 +118,6 @@ def sketched(docs: DataFrame) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("copy", pa.binary()), ("sketches", pa.list_(pa.int64()))])
 
     def rows(batches):
-        import xxhash
-
         for doc_id, text in common.rows_of(batches):
             words = words_of(text)
             if words and doc_id is not None:

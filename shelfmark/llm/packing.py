@@ -188,7 +188,7 @@ def pack_documents(
                 ids = np.concatenate([encode(text), end])
                 yield Example(doc_id, ids, np.ones(len(ids), dtype=np.int8))
 
-        yield from common.batched(pack_examples(examples(), limits, _first_id()), _ARROW, 4000)
+        yield from common.batched(pack_examples(examples(), limits, _first_id()), _ARROW, 500)
 
     return common.texts(docs, id_col, text_col).mapInArrow(run, PIECES)
 
@@ -215,11 +215,10 @@ def pack_instructions(
         end = np.array([end_id], dtype="<u4")
 
         def examples():
-            for batch in batches:
-                for doc_id, text, loss in zip(*(c.to_pylist() for c in batch.columns)):
-                    ids = np.concatenate([encode(text), end])
-                    yield Example(doc_id, ids, np.full(len(ids), loss, dtype=np.int8))
+            for doc_id, text, loss in common.rows_of(batches):
+                ids = np.concatenate([encode(text), end])
+                yield Example(doc_id, ids, np.full(len(ids), loss, dtype=np.int8))
 
-        yield from common.batched(pack_examples(examples(), limits, _first_id()), _ARROW, 4000)
+        yield from common.batched(pack_examples(examples(), limits, _first_id()), _ARROW, 500)
 
     return rows.mapInArrow(run, PIECES)

@@ -27,25 +27,24 @@ BUCKETS, DIMENSIONS, NONZERO, WINDOW = 1 << 14, 64, 2, 2
 MAX_ROWS = 12_000
 HIDDEN, EPOCHS, RATE, DECAY = 32, 60, 3e-3, 1e-4
 THRESHOLD = 0.7
-KEPT = 1_000_000
+#: Word hashes kept in a worker.
+KEPT = 300_000
 #: Characters of text that are handled at once.
 _BLOCK = 1_000_000
 
-_HASHES: dict[str, int] = {}
 
-
-def _hash(word: str) -> int:
-    if len(_HASHES) > KEPT:
-        _HASHES.clear()
+def _hash(word: str, table: dict[str, int]) -> int:
     value = zlib.crc32(word.encode())
-    _HASHES[word] = value
+    if len(table) < KEPT:
+        table[word] = value
     return value
 
 
 def word_hashes(text: str) -> np.ndarray:
     """Hashes of the words of a text, parted by white space, in order."""
-    known = _HASHES.get
-    return np.array([known(w) or _hash(w) for w in text.split()], dtype=np.uint64)
+    table = common.worker_table("quality")
+    known = table.get
+    return np.array([known(w) or _hash(w, table) for w in text.split()], dtype=np.uint64)
 
 
 def _bucket(hashes: np.ndarray) -> np.ndarray:
@@ -197,8 +196,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows:
     def run(batches):
         made = (
             (doc_id, label, pool(shared.value, word_hashes(text)).astype("<f4").tobytes())
-            for batch in batches
-            for doc_id, text, label in zip(*(c.to_pylist() for c in batch.columns))
+            for doc_id, text, label in common.rows_of(batches)
         )
         yield from common.batched(made, schema)
 

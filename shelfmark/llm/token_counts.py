@@ -202,9 +202,11 @@ class Lexicon:
         return self.counts[at]
 
 
-@functools.cache
 def _lexicon(path: str) -> Lexicon:
-    return Lexicon(path)
+    kept = common.worker_table("token_counts")
+    if path not in kept:
+        kept[path] = Lexicon(path)
+    return kept[path]
 
 
 def count_texts(texts: list[str], lexicon: Lexicon) -> np.ndarray:

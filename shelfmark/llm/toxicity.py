@@ -13,13 +13,12 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.llm import common
@@ -29,10 +28,9 @@ BITS = 20
 MAX_ROWS, SHARD_ROWS = 20_000, 10_000
 THRESHOLD = 0.3
 #: Word hashes kept in a worker.
-KEPT = 1_000_000
+KEPT = 300_000
 
 _WORD = re.compile(r"[^\W_]+")
-_HASHES: dict[str, int] = {}
 _MASK = np.uint64((1 << BITS) - 1)
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
@@ -46,19 +44,19 @@ class Ftrl:
     epochs: int = 12
 
 
-def _hash(word: str) -> int:
-    if len(_HASHES) > KEPT:
-        _HASHES.clear()
+def _hash(word: str, table: dict[str, int]) -> int:
     value = zlib.crc32(word.encode())
-    _HASHES[word] = value
+    if len(table) < KEPT:
+        table[word] = value
     return value
 
 
 def features(text: str) -> np.ndarray:
     """Distinct coordinates of a text's words, word pairs and pairs with a gap of one word."""
     words = _WORD.findall(text.lower())
-    known = _HASHES.get
-    h = np.array([known(w) or _hash(w) for w in words], dtype=np.uint64)
+    table = common.worker_table("toxicity")
+    known = table.get
+    h = np.array([known(w) or _hash(w, table) for w in words], dtype=np.uint64)
     with np.errstate(over="ignore"):
         grams = [h * _ODD[0]]
         if len(h) > 1:
@@ -66,7 +64,7 @@ def features(text: str) -> np.ndarray:
         if len(h) > 2:
             grams.append((h[:-2] * _ODD[2]) ^ (h[2:] * _ODD[0]) ^ _ODD[1])
         mixed = np.concatenate(grams) * _ODD[1]
-    return np.unique((mixed >> np.uint64(40)) & _MASK).astype(np.int64)
+    return np.unique(((mixed >> np.uint64(40)) & _MASK).astype(np.int32))
 
 
 class Learner:
@@ -127,25 +125,24 @@ def train(
     return learnt.groupBy("coordinate").agg((F.sum("weight") / shards).alias("weight"))
 
 
-def scorer(spark: SparkSession, weights: DataFrame) -> Callable[[Column], Column]:
-    """A function from a text column to its score, as an Arrow-batched expression."""
-    common.importable(spark)
-    rows = weights.collect()  # at most 2^BITS + 1, by the coordinates' range
-    dense = np.zeros((1 << BITS) + 1, dtype=np.float64)
-    dense[[r["coordinate"] for r in rows]] = [r["weight"] for r in rows]
-    at = np.flatnonzero(dense)
-    shared = spark.sparkContext.broadcast((at, dense[at]))
+class Scorer:
+    """Probabilities of texts by a model's weights, which a task spreads out once."""
+
+    def __init__(self, places: np.ndarray, values: np.ndarray):
+        self.w = np.zeros((1 << BITS) + 1)
+        self.w[places] = values
+
+    def __call__(self, text: str) -> float:
+        total = self.w[features(text)].sum() + self.w[-1]
+        return float(1.0 / (1.0 + np.exp(-np.clip(total, -35, 35))))
 
-    @F.pandas_udf("double")
-    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        w = np.zeros((1 << BITS) + 1)
-        places, values = shared.value
-        w[places] = values
-        for texts in batches:
-            sums = np.array([w[features(t)].sum() + w[-1] for t in texts], dtype=np.float64)
-            yield pd.Series(1.0 / (1.0 + np.exp(-np.clip(sums, -35, 35))))
 
-    return scores
+def _shared(spark: SparkSession, weights: DataFrame) -> Broadcast:
+    rows = weights.collect()  # at most 2^BITS + 1, by the coordinates' range
+    rows.sort(key=lambda r: r["coordinate"])
+    return spark.sparkContext.broadcast(
+        (np.array([r["coordinate"] for r in rows], dtype=np.int64), np.array([r["weight"] for r in rows]))
+    )
 
 
 def score(
@@ -156,8 +153,36 @@ def score(
     A null or empty text has the intercept's score. Null ids stay, repeated rows are scored
     each, other columns are left behind, an empty table gives no rows.
     """
-    scores = scorer(docs.sparkSession, weights)
-    return common.texts(docs, id_col, text_col).select("doc_id", scores("text").alias("score"))
+    shared = _shared(docs.sparkSession, weights)
+    schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
+
+    def run(batches):
+        scored = Scorer(*shared.value)
+        made = ((doc_id, scored(text)) for doc_id, text in common.rows_of(batches))
+        yield from common.batched(made, schema)
+
+    return common.texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double")
+
+
+def drop_toxic(
+    docs: DataFrame, weights: DataFrame, threshold: float = THRESHOLD, text_col: str = "text"
+) -> DataFrame:
+    """The rows of ``docs`` that score below the threshold, with all their columns.
+
+    A null text is scored as an empty one.
+    """
+    common.importable(docs.sparkSession)
+    shared = _shared(docs.sparkSession, weights)
+
+    def run(batches):
+        scored = Scorer(*shared.value)
+        for batch in batches:
+            for low in range(0, batch.num_rows, 256):
+                part = batch.slice(low, 256)
+                texts = part.column(part.schema.get_field_index(text_col)).to_pylist()
+                yield part.filter(pa.array([scored(t or "") < threshold for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import os
 import re
 from collections.abc import Callable
@@ -10,9 +9,10 @@ from collections.abc import Callable
 import numpy as np
 
 from shelfmark.llm.bpe import is_plain
+from shelfmark.llm.common import worker_table
 
-#: Entries that each of a worker's two tables takes; later words are put together anew.
-KEPT = 800_000
+#: Entries that a worker's two tables take; later words and pieces are put together anew.
+KEPT_WORDS, KEPT_PIECES = 300_000, 200_000
 # Fixed value: the tokenizer's own split pattern in the dialect of ``re``, for plain texts.
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 
@@ -25,8 +25,15 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
-@functools.cache
 def encoder(path: str) -> Callable[[str], np.ndarray]:
+    """The worker's encoder for a tokenizer file."""
+    kept = worker_table("word_tokens")
+    if path not in kept:
+        kept[path] = _encoder(path)
+    return kept[path]
+
+
+def _encoder(path: str) -> Callable[[str], np.ndarray]:
     """A function from a text to its ids (little-endian unsigned 32-bit), one per worker.
 
     Ids are those of the tokenizers library without added special tokens. Plain texts are
@@ -48,13 +55,13 @@ def encoder(path: str) -> Callable[[str], np.ndarray]:
     def of_piece(piece: str) -> bytes:
         spelled = piece if piece.isascii() else piece.encode().decode("latin-1").translate(letters)
         ids = packed([token.id for token in model.tokenize(spelled)])
-        if len(pieces) < KEPT:
+        if len(pieces) < KEPT_PIECES:
             pieces[piece] = ids
         return ids
 
     def of_word(word: str) -> bytes:
         ids = b"".join([pieces.get(p) or of_piece(p) for p in _PIECES.findall(word)])
-        if len(words) < KEPT:
+        if len(words) < KEPT_WORDS:
             words[word] = ids
         return ids
 
