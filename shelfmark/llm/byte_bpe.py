@@ -15,7 +15,6 @@ of small maps, chosen by crc32 of the piece, for a lookup in a Spark map walks a
 
 from __future__ import annotations
 
-import functools
 import json
 import zlib
 from collections.abc import Callable
@@ -31,7 +30,7 @@ from shelfmark.session import materialize
 FREQUENT = 120_000
 #: Longer words, in bytes, are not folded: the fold takes quadratic time.
 FOLDED_BYTES = 48
-#: Rare words remembered by a worker; the memory starts anew beyond that.
+#: Rare words remembered by a worker; later ones are merged anew.
 KEPT = 500_000
 _NO_RANK = 2**31 - 1
 _BUCKETS = 8192
@@ -162,7 +161,7 @@ def encode_documents(
     chosen = frequent_words(counts, frequent).repartition(24, "word")
     table = {
         r["word"]: (",".join(map(str, r["ids"])), len(r["ids"]), bytes(r["decoded"]))
-        for r in encode_words(chosen, ranks).toLocalIterator()
+        for r in encode_words(chosen, ranks).collect()
     }
     shared = spark.sparkContext.broadcast(table)
 
@@ -179,29 +178,22 @@ _ENCODED = pa.schema(
 )
 
 
-@functools.cache
-def _worker_ranks(path: str) -> tuple[dict[bytes, int], dict[int, bytes]]:
-    ranks = bpe.load_ranks(path)
-    return ranks, {rank: piece for piece, rank in ranks.items()}
-
-
-_RARE: dict[tuple[str, str], dict] = {}
-
-
 def _text_encoder(path: str, pattern: str, frequent: dict) -> Callable[[str], tuple]:
     """A function from a text to its number of tokens, ids and decoded bytes."""
     split = bpe.Splitter(pattern)
-    ranks, pieces = _worker_ranks(path)
-    rare = _RARE.setdefault((path, pattern), {})
+    kept = common.worker_table("byte_bpe")
+    if (path, pattern) not in kept:
+        ranks = bpe.load_ranks(path)
+        kept[path, pattern] = ranks, {rank: piece for piece, rank in ranks.items()}, {}
+    ranks, pieces, rare = kept[path, pattern]
 
     def word(w: str) -> tuple[str, int, bytes]:
         found = frequent.get(w) or rare.get(w)
         if found is None:
             ids = bpe.encode_word(w.encode(), ranks)
             found = ",".join(map(str, ids)), len(ids), b"".join([pieces[i] for i in ids])
-            if len(rare) >= KEPT:
-                rare.clear()
-            rare[w] = found
+            if len(rare) < KEPT:
+                rare[w] = found
         return found
 
     def encode(text: str) -> tuple[int, str, bytes]:
