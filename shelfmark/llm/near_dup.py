@@ -10,9 +10,10 @@ in which they stand in the text, so a shared sketch speaks for shared runs in th
 2. Texts that share a sketch value are joined by an edge to the smallest id with that value:
    one row per text and value, never pairs. Components of these edges are the groups in
    which all near duplicates must lie.
-3. Within a group, pairs that share a sketch are verified, most shared first: an alignment
-   within a band must leave an edit similarity of at least the threshold, and so must the
-   exact Jaccard similarity of the five-word shingles. Pairs already linked through others
+3. Within a group, pairs that share a sketch are verified, most shared first: the exact
+   Jaccard similarity of the five-word shingles must reach the threshold. An alignment within
+   a narrow band confirms it at once where a few edits cannot take it below; all other pairs,
+   moved passages among them, are decided by the shingles. Pairs already linked through others
    need no check, so a group of copies takes about as many checks as it has texts. Large
    groups are cut into blocks, and every two blocks meet in a task of their own.
 4. Components of the verified links, with the exact copies, are the classes.
@@ -20,6 +21,7 @@ in which they stand in the text, so a shared sketch speaks for shared runs in th
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left
 
 import numpy as np
@@ -35,6 +37,8 @@ WORDS, SIMILARITY = 5, 0.8
 SKETCHES, PICKED = 32, 5
 #: Texts of few k-mers have further sketches of their one smallest k-mer.
 SHORT_KMERS, SHORT_SKETCHES = 15, 8
+#: Edits up to which an alignment is tried before the shingles.
+QUICK_EDITS = 8
 #: Texts of a group that one task holds for each side of a block pair.
 BLOCK_ROWS = 1_024
 #: Ids up to this number are broadcast; beyond it, texts are joined by a shuffle.
@@ -214,15 +218,20 @@ class Text:
 
 
 def similar(a: Text, b: Text, least: float = SIMILARITY) -> bool:
-    """Both similarities, of shingles and of the alignment, reach ``least``."""
+    """The Jaccard similarity of the shingles reaches ``least``, wherever the passages stand.
+
+    An edit of one word changes at most ``WORDS`` shingles of either text, so texts that align
+    with few edits are similar without their shingles being met.
+    """
     x, y = a.shingles, b.shingles
     if min(len(x), len(y)) < least * max(len(x), len(y)):
         return False
+    needed = math.ceil(least * (len(x) + len(y)) / (1 + least))
+    sure = (max(len(x), len(y)) - needed) // WORDS
+    if sure >= 0 and edit_distance(a.words, b.words, min(sure, QUICK_EDITS)) is not None:
+        return True
     common_ = len(x & y)
-    if common_ < least * (len(x) + len(y) - common_):
-        return False
-    longest = max(len(a.words), len(b.words))
-    return edit_distance(a.words, b.words, int((1 - least) * longest + 1e-9)) is not None
+    return common_ >= least * (len(x) + len(y) - common_)
 
 
 class Links:
@@ -304,9 +313,9 @@ def near_duplicates(
 ) -> DataFrame:
     """``doc_id, class_id`` of every row; a class is named by its smallest id.
 
-    Two texts are linked if the Jaccard similarity of their five-word shingles and the
-    similarity of their alignment are 0.8 or more, classes are what links connect. A text
-    of fewer than five words has one shingle. Null and wordless texts, and rows without an
+    Two texts are linked if the Jaccard similarity of their five-word shingles is 0.8 or more,
+    also where passages have moved; classes are what links connect. A text of fewer than five
+    words has one shingle. Null and wordless texts, and rows without an
     id, are each a class of their own (null stays null). Repeated rows of an id fall in one
     class; if their texts differ, in the smallest of the classes of these. Other columns are
     left behind; an empty table gives no rows.

@@ -135,6 +135,40 @@ def test_near_duplicates_on_odd_tables(odd, none):
     assert near_dup.near_duplicates(none).count() == 0
 
 
+def test_moved_blocks_are_near_duplicates(spark):
+    texts = {}
+    for size in (48, 60, 130):
+        base = [f"m{size}w{i}" for i in range(400)]
+        moved = base[100 : 100 + size]
+        rest = base[:100] + base[100 + size :]
+        texts |= {len(texts): " ".join(base), len(texts) + 1: " ".join(rest + moved)}
+    for a in (0, 2, 4):
+        numbers = {}
+        assert near_dup.similar(near_dup.Text(texts[a], numbers), near_dup.Text(texts[a + 1], numbers))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in near_dup.near_duplicates(docs).collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 4} == plain_classes(texts)
+
+
+def test_similar_is_exact_jaccard():
+    rng = random.Random(9)
+    seen = set()
+    for _ in range(3000):
+        a = [rng.randint(0, 40) for _ in range(rng.randint(1, 60))] * rng.randint(1, 2)
+        b = list(a)
+        for _ in range(rng.randint(0, 3)):
+            b[rng.randrange(len(b))] = rng.randint(0, 40)
+        cut = rng.randrange(len(b) + 1)
+        b = b[cut:] + b[:cut] if rng.random() < 0.5 else b
+        numbers = {}
+        x, y = (near_dup.Text(" ".join(map(str, t)), numbers) for t in (a, b))
+        same = len(x.shingles & y.shingles)
+        want = same >= 0.8 * (len(x.shingles) + len(y.shingles) - same)
+        seen.add(want)
+        assert near_dup.similar(x, y) == want
+    assert seen == {True, False}
+
+
 def test_edit_distance_in_band():
     rng = random.Random(5)
 
