@@ -4,6 +4,8 @@ A text is the sequence of its words, parted by white space; its k-mers are runs
 words, each labelled with how often it has occurred before. For every one of ``SKETCHES``
 hash functions the ``PICKED`` smallest labelled k-mers are taken and written down in the order
 in which they stand in the text, so a shared sketch speaks for shared runs in the same order.
+As many sketches again are of the distinct k-mers without labels, written down by value: they
+find what is similar as sets, also where passages have moved or lines are repeated.
 
 1. Equal word sequences form a class at once (a digest, partial aggregation); one text of
    each class goes on.
@@ -35,10 +37,10 @@ from shelfmark.session import materialize
 
 WORDS, SIMILARITY = 5, 0.8
 SKETCHES, PICKED = 32, 5
-#: Texts of few k-mers have further sketches of their one smallest k-mer.
+#: Texts of few distinct k-mers have further sketches of their one smallest k-mer.
 SHORT_KMERS, SHORT_SKETCHES = 15, 8
-#: Edits up to which an alignment is tried before the shingles.
-QUICK_EDITS = 8
+#: Edits up to which an alignment is tried before the shingles, and the words it may take.
+QUICK_EDITS, QUICK_WORDS = 8, 64
 #: Texts of a group that one task holds for each side of a block pair.
 BLOCK_ROWS = 1_024
 #: Ids up to this number are broadcast; beyond it, texts are joined by a shuffle.
@@ -54,8 +56,9 @@ def words_of(text: str) -> list[str]:
 # --- sketches --------------------------------------------------------------------------------
 
 
-def kmer_hashes(words: list[str], k: int = WORDS) -> np.ndarray:
-    """Hashes of the occurrence-labelled k-mers in text order; one for shorter texts."""
+def kmer_hashes(words: list[str], k: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the occurrence-labelled k-mers in text order, one for shorter texts; and which
+    of them are first occurrences, whose hashes are those of the distinct k-mers."""
     table = common.worker_table("near_dup")
     known = table.get
     h = np.array([known(w) or _hash(w, table) for w in words], dtype=np.uint64)
@@ -73,7 +76,8 @@ def kmer_hashes(words: list[str], k: int = WORDS) -> np.ndarray:
             label = np.empty(n, dtype=np.uint64)
             label[order] = (np.arange(n) - starts).astype(np.uint64)
             out = out + label * np.uint64(0xC2B2AE3D27D4EB4F)
-    return out
+            return out, label == 0
+    return out, np.ones(n, dtype=bool)
 
 
 #: Word hashes kept in a worker.
@@ -87,34 +91,60 @@ def _hash(word: str, table: dict[str, int]) -> int:
     return value
 
 
-def sketches_of(kmers: np.ndarray) -> np.ndarray:
-    """A text's sketch values."""
-    values = order_min_hash(kmers, _SEEDS[:SKETCHES], PICKED)
-    if len(kmers) > SHORT_KMERS:
-        return values
-    return np.concatenate([values, order_min_hash(kmers, _SEEDS[SKETCHES:], 1)])
+def sketches_of(kmers: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+    """A text's sketch values: in text order, by value, and of one k-mer for short texts."""
+    values = order_min_hash(kmers, firsts, _SEEDS[:SKETCHES], PICKED)
+    distinct = int(firsts.sum())
+    if distinct <= SHORT_KMERS:
+        values = (*values, order_min_hash(kmers, firsts, _SEEDS[SKETCHES:], 1)[1])
+    return np.concatenate(values)
 
 
-def order_min_hash(kmers: np.ndarray, seeds: np.ndarray, picked: int) -> np.ndarray:
-    """One sketch value per hash function: its smallest k-mers, hashed in text order."""
+def order_min_hash(
+    kmers: np.ndarray, firsts: np.ndarray, seeds: np.ndarray, picked: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Two sketch values per hash function: of its smallest k-mers in text order, and of its
+    smallest first occurrences by value. Both come from one pass over the k-mers."""
     n = len(kmers)
-    out = np.zeros(len(seeds), dtype=np.uint64)
-    take = min(picked, n)
+    once, again = np.flatnonzero(firsts), np.flatnonzero(~firsts)
+    ordered, by_value = np.zeros(len(seeds), dtype=np.uint64), np.zeros(len(seeds), dtype=np.uint64)
+
+    def mixed(places: np.ndarray, some: np.ndarray) -> np.ndarray:
+        own = kmers[places]
+        out = (own ^ (own >> np.uint64(31))) * some[:, None]
+        out ^= out >> np.uint64(29)
+        out *= np.uint64(0xBF58476D1CE4E5B9)
+        out ^= out >> np.uint64(32)
+        return out
+
+    def least(places: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places and mixed values of the smallest k-mers among ``places``."""
+        values, take = mixed(places, some), min(picked, len(places))
+        if take == len(places):
+            return np.tile(places, (len(some), 1)), values
+        at = np.argpartition(values, take - 1, axis=1)[:, :take]
+        return places[at], np.take_along_axis(values, at, axis=1)
+
+    def written(chosen: np.ndarray) -> np.ndarray:
+        take = chosen.shape[1]
+        value = np.full(len(chosen), np.uint64(take))
+        for i in range(take):
+            value = (value ^ chosen[:, i]) * np.uint64(0x94D049BB133111EB)
+            value ^= value >> np.uint64(31)
+        return value
+
     with np.errstate(over="ignore"):
         for low in range(0, len(seeds), max(1, 2_000_000 // n)):
             some = seeds[low : low + max(1, 2_000_000 // n)]
-            mixed = (kmers[None, :] ^ (kmers[None, :] >> np.uint64(31))) * some[:, None]
-            mixed ^= mixed >> np.uint64(29)
-            mixed *= np.uint64(0xBF58476D1CE4E5B9)
-            mixed ^= mixed >> np.uint64(32)
-            least = np.argpartition(mixed, take - 1, axis=1)[:, :take] if take < n else np.tile(np.arange(n), (len(some), 1))
-            chosen = kmers[np.sort(least, axis=1)]
-            value = np.full(len(some), np.uint64(take))
-            for i in range(take):
-                value = (value ^ chosen[:, i]) * np.uint64(0x94D049BB133111EB)
-                value ^= value >> np.uint64(31)
-            out[low : low + len(some)] = value
-    return out
+            places, values = least(once, some)
+            by_value[low : low + len(some)] = written(np.sort(kmers[places], axis=1))
+            if len(again):
+                more, more_values = least(again, some)
+                places, values = np.hstack([places, more]), np.hstack([values, more_values])
+                keep = np.argsort(values, axis=1, kind="stable")[:, : min(picked, n)]
+                places = np.take_along_axis(places, keep, axis=1)
+            ordered[low : low + len(some)] = written(kmers[np.sort(places, axis=1)])
+    return ordered, by_value
 
 
 def sketched(docs: DataFrame) -> DataFrame:
@@ -126,7 +156,7 @@ def sketched(docs: DataFrame) -> DataFrame:
             words = words_of(text)
             if words and doc_id is not None:
                 copy = xxhash.xxh128_digest("\n".join(words).encode())
-                yield doc_id, copy, sketches_of(kmer_hashes(words)).view(np.int64)
+                yield doc_id, copy, sketches_of(*kmer_hashes(words)).view(np.int64)
 
     def run(batches):
         yield from common.batched(rows(batches), schema, 1000)
@@ -137,12 +167,8 @@ def sketched(docs: DataFrame) -> DataFrame:
 # --- verification ----------------------------------------------------------------------------
 
 
-def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
-    """Edit distance of two word sequences if it is at most ``most``, by banded alignment.
-
-    The band holds the diagonals within the number of edits allowed, and is doubled until
-    the distance fits; on each diagonal the furthest point reachable is kept.
-    """
+def _between(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What is left of two word sequences without their common start and end."""
     n = min(len(a), len(b))
     differs = np.flatnonzero(a[:n] != b[:n])
     head = int(differs[0]) if len(differs) else n
@@ -150,7 +176,16 @@ def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
     n = min(len(a), len(b))
     differs = np.flatnonzero(a[len(a) - n :][::-1] != b[len(b) - n :][::-1])
     tail = int(differs[0]) if len(differs) else n
-    a, b = a[: len(a) - tail], b[: len(b) - tail]
+    return a[: len(a) - tail], b[: len(b) - tail]
+
+
+def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
+    """Edit distance of two word sequences if it is at most ``most``, by banded alignment.
+
+    The band holds the diagonals within the number of edits allowed, and is doubled until
+    the distance fits; on each diagonal the furthest point reachable is kept.
+    """
+    a, b = _between(a, b)
     if not len(a) or not len(b):
         worst = max(len(a), len(b))
         return worst if worst <= most else None
@@ -228,8 +263,10 @@ def similar(a: Text, b: Text, least: float = SIMILARITY) -> bool:
         return False
     needed = math.ceil(least * (len(x) + len(y)) / (1 + least))
     sure = (max(len(x), len(y)) - needed) // WORDS
-    if sure >= 0 and edit_distance(a.words, b.words, min(sure, QUICK_EDITS)) is not None:
-        return True
+    if sure >= 0:
+        left, right = _between(a.words, b.words)
+        if max(len(left), len(right)) <= QUICK_WORDS and edit_distance(left, right, min(sure, QUICK_EDITS)) is not None:
+            return True
     common_ = len(x & y)
     return common_ >= least * (len(x) + len(y) - common_)
 
@@ -283,7 +320,7 @@ def verified_links(ids: list[int], texts: list[str], sketches: np.ndarray, sides
 def _group_links(rows: pa.Table) -> pa.Table:
     """Verified links of one block, or between the two blocks that ``side`` tells apart."""
     rows = rows.take(np.argsort(rows["doc_id"].to_numpy(), kind="stable"))
-    sketches = np.empty((len(rows), SKETCHES + SHORT_SKETCHES), dtype=np.int64)
+    sketches = np.empty((len(rows), 2 * SKETCHES + SHORT_SKETCHES), dtype=np.int64)
     sketches[:] = -1 - np.arange(len(rows))[:, None]  # equal to no other row's
     for i, own in enumerate(rows["sketches"].to_pylist()):
         sketches[i, : len(own)] = own

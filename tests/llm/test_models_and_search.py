@@ -150,6 +150,18 @@ def test_moved_blocks_are_near_duplicates(spark):
     assert got == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 4} == plain_classes(texts)
 
 
+def test_repeated_lines_altered_alike_share_sketches(spark):
+    texts = {}
+    for k in range(60):
+        unique = [f"r{k}u{i}" for i in range(120)]
+        line = [f"r{k}l{i}" for i in range(10)]
+        for word in ("one", "two"):
+            texts[len(texts)] = " ".join(unique + (line[:5] + [word] + line[6:]) * (10, 20, 40)[k % 3])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in near_dup.near_duplicates(docs).collect()}
+    assert got == {i: i - i % 2 for i in texts} == plain_classes(texts)
+
+
 def test_similar_is_exact_jaccard():
     rng = random.Random(9)
     seen = set()
