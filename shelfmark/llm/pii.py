@@ -29,7 +29,18 @@ _EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-
 _IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}+"
 _CARD = r"[0-9](?:[\x20-]?+[0-9])++"
 _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-_IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}+[0-9]{2}+(?:\x20?+[A-Z0-9]){11,30}+(?![A-Za-z0-9])"
+# The head of an account number; what may be its rest is looked at but not consumed, with a
+# letter or digit after it if one follows, as it is the checksum that tells where it ends.
+_IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=((?:\x20?+[A-Z0-9]){11,30}+[A-Za-z0-9]?+))"
+#: Characters of an account number by country; others may have 15 to 34.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK",
+    21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR",
+    27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+IBAN_LEAST, IBAN_MOST = 15, 34
 
 
 @dataclass(frozen=True)
@@ -81,11 +92,64 @@ def confirmed(kind: str, value: Column) -> Column:
         return n.between(13, 19) & luhn_valid(_digits(value))
     if kind == "phone":
         return n.between(9, 15)
-    if kind == "iban":
-        return mod97_valid(value)
     return F.lit(True)
 
 
+def _account(proposed: Column) -> Column:
+    """The account number that a text starts with, or null: of its country's length if such a
+    prefix is confirmed, else the longest confirmed one. A prefix ends where a word does."""
+
+    def prefixes(words: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(1), F.size(words)), lambda n: F.array_join(F.slice(words, F.lit(1), n), " ")
+        )
+
+    def size(p: Column) -> Column:
+        return F.length(F.replace(p, F.lit(" "), F.lit("")))
+
+    def good(p: Column) -> Column:
+        return F.when(size(p).between(IBAN_LEAST, IBAN_MOST) & ~p.rlike("[a-z]"), mod97_valid(p)).otherwise(F.lit(False))
+
+    known = F.create_map(*[
+        F.lit(x) for n, names in IBAN_LENGTHS.items() for name in names.split() for x in (name, n)
+    ])
+    usual = F.try_element_at(known, F.left(proposed, F.lit(2)))
+    return bind(
+        F.filter(bind(F.split(proposed, " "), prefixes), good),
+        lambda all_: F.coalesce(
+            F.get(F.filter(all_, lambda p: size(p) == usual), F.lit(0)), F.try_element_at(all_, F.lit(-1))
+        ),
+    )
+
+
+def _accounts(text: Column) -> Column:
+    """Account numbers as ``located`` gives matches; of overlapping ones the first counts."""
+    found = F.array().cast("array<struct<start:int,stop:int>>")
+
+    def add(kept: Column, m: Column) -> Column:
+        free = m["value"].isNotNull() & (m["start"] >= F.coalesce(F.try_element_at(kept, F.lit(-1))["stop"], F.lit(0)))
+        span = F.struct(m["start"].alias("start"), (m["start"] + F.length(m["value"])).alias("stop"))
+        return F.when(free, F.array_append(kept, span)).otherwise(kept)
+
+    def around(kept: Column) -> Column:
+        def at(s: Column, i: Column) -> Column:
+            low = F.greatest(s["start"] - BEFORE, F.coalesce(F.get(kept, i - 1)["stop"], F.lit(0)))
+            high = F.coalesce(F.get(kept, i + 1)["start"], s["stop"] + AFTER)
+            return F.struct(
+                s["start"].alias("start"), s["stop"].alias("stop"),
+                F.substring(text, low + 1, s["start"] - low).alias("before"),
+                F.substring(text, s["stop"] + 1, high - s["stop"]).alias("after"),
+            )
+
+        return F.transform(kept, at)
+
+    proposed = F.zip_with(
+        located(text, _IBAN), F.regexp_extract_all(text, F.lit(_IBAN), F.lit(1)),
+        lambda m, rest: F.struct(m["start"].alias("start"), _account(F.concat(m["value"], rest)).alias("value")),
+    )
+    return bind(F.aggregate(proposed, found, add), around)
+
+
 def adjusted(kind: Kind, match: Column) -> Column:
     """The kind's score, more or less by the words around the match, within 0 and 1."""
     around = F.lower(F.concat(F.right(match["before"], F.lit(BEFORE)), F.lit(" \n "), F.left(match["after"], F.lit(AFTER))))
@@ -96,7 +160,10 @@ def adjusted(kind: Kind, match: Column) -> Column:
 
 def find(text: Column, kind: Kind) -> Column:
     """Confirmed spans of one kind, by start."""
-    good = F.filter(located(text, kind.pattern), lambda m: confirmed(kind.name, m["value"]))
+    if kind.name == "iban":
+        good = _accounts(text)
+    else:
+        good = F.filter(located(text, kind.pattern), lambda m: confirmed(kind.name, m["value"]))
     spans = F.transform(
         good,
         lambda m: F.struct(

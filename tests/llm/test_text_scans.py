@@ -70,6 +70,29 @@ def test_checksums_and_context(spark):
     }
 
 
+def test_account_numbers_end_where_the_checksum_says(spark):
+    de, grouped, gb = "DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"
+    texts = [
+        f"IBAN {de} Please pay", f"{gb} Thank you", f"é {grouped} BIC COBADEFF", f"{de} 2 times", f"{de} {gb}",
+        f"{gb} {de} {grouped}", f"AB12 {grouped} XY", f"{de}x", f"{de}1", f"x{de}", f"{de} 12345678901234567890",
+        "FR14 2004 1010 0505 0001 3M02 606 A B C D", f"{grouped}  Two", f"FR20 {de} OK", "DE88370400440532013000 Please pay",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {
+        r.doc_id: [texts[r.doc_id][s.start : s.stop] for s in r.spans if s.kind == "iban"]
+        for r in pii.find_pii(docs).collect()
+    }
+    assert found == {
+        0: [de], 1: [gb], 2: [grouped], 3: [de], 4: [de, gb], 5: [gb, de, grouped], 6: [grouped], 7: [], 8: [], 9: [],
+        10: [de], 11: [texts[11][:33]], 12: [grouped], 13: [de], 14: [],
+    }
+    # Whatever words surround it, and with only its own gap to the next one as context.
+    scores = [s.score for r in pii.find_pii(docs.where("doc_id in (0, 4)")).sort("doc_id").collect() for s in r.spans if s.kind == "iban"]
+    assert scores == [0.9, 0.7, 0.7]
+    redacted = {r.doc_id: r.text for r in pii.redact(docs.where("doc_id < 3")).collect()}
+    assert redacted == {0: "IBAN [IBAN] Please pay", 1: "[IBAN] Thank you", 2: "é [IBAN] BIC COBADEFF"}
+
+
 def test_redaction_covers_overlaps(spark, odd):
     docs = spark.createDataFrame(
         [(1, "é 1.2.3.4 5678 a@b.io +1 202 555 0147!"), (2, None), (3, "at 1.1.1.4 111 1111 1111 1111 end")],
