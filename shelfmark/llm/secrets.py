@@ -3,8 +3,8 @@
 Strong findings stand alone: assignments to secret-like names, access identifiers and long
 hexadecimal runs. Weak candidates (client names, mixed tokens, endpoints) mean little alone.
 They are linked by an interval join: every identifier opens a scope of ``radius`` characters
-to either side, cut at blank lines, and the secrets and endpoints that lie in it are its
-parts. A weak candidate is reported only if its complementary parts are there:
+to either side, cut at blank lines, and the secrets and endpoints that reach into it, however
+long they are, are its parts. A weak candidate is reported only if its complementary parts are there:
 
 - a weak secret needs a strong access identifier in its scope, or a weak one and an endpoint;
 - a weak identifier needs a strong secret in its scope, or a weak secret and an endpoint;
@@ -87,11 +87,13 @@ def _mixed(token: str) -> bool:
     return bool(re.search("[a-z]", token) and re.search("[A-Z]", token) and re.search("[0-9]", token))
 
 
-def _inside(parts: list[tuple[int, int]], low: int, high: int) -> list[tuple[int, int]]:
-    """Parts, sorted and without overlaps, that lie between two positions."""
+def _reaching(parts: list[tuple[int, int]], low: int, high: int) -> list[tuple[int, int]]:
+    """Parts, sorted and without overlaps, that share a character with an interval."""
     at = bisect_left(parts, (low, 0))
+    if at and parts[at - 1][1] > low:
+        at -= 1
     found = []
-    while at < len(parts) and parts[at][1] <= high:
+    while at < len(parts) and parts[at][0] < high:
         found.append(parts[at])
         at += 1
     return found
@@ -116,7 +118,8 @@ def linked_spans(text: str, strong: list[tuple[str, int, int]], radius: int = RA
         return []
     identifiers.sort()
     names = [(a, b) for a, b, is_strong in identifiers if not is_strong]
-    secrets = sorted((a, b) for kind, a, b in strong if kind != "access")
+    # Each kind by itself, as a hexadecimal run may lie in an assignment.
+    secrets = [[(a, b) for kind, a, b in strong if kind == own] for own in ("assign", "hex")]
     endpoints = [m.span() for m in _ENDPOINT.finditer(text)]
     weak = [
         m.span() for m in _WEAK_SECRET.finditer(text)
@@ -130,14 +133,14 @@ def linked_spans(text: str, strong: list[tuple[str, int, int]], radius: int = RA
         low = max(a - radius, breaks[at - 1] if at else 0, 0)
         after = bisect_left(breaks, b)
         high = min(b + radius, breaks[after] if after < len(breaks) else len(text))
-        near_secrets, near_weak = _inside(secrets, low, high), _inside(weak, low, high)
-        near_ends = _inside(endpoints, low, high)
+        near_secrets = any(_reaching(some, low, high) for some in secrets)
+        near_weak, near_ends = _reaching(weak, low, high), _reaching(endpoints, low, high)
         if is_strong or near_ends:
             for x, y in near_weak:
                 out.setdefault(("weak_secret", x, y), low)
-            linked = bool(near_secrets or near_weak)
+            linked = near_secrets or bool(near_weak)
         else:
-            linked = bool(near_secrets)
+            linked = near_secrets
         if linked:
             if not is_strong:
                 out.setdefault(("weak_id", a, b), low)
