@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import byte_bpe, near_dup, packing, pii, quality, rules, secrets, token_counts, topk, toxicity
+from shelfmark.llm import (
+    byte_bpe, decontaminate, near_dup, packing, pii, quality, rules, secrets, token_counts, topk,
+    toxicity,
+)
 from shelfmark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -96,10 +99,22 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_passages(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    )
+    return found.select(
+        "doc_id", "n_words", decontaminate.hit_words(F.col("spans")).alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.size("spans") > 0).alias("contaminated"), F.array_join("items", ",").alias("items"),
+    )
+
+
 def queries() -> dict[str, Query]:
     made = (
         op1_secrets, op2_pii, op3_byte_bpe, op4_topk, op5_rules, op6_toxicity, op7_quality,
-        op8_near_dup, op9_packing, op10_token_counts,
+        op8_near_dup, op9_packing, op10_token_counts, op13_decontaminate,
     )
     return {q.__name__: q for q in made}
 
@@ -124,5 +139,42 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 """
 
 
+# Words are lower-cased runs of digits, letters and characters beyond ASCII.
+_WORDS = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+    r"'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+)
+_DECONTAMINATE = f"""
+WITH items AS (
+    SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL
+), sized AS (
+    SELECT item, w, least(10, len(w)) AS size FROM items WHERE len(w) > 0
+), windows AS (
+    SELECT DISTINCT item, size, array_to_string(list_slice(w, i, i + size - 1), ' ') AS phrase
+    FROM (SELECT *, unnest(generate_series(1, len(w) - size + 1)) AS i FROM sized)
+), texts AS (
+    SELECT row_number() OVER () AS rn, doc_id, {_WORDS} AS w FROM documents
+), phrases AS (
+    SELECT rn, size, i, array_to_string(list_slice(w, i, i + size - 1), ' ') AS phrase
+    FROM (
+        SELECT rn, w, size, unnest(generate_series(1, len(w) - size + 1)) AS i
+        FROM texts, (SELECT DISTINCT size FROM sized) WHERE len(w) >= size
+    )
+), met AS (
+    SELECT rn, i, size, item FROM phrases JOIN windows USING (size, phrase)
+), hit AS (
+    SELECT rn, count(DISTINCT word) AS n_hit
+    FROM (SELECT rn, unnest(generate_series(i, i + size - 1)) AS word FROM met) GROUP BY rn
+), found AS (
+    SELECT rn, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items
+    FROM met GROUP BY rn
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+    sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+    coalesce(items, '') AS items
+FROM texts LEFT JOIN hit USING (rn) LEFT JOIN found USING (rn)
+"""
+
+
 def oracles() -> dict[str, str]:
-    return {"op4_topk": _TOPK}
+    return {"op4_topk": _TOPK, "op13_decontaminate": _DECONTAMINATE}
