@@ -4,13 +4,13 @@ from pathlib import Path
 
 import pytest
 
-sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+sys.path[:0] = [str(Path(__file__).resolve().parent), str(Path(__file__).resolve().parents[1])]
+
+from catalog_rows import NOW, table  # noqa: E402
 
 from shelfmark.schemas import ARTIFACTS, DATASETS, JOBS, SIGNALS  # noqa: E402
 from shelfmark.session import local_session  # noqa: E402
 
-NOW = datetime(2024, 3, 1, 12, 0, 0)
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -19,11 +19,6 @@ def spark():
     return session
 
 
-def table(spark, schema, rows):
-    """Rows given as dicts; missing columns are NULL."""
-    return spark.createDataFrame([tuple(r.get(f.name) for f in schema) for r in rows], schema)
-
-
 @pytest.fixture(scope="session")
 def make(spark):
     def build(name, rows):

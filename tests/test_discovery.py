@@ -3,7 +3,7 @@
 from datetime import datetime
 
 import pytest
-from conftest import NOW
+from catalog_rows import NOW
 from pyspark.sql import functions as F
 
 from shelfmark.operators import search as search_ops

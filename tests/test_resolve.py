@@ -2,7 +2,7 @@ import json
 import random
 from datetime import timedelta
 
-from conftest import NOW
+from catalog_rows import NOW
 
 from shelfmark.operators import resolve as ops
 from shelfmark.plans import resolve as plan

@@ -3,7 +3,7 @@ from datetime import datetime, timedelta
 from pathlib import Path
 
 import pytest
-from conftest import NOW
+from catalog_rows import NOW
 from pyspark.sql import functions as F
 
 from shelfmark.schemas import DATASETS, EVENTS, SIGNALS

@@ -6,7 +6,7 @@ from dataclasses import replace
 from datetime import datetime, timedelta
 
 import pytest
-from conftest import NOW
+from catalog_rows import NOW
 from pyspark.sql import functions as F
 
 from shelfmark.operators import filters, ingest, jobs as job_ops, joins, metrics, policy, upsert
