@@ -3,7 +3,7 @@ import re
 
 import numpy as np
 import pytest
-from conftest import ODD_TEXTS
+from odd_texts import ODD_TEXTS
 from pyspark.sql import functions as F
 
 from shelfmark.llm import decontaminate, queries
