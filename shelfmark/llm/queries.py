@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.llm import (
-    byte_bpe, decontaminate, near_dup, packing, pii, quality, rules, secrets, token_counts, topk,
+    byte_bpe, collocations, decontaminate, near_dup, packing, pii, quality, rules, secrets, token_counts, topk,
     toxicity,
 )
 from shelfmark.llm.common import table
@@ -99,6 +99,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine_phrases(table(spark, sf_dir, "documents"))
+
+
 def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_passages(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
@@ -114,7 +118,8 @@ def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     made = (
         op1_secrets, op2_pii, op3_byte_bpe, op4_topk, op5_rules, op6_toxicity, op7_quality,
-        op8_near_dup, op9_packing, op10_token_counts, op13_decontaminate,
+        op8_near_dup, op9_packing, op10_token_counts, op12_collocations,
+        op13_decontaminate,
     )
     return {q.__name__: q for q in made}
 
@@ -176,5 +181,48 @@ FROM texts LEFT JOIN hit USING (rn) LEFT JOIN found USING (rn)
 """
 
 
+_COLLOCATIONS = r"""
+WITH pieces AS (
+    SELECT lang, row_number() OVER () AS piece, regexp_extract_all(part, '[^\x20\x09]+') AS w
+    FROM (
+        SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS part
+        FROM documents
+    )
+), totals AS (
+    SELECT lang, CAST(sum(len(w)) AS HUGEINT) AS n FROM pieces GROUP BY lang
+), grams AS (
+    SELECT lang, list_slice(w, i, i + k - 1) AS p
+    FROM (
+        SELECT lang, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i
+        FROM pieces, (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE len(w) >= k
+    )
+), counts AS (
+    SELECT lang, p, CAST(count(*) AS HUGEINT) AS f FROM grams GROUP BY lang, p HAVING count(*) >= 100
+), held AS (
+    SELECT lang, list_slice(p, i, i + len(p) - 2) AS p, max(f) AS f
+    FROM (SELECT lang, p, f, unnest([1, 2]) AS i FROM counts WHERE len(p) > 2) GROUP BY 1, 2
+), candidates AS (
+    SELECT c.lang, c.p, c.f FROM counts c LEFT JOIN held h ON h.lang = c.lang AND h.p = c.p
+    WHERE len(c.p) > 1 AND coalesce(100 * h.f < 100 * c.f, true)
+), cuts AS (
+    SELECT lang, p, f, k, list_slice(p, 1, k) AS lp, list_slice(p, k + 1, len(p)) AS rp
+    FROM (SELECT *, unnest(generate_series(1, len(p) - 1)) AS k FROM candidates)
+), scores AS (
+    SELECT c.lang, c.p, c.f AS a, x.f AS l, y.f AS r, t.n, c.k, 1000 * c.f * t.n // (x.f * y.f) AS score
+    FROM cuts c JOIN counts x ON x.lang = c.lang AND x.p = c.lp JOIN counts y ON y.lang = c.lang AND y.p = c.rp
+    JOIN totals t ON t.lang = c.lang
+), best AS (
+    SELECT *, array_to_string(p, ' ') AS phrase FROM scores
+    QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best
+)
+SELECT lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r,
+    CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM ranked WHERE rank <= 2000
+"""
+
+
 def oracles() -> dict[str, str]:
-    return {"op4_topk": _TOPK, "op13_decontaminate": _DECONTAMINATE}
+    return {"op4_topk": _TOPK, "op12_collocations": _COLLOCATIONS, "op13_decontaminate": _DECONTAMINATE}
