@@ -33,240 +33,248 @@ from shelfmark.session import materialize
 
 MIN_COUNT, LONGEST, REPORTED = 100, 5, 2000
 #: Bytes of text in a chunk.
-CHUNK_BYTES = 8 * 2**20
+CHUNK_BYTES = 16 * 2**20
 #: Phrases that tasks look for in one pass; more take more passes.
 SET_ROWS = 1 << 18
-#: The first round's share of a language's words; each further round takes twice as many.
-FIRST_SHARE = 16
+#: The first round takes first words of a sixteenth of a language, each further one four times more.
+FIRST_SHARE, FASTER = 16, 4
 #: Classes of counts for each doubling.
 CLASSES = 4
 
-_MARK = b"\xff"  # in no UTF-8 text: ends a piece
+_MARK, _BLANK = 255, 32  # 255 is in no UTF-8 text: it ends a piece
 _BYTES = bytes(
-    c + 32 if 65 <= c <= 90 else 255 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c for c in range(256)
+    c + 32 if 65 <= c <= 90 else _MARK if c in b".,;:!?\n\x0b\x0c\r" else _BLANK if c == 9 else c
+    for c in range(256)
 )
 _W = [f"w{i}" for i in range(1, LONGEST + 1)]
 
 # --- chunks of numbered words ------------------------------------------------------------------
 
 
-class _Numbers(dict):
-    """The numbers of one language's words in a chunk, given as they are met; 0 ends a piece."""
-
-    def __init__(self, lang: str, words: list[tuple[str, bytes]]):
-        super().__init__({_MARK: 0})
-        self.lang, self.words = lang, words
-
-    def __missing__(self, word: bytes) -> int:
-        self.words.append((self.lang, word))
-        self[word] = len(self.words)
-        return len(self.words)
+def _mixed(key: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The key of what ``key`` stands for, with one 64-bit word more."""
+    return ((key ^ (key >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)) + word
 
 
-def _ids(words: list[tuple[str, bytes]], salt: int) -> np.ndarray:
-    """An id for each word of a language: a hash of both."""
-    prefixes = {lang: f"{len(lang)}:{lang}".encode() for lang in {lang for lang, _ in words}}
-    made = [xxhash.xxh64_intdigest(prefixes[lang] + word, salt) for lang, word in words]
-    return np.array(made, dtype=np.uint64).view(np.int64)
+def _eights(window: np.ndarray, starts: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The next up to eight bytes of words that have ``left`` bytes left, as numbers."""
+    read = window[starts].view(np.uint64).ravel()
+    unused = np.uint64(8) * (np.uint64(8) - np.minimum(left, 8).astype(np.uint64))
+    return (read << unused) >> unused
 
 
 _WORDS = pa.list_(pa.struct([("id", pa.int64()), ("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())]))
-_CHUNKS = pa.schema([("seq", pa.list_(pa.int32())), ("words", _WORDS)])
-_CHUNKS_SPARK = "seq array<int>, words array<struct<id:long,lang:string,word:string,n:long>>"
+_CHUNKS = pa.schema([("seq", pa.binary()), ("ids", pa.binary()), ("words", _WORDS)])
+_CHUNKS_SPARK = "seq binary, ids binary, words array<struct<id:long,lang:string,word:string,n:long>>"
 
 
-def _chunk(seq: list[int], words: list[tuple[str, bytes]], salt: int) -> pa.RecordBatch:
-    numbers = np.array(seq, dtype=np.int32)
-    counts = np.bincount(numbers, minlength=len(words) + 1)[1:]
+def _chunk(langs: list[str], texts: list[bytes], salt: int) -> pa.RecordBatch:
+    """Whole texts as one chunk.
+
+    ``seq`` holds the numbers of the words in order and a 0 wherever a piece ends; ``ids`` the
+    ids of the words 1, 2, …; ``words`` what they stand for and their counts.
+    """
+    joined = b"\xff".join([*texts, b""])
+    data = np.frombuffer(joined + bytes(8), dtype=np.uint8)
+    window = np.lib.stride_tricks.sliding_window_view(data, 8)
+    marks = data[: len(joined)] == _MARK
+    inside = np.concatenate([[False], ~marks & (data[: len(joined)] != _BLANK), [False]])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, sizes = edges[::2], edges[1::2] - edges[::2]
+    ends = np.flatnonzero(marks)
+
+    names = sorted(set(langs))
+    of_text = np.array([names.index(lang) for lang in langs])
+    after = np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts]))
+    lang = np.repeat(of_text, np.diff(after, prepend=0))
+    seeds = np.array([xxhash.xxh64_intdigest(name.encode(), salt) for name in names], dtype=np.uint64)
+    ids = _mixed(seeds[lang], sizes.astype(np.uint64))
+    left = np.arange(len(starts))
+    for at in range(0, int(sizes.max(initial=0)), 8):
+        left = left[sizes[left] > at]
+        ids[left] = _mixed(ids[left], _eights(window, starts[left] + at, sizes[left] - at))
+    ids ^= ids >> np.uint64(32)
+    distinct, firsts, numbers = np.unique(ids, return_index=True, return_inverse=True)
+    if not _same(window, starts, sizes, lang, firsts[numbers]):
+        distinct = np.zeros_like(distinct)  # no id is 0: another salt is taken
+
+    is_word = np.ones(len(starts) + len(ends), dtype=bool)
+    is_word[np.arange(len(ends)) + np.searchsorted(starts, ends)] = False
+    seq = np.zeros(len(is_word), dtype=np.int32)
+    seq[is_word] = numbers + 1
+    spelled = [joined[a : a + n] for a, n in zip(starts[firsts].tolist(), sizes[firsts].tolist())]
     columns = [
-        pa.array(_ids(words, salt)), pa.array([lang for lang, _ in words], pa.string()),
-        pa.array([word for _, word in words], pa.binary()).cast(pa.string()), pa.array(counts, pa.int64()),
+        pa.array(distinct.view(np.int64)), pa.array(names, pa.string()).take(pa.array(lang[firsts])),
+        pa.array(spelled, pa.binary()).cast(pa.string()), pa.array(np.bincount(numbers, minlength=len(distinct)), pa.int64()),
     ]
     structs = pa.StructArray.from_arrays(columns, fields=list(_WORDS.value_type))
-    lists = [
-        pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-        for values in (pa.array(numbers), structs)
-    ]
-    return pa.RecordBatch.from_arrays([a.cast(f.type) for a, f in zip(lists, _CHUNKS)], schema=_CHUNKS)
+    words = pa.ListArray.from_arrays(pa.array([0, len(structs)], pa.int32()), structs)
+    blobs = [pa.array([x.tobytes()], pa.binary()) for x in (seq, distinct)]
+    return pa.RecordBatch.from_arrays([*blobs, words.cast(_WORDS)], schema=_CHUNKS)
+
+
+def _same(window: np.ndarray, starts: np.ndarray, sizes: np.ndarray, lang: np.ndarray, firsts: np.ndarray) -> bool:
+    """Every word equals the first one of its id, byte by byte."""
+    if (sizes != sizes[firsts]).any() or (lang != lang[firsts]).any():
+        return False
+    left = np.flatnonzero(firsts != np.arange(len(firsts)))
+    for at in range(0, int(sizes.max(initial=0)), 8):
+        left = left[sizes[left] > at]
+        rest = sizes[left] - at
+        if (_eights(window, starts[left] + at, rest) != _eights(window, starts[firsts[left]] + at, rest)).any():
+            return False
+    return True
 
 
 def _chunks(rows: Iterable[tuple[str, str]], salt: int) -> Iterator[pa.RecordBatch]:
-    """Rows ``(lang, text)`` as chunks; texts are whole and end in 0."""
-    seq: list[int] = []
-    words: list[tuple[str, bytes]] = []
-    langs: dict[str, _Numbers] = {}
+    """Rows ``(lang, text)`` as chunks."""
+    langs: list[str] = []
+    texts: list[bytes] = []
     size = 0
     for lang, text in rows:
-        if lang not in langs:
-            langs[lang] = _Numbers(lang, words)
-        data = text.encode().translate(_BYTES)
-        seq.extend(map(langs[lang].__getitem__, data.replace(_MARK, b" \xff ").split()))
-        seq.append(0)
-        size += len(data)
+        langs.append(lang)
+        texts.append(text.encode().translate(_BYTES))
+        size += len(texts[-1])
         if size >= CHUNK_BYTES:
-            yield _chunk(seq, words, salt)
-            seq, words, langs, size = [], [], {}, 0
-    if words:
-        yield _chunk(seq, words, salt)
+            yield _chunk(langs, texts, salt)
+            langs, texts, size = [], [], 0
+    if texts:
+        yield _chunk(langs, texts, salt)
 
 
 # --- counting phrases in chunks ----------------------------------------------------------------
 
 
-def _extended(key: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """The key of a phrase with one word more."""
-    return ((key ^ (key >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)) + word
-
-
 def _key(words: list[np.ndarray]) -> np.ndarray:
     """Keys of phrases whose words, of one length, stand in columns."""
     key = words[0].view(np.uint64)
     for word in words[1:]:
-        key = _extended(key, word.view(np.uint64))
+        key = _mixed(key, word.view(np.uint64))
     return key
 
 
-class _Keys:
-    """A set of keys."""
+def _among(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which of the keys are in a sorted set."""
+    if not len(sorted_keys):
+        return np.zeros(len(keys), dtype=bool)
+    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
+    return sorted_keys[at] == keys
+
+
+class _Chunk:
+    """A chunk's sequence of word numbers and the ids they stand for."""
+
+    def __init__(self, seq: bytes, ids: bytes):
+        self.seq = np.frombuffer(seq, dtype=np.int32)
+        self.ids = np.concatenate([np.zeros(1, dtype=np.int64), np.frombuffer(ids, dtype=np.int64)])
 
-    def __init__(self, keys: np.ndarray):
-        self.keys = np.unique(keys)
-        self.bits = np.zeros(1 << 22, dtype=bool)
-        self.bits[self._bit(self.keys)] = True
+    def places(self, firsts: np.ndarray, keys: np.ndarray, size: int, more: int) -> np.ndarray:
+        """Where a phrase of ``size`` words, by its first word and its key, stands with at
+        least ``more`` words after it in its piece."""
+        begins = _among(firsts, self.ids)[self.seq]
+        begins[0 if len(self.seq) < size + more else len(self.seq) - size - more + 1 :] = False
+        at = np.flatnonzero(begins)
+        for i in range(1, size + more):
+            at = at[self.seq[at + i] != 0]
+        return at if size == 1 else at[_among(keys, _key(self.words(at, size)))]
 
-    @staticmethod
-    def _bit(keys: np.ndarray) -> np.ndarray:
-        return (keys * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(42)
+    def words(self, at: np.ndarray, size: int) -> list[np.ndarray]:
+        return [self.ids[self.seq[at + i]] for i in range(size)]
 
-    def __contains__(self, other):
-        raise TypeError("use among()")
 
-    def among(self, keys: np.ndarray) -> np.ndarray:
-        """Which of the keys are in the set."""
-        found = np.flatnonzero(self.bits[self._bit(keys)])
-        some = keys[found]
-        at = np.minimum(np.searchsorted(self.keys, some), len(self.keys) - 1)
-        return found[self.keys[at] == some]
+def _chunks_of(batches: Iterable[pa.RecordBatch]) -> Iterator[_Chunk]:
+    for batch in batches:
+        for seq, ids in zip(batch.column(0), batch.column(1)):
+            yield _Chunk(seq.as_buffer(), ids.as_buffer())
 
 
-def _tallied(words: list[np.ndarray], left: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray, list[np.ndarray]]:
-    """Distinct rows of words, their counts, and the least and largest ``left`` of each."""
-    if not len(words[0]):
-        return words, np.zeros(0, dtype=np.int64), [] if left is None else [left, left]
+def _tallied(words: list[np.ndarray], left: np.ndarray | None = None) -> pa.RecordBatch:
+    """Distinct rows of words with their counts, and the least and largest ``left`` of each."""
     order = np.argsort(_key(words), kind="stable")
     words = [w[order] for w in words]
     new = np.zeros(len(order), dtype=bool)
-    new[0] = True
+    new[:1] = True
     for w in words:
         new[1:] |= w[1:] != w[:-1]
     starts = np.flatnonzero(new)
-    counts = np.diff(np.append(starts, len(order)))
-    ends = [] if left is None else [np.minimum.reduceat(left[order], starts), np.maximum.reduceat(left[order], starts)]
-    return [w[starts] for w in words], counts, ends
-
-
-def _places(seq: np.ndarray, size: int) -> np.ndarray:
-    """Where ``size`` words stand in one piece."""
-    if len(seq) < size:
-        return np.zeros(0, dtype=np.int64)
-    whole = seq[: len(seq) - size + 1] != 0
-    for i in range(1, size):
-        whole &= seq[i : len(seq) - size + 1 + i] != 0
-    return np.flatnonzero(whole)
-
-
-def _of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-    """The chunks of a batch (``seq, ids``) as sequences of ids, with 0 where a piece ends."""
-    for seq, ids in zip(batch.column(0), batch.column(1)):
-        table = np.concatenate([[0], ids.values.to_numpy(zero_copy_only=False)]).astype(np.int64)
-        yield table[seq.values.to_numpy(zero_copy_only=False)]
-
-
-def _out(words: list[np.ndarray], counts: np.ndarray, more: Iterable[np.ndarray] = ()) -> pa.RecordBatch:
-    empty = np.zeros(len(counts), dtype=np.int64)
-    columns = [*words, *[empty] * (LONGEST - len(words)), counts, *more]
+    columns = [w[starts] for w in words]
+    columns += [np.zeros(len(starts), dtype=np.int64)] * (LONGEST - len(words))
+    columns.append(np.diff(np.append(starts, len(order))))
+    if left is not None:
+        some = left[order]
+        columns += [f.reduceat(some, starts) if len(starts) else some for f in (np.minimum, np.maximum)]
     names = [*_W, "n", "lo", "hi"]
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names[: len(columns)])
 
 
 _COUNTED = ", ".join(f"{w} long" for w in _W) + ", n long"
+_Set = dict[int, tuple[np.ndarray, np.ndarray]]
+
 
+def _sets(phrases: DataFrame) -> Iterator[_Set]:
+    """Phrases ``w1, …, w5`` as sets of at most about ``SET_ROWS``.
 
-def _sets(phrases: DataFrame, size: int) -> Iterator[np.ndarray]:
-    """The keys of phrases ``w1, …`` of ``size`` words, at most about ``SET_ROWS`` at once."""
-    names = _W[:size]
-    rows = phrases.count()
-    parts = -(-rows // SET_ROWS)
+    A set has for each number of words the first words and the keys of the phrases, sorted.
+    """
+    parts = -(-phrases.count() // SET_ROWS)
     for part in range(parts):
-        mine = phrases.where(F.pmod(F.xxhash64(*names), F.lit(parts)) == part) if parts > 1 else phrases
-        columns = mine.select(*names).toArrow()
-        yield _key([c.to_numpy() for c in columns.columns])
+        mine = phrases.where(F.pmod(F.xxhash64(*_W), F.lit(parts)) == part) if parts > 1 else phrases
+        words = [c.to_numpy() for c in mine.select(*_W).toArrow().columns]
+        sizes = sum((w != 0).astype(int) for w in words)
+        made: _Set = {}
+        for size in np.unique(sizes).tolist():
+            some = [np.ascontiguousarray(w[sizes == size]) for w in words[:size]]
+            made[size] = np.unique(some[0]), np.unique(_key(some))
+        yield made
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole
 
 
-def grow(chunks: DataFrame, phrases: DataFrame, size: int, least: int) -> DataFrame:
-    """``w1, …, n`` of phrases of ``size + 1`` words that begin with one of ``phrases``."""
-    sc = chunks.sparkSession.sparkContext
-    names = _W[: size + 1]
-    found = []
-    for keys in _sets(phrases, size):
-        shared = sc.broadcast(keys)
+def grow(chunks: DataFrame, phrases: DataFrame, least: int) -> DataFrame:
+    """``w1, …, w5, n`` of phrases that have one word more than one of ``phrases`` at the end
+    and occur ``least`` times."""
+    spark = chunks.sparkSession
+    found = [spark.createDataFrame([], _COUNTED)]
+    for wanted in _sets(phrases):
+        shared = spark.sparkContext.broadcast(wanted)
 
         def run(batches, shared=shared):
-            wanted = _Keys(shared.value)
-            for batch in batches:
-                for seq in _of(batch):
-                    at = _places(seq, size + 1)
-                    at = at[wanted.among(_key([seq[at + i] for i in range(size)]))]
-                    words, counts, _ = _tallied([seq[at + i] for i in range(size + 1)])
-                    yield _out(words, counts)
-
-        counted = chunks.select("seq", "words.id").mapInArrow(run, _COUNTED)
-        found.append(counted.groupBy(*names).agg(F.sum("n").alias("n")).where(F.col("n") >= least))
-    return _union(found, chunks, names)
-
-
-def _union(found: list[DataFrame], like: DataFrame, names: list[str]) -> DataFrame:
-    """All parts, with a 0 for every word that phrases do not have."""
-    if not found:
-        return like.sparkSession.createDataFrame([], _COUNTED)
-    rest = [F.lit(0).cast("long").alias(w) for w in _W if w not in names]
-    whole = found[0]
-    for part in found[1:]:
-        whole = whole.unionByName(part)
-    return whole.select(*names, *rest, "n")
+            for chunk in _chunks_of(batches):
+                for size, (firsts, keys) in shared.value.items():
+                    at = chunk.places(firsts, keys, size, 1)
+                    yield _tallied(chunk.words(at, size + 1))
+
+        counted = chunks.select("seq", "ids").mapInArrow(run, _COUNTED)
+        found.append(counted.groupBy(*_W).agg(F.sum("n").alias("n")).where(F.col("n") >= least))
+    return _union(found)
 
 
 def tally(chunks: DataFrame, phrases: DataFrame) -> DataFrame:
-    """``w1, …, w5, n, alone`` of the given phrases of two to four words, and perhaps others.
+    """``w1, …, w5, n, alone`` of the given phrases, and perhaps of others.
 
     ``alone`` is the word that stands before every occurrence; it is null where several do, or
-    where a phrase begins a piece.
+    where the phrase begins a piece.
     """
-    sc = chunks.sparkSession.sparkContext
-    parts = []
-    for size in range(2, LONGEST):
-        mine = phrases.where((F.col(_W[size - 1]) != 0) & (F.col(_W[size]) == 0))
-        for keys in _sets(mine, size):
-            shared = sc.broadcast(keys)
-
-            def run(batches, shared=shared, size=size):
-                wanted = _Keys(shared.value)
-                for batch in batches:
-                    for seq in _of(batch):
-                        at = _places(seq, size)
-                        at = at[wanted.among(_key([seq[at + i] for i in range(size)]))]
-                        before = np.where(at > 0, seq[at - 1], 0)
-                        words, counts, ends = _tallied([seq[at + i] for i in range(size)], before)
-                        yield _out(words, counts, ends)
-
-            parts.append(chunks.select("seq", "words.id").mapInArrow(run, _COUNTED + ", lo long, hi long"))
-    if not parts:
-        return chunks.sparkSession.createDataFrame([], _COUNTED + ", alone long")
-    counted = parts[0]
-    for part in parts[1:]:
-        counted = counted.unionByName(part)
+    spark = chunks.sparkSession
+    parts = [spark.createDataFrame([], _COUNTED + ", lo long, hi long")]
+    for wanted in _sets(phrases):
+        shared = spark.sparkContext.broadcast(wanted)
+
+        def run(batches, shared=shared):
+            for chunk in _chunks_of(batches):
+                for size, (firsts, keys) in shared.value.items():
+                    at = chunk.places(firsts, keys, size, 0)
+                    before = np.where(at > 0, chunk.ids[chunk.seq[at - 1]], 0)
+                    yield _tallied(chunk.words(at, size), before)
+
+        parts.append(chunks.select("seq", "ids").mapInArrow(run, _COUNTED + ", lo long, hi long"))
     lo, hi = F.min("lo"), F.max("hi")
-    return counted.groupBy(*_W).agg(
+    return _union(parts).groupBy(*_W).agg(
         F.sum("n").alias("n"), F.when((lo == hi) & (lo != 0), lo).alias("alone")
     )
 
@@ -338,7 +346,7 @@ class Frontier:
             if taken:
                 mine = (F.col("lang") == lang) & F.col("class").between(taken[0], taken[-1])
                 chosen = mine if chosen is None else chosen | mine
-        self.share /= 2
+        self.share /= FASTER
         return chosen
 
 
@@ -355,6 +363,7 @@ def numbered(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
         chunks = materialize(texts.mapInArrow(run, _CHUNKS_SPARK), "chunks")
         words = chunks.select(F.inline("words")).groupBy("id", "lang", "word").agg(F.sum("n").alias("n"))
         words = materialize(words, "words")
+        # In a chunk equal ids are equal words; across chunks this tells.
         clash = words.groupBy("id").agg(F.count(F.lit(1)).alias("words")).where((F.col("words") > 1) | (F.col("id") == 0))
         if clash.isEmpty():
             return chunks, words
@@ -404,13 +413,10 @@ def _round(
 ) -> DataFrame:
     """Surviving phrases that begin with a seed, with their scores; those that can no longer be
     reported may be missing."""
-    levels, level = [], seeds
-    for size in range(1, LONGEST):
-        level = materialize(grow(chunks, level, size, min_count), f"phrases-{size + 1}")
-        levels.append(level)
-    grown = levels[0]
-    for level in levels[1:]:
-        grown = grown.unionByName(level)
+    levels = [seeds.select("w1", *[F.lit(0).cast("long").alias(w) for w in _W[1:]])]
+    for size in range(2, LONGEST + 1):
+        levels.append(materialize(grow(chunks, levels[-1], min_count), f"phrases-{size}"))
+    grown = _union(levels[1:])
     grown = grown.join(seeds, "w1").select(*_W, "lang", F.col("n").alias("a"), _phrase([F.col(w) for w in _W]).alias("p"))
     # Longer phrases that follow every occurrence of a shorter one.
     longer = grown.where(F.size("p") > 2).select(F.slice("p", F.lit(1), F.size("p") - 1).alias("p"), "a").distinct()
@@ -458,20 +464,13 @@ def _hopeful(grown: DataFrame, single: DataFrame, totals: DataFrame, thresholds:
 def _thresholds(kept: list[DataFrame], reported: int) -> dict[str, int]:
     """The last reported score of each language that has enough phrases."""
     best = Window.partitionBy("lang").orderBy(F.desc("score"))
-    ranked = _all(kept).select("lang", "score").withColumn("rank", F.row_number().over(best))
+    ranked = _union(kept).select("lang", "score").withColumn("rank", F.row_number().over(best))
     last = ranked.where(F.col("rank") <= reported).groupBy("lang").agg(
         F.max("rank").alias("rank"), F.min("score").alias("score")
     )
     return {r["lang"]: r["score"] for r in last.where(F.col("rank") == reported).collect()}
 
 
-def _all(kept: list[DataFrame]) -> DataFrame:
-    whole = kept[0]
-    for part in kept[1:]:
-        whole = whole.unionByName(part)
-    return whole
-
-
 _RESULT = "lang string, rank long, phrase string, a long, l long, r long, n long, score long"
 
 
@@ -480,7 +479,7 @@ def _report(
 ) -> DataFrame:
     if not kept:
         return docs.sparkSession.createDataFrame([], _RESULT)
-    rows = _all(kept)
+    rows = _union(kept)
     for lang, score in thresholds.items():
         rows = rows.where((F.col("lang") != lang) | (F.col("score") >= score))
     spelled = (
