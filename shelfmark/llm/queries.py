@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.llm import (
-    byte_bpe, collocations, decontaminate, near_dup, packing, pii, quality, rules, secrets, token_counts, topk,
+    alignment, byte_bpe, collocations, decontaminate, near_dup, packing, pii, quality, rules, secrets, token_counts, topk,
     toxicity,
 )
 from shelfmark.llm.common import table
@@ -99,6 +99,14 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = alignment.align_documents(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.PATTERN, digest=True,
+    )
+    return aligned.withColumnRenamed("groups", "groups_sha256")
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine_phrases(table(spark, sf_dir, "documents"))
 
@@ -118,8 +126,8 @@ def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     made = (
         op1_secrets, op2_pii, op3_byte_bpe, op4_topk, op5_rules, op6_toxicity, op7_quality,
-        op8_near_dup, op9_packing, op10_token_counts, op12_collocations,
-        op13_decontaminate,
+        op8_near_dup, op9_packing, op10_token_counts, op11_alignment,
+        op12_collocations, op13_decontaminate,
     )
     return {q.__name__: q for q in made}
 

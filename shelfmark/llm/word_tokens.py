@@ -17,7 +17,7 @@ KEPT_WORDS, KEPT_PIECES = 300_000, 200_000
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 
 
-def _byte_letters() -> dict[int, str]:
+def byte_letters() -> dict[int, str]:
     """The letters that byte-level vocabularies write bytes with, by byte: printable ones
     stand for themselves, the others follow from U+0100 on."""
     printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -45,7 +45,7 @@ def _encoder(path: str) -> Callable[[str], np.ndarray]:
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(path)
-    model, letters = library.model, _byte_letters()
+    model, letters = library.model, byte_letters()
     words: dict[str, bytes] = {}
     pieces: dict[str, bytes] = {}
 
