@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -32,8 +33,9 @@ from shelfmark.session import materialize
 
 #: Characters of text in a batch, and bytes of a lane.
 BATCH_CHARS, LANE_BYTES = 4 * 2**20, 1024
-#: Words that a worker remembers for each tokenizer, and the longest of them.
-KEPT, KEPT_CHARS = 300_000, 48
+#: Words that a worker remembers for each tokenizer, and the longest of them; others are
+#: encoded anew.
+KEPT, KEPT_CHARS = 500_000, 48
 _SPACE = "▁"
 _BYTE_PIECE = re.compile("<0x([0-9A-F]{2})>")
 
@@ -41,9 +43,9 @@ _BYTE_PIECE = re.compile("<0x([0-9A-F]{2})>")
 
 
 class _Words:
-    """Ids of texts, put together from the ids of their words.
+    """Ids of texts, put together from those of words whose tokens do not depend on neighbours.
 
-    ``packed`` words are little-endian 32-bit ids; None marks a word whose tokens do not spell it.
+    Ids are packed as 32-bit numbers; None marks a word whose tokens do not spell it.
     """
 
     def __init__(self, tokens: list[bytes]):
@@ -52,46 +54,44 @@ class _Words:
         self.known: dict[str, bytes | None] = {}
 
     def split(self, text: str) -> list[str] | None:
-        """Words whose tokens do not depend on their neighbours; None if there are none such."""
+        """The words of a blank and the text; None if it has to be encoded as a whole."""
         raise NotImplementedError
 
-    def encode_all(self, words: list[str]) -> list[list[int]]:
+    def encode_words(self, words: list[str]) -> list[list[int]]:
         raise NotImplementedError
 
-    def spelling(self, word: str) -> bytes:
-        return word.encode()
+    def encode_text(self, text: str) -> list[int]:
+        """The ids of a blank and the text."""
+        raise NotImplementedError
 
     def ids(self, text: str) -> np.ndarray | None:
-        """The ids of a text, or None if their bytes are not those of a blank and the text."""
+        """The ids of a blank and the text, or None if these are not their bytes."""
         words = self.split(text)
         if words is None:
-            words = [text]
-            packed = {text: self._packed([text])[0]}
+            joined = self._packed(f" {text}", self.encode_text(text))
         else:
-            packed = self.known
-        try:
-            joined = b"".join(map(packed.__getitem__, words))
-        except KeyError:
-            self._learn(words)
-            joined = None if None in map(packed.__getitem__, words) else b"".join(map(packed.__getitem__, words))
-            for word in [w for w in set(words) if len(w) > KEPT_CHARS]:
-                del packed[word]
-        except TypeError:
-            joined = None
+            try:
+                joined = b"".join(map(self.known.__getitem__, words))
+            except (KeyError, TypeError):
+                joined = self._joined(words)
         return None if joined is None else np.frombuffer(joined, dtype="<u4")
 
-    def _learn(self, words: list[str]) -> None:
-        if len(self.known) > KEPT:
-            self.known.clear()
-        new = list(set(words) - self.known.keys())
-        self.known.update(zip(new, self._packed(new)))
+    def _joined(self, words: list[str]) -> bytes | None:
+        """The packed ids of words, which are remembered while there is room."""
+        known = self.known
+        new = list(set(words).difference(known))
+        known.update(zip(new, map(self._packed, new, self.encode_words(new))))
+        parts = list(map(known.__getitem__, words))
+        for word in new:
+            if len(word) > KEPT_CHARS:
+                del known[word]
+        while len(known) > KEPT:
+            known.popitem()
+        return None if None in parts else b"".join(parts)
 
-    def _packed(self, words: list[str]) -> list[bytes | None]:
-        out = []
-        for word, ids in zip(words, self.encode_all(words)):
-            spelled = b"".join([self.tokens[i] for i in ids])
-            out.append(np.array(ids, dtype="<u4").tobytes() if spelled == self.spelling(word) else None)
-        return out
+    def _packed(self, word: str, ids: list[int]) -> bytes | None:
+        spelled = b"".join([self.tokens[i] for i in ids])
+        return array("I", ids).tobytes() if spelled == word.encode() else None
 
 
 class ByteLevel(_Words):
@@ -103,8 +103,10 @@ class ByteLevel(_Words):
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings are plain text
+        self.model = self.library.model
         self.splitter = bpe.Splitter(pattern)
-        of_letter = {letter: byte for byte, letter in byte_letters().items()}
+        self.letters = byte_letters()
+        of_letter = {letter: byte for byte, letter in self.letters.items()}
         tokens = []
         for i in range(self.library.get_vocab_size()):
             token = self.library.id_to_token(i) or ""
@@ -116,44 +118,62 @@ class ByteLevel(_Words):
         # Other characters are left to the library, which may know another version of Unicode.
         return self.splitter(f" {text}") if bpe.is_plain(text) else None
 
-    def encode_all(self, words: list[str]) -> list[list[int]]:
-        if len(words) == 1 and not bpe.is_plain(words[0]):
-            words = [f" {words[0]}"]
-        return [e.ids for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
+    def encode_words(self, words: list[str]) -> list[list[int]]:
+        spelled = [w.encode().decode("latin-1").translate(self.letters) for w in words]
+        return [[token.id for token in self.model.tokenize(w)] for w in spelled]
 
-    def spelling(self, word: str) -> bytes:
-        return word.encode() if bpe.is_plain(word) else b" " + word.encode()
+    def encode_text(self, text: str) -> list[int]:
+        return self.library.encode(f" {text}", add_special_tokens=False).ids
 
 
 class Pieces(_Words):
     """Tokenizer B, which adds the blank before a text.
 
-    Where no piece has a blank after another character, merges never cross the place before a
-    run of blanks. A word is what stands between, without its first blank.
+    Words are runs of letters or of other characters, with the blanks before them. A merge that
+    leaves a word makes a piece that is more than one; texts that have such a piece in them are
+    encoded as a whole.
     """
 
+    _WORD = re.compile(r" *(?:[^\W\d_]+|(?:[^\w ]|[\d_])+)| +")
+
     def __init__(self, path: str):
         import sentencepiece
 
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
-        pieces = [self.library.id_to_piece(i) for i in range(self.library.get_piece_size())]
-        self.apart = not any(_SPACE in p.lstrip(_SPACE) for p in pieces)
+        super().__init__([_piece_bytes(self.library.id_to_piece(i)) for i in range(self.library.get_piece_size())])
+        no_text = {i for i in range(len(self.tokens)) if self.library.is_control(i) or self.library.is_unknown(i)}
+        pieces = [t.decode() for i, t in enumerate(self.tokens) if i not in no_text and _is_text(t)]
+        self.across = [p for p in pieces if len(self._WORD.findall(p)) != 1]
         self.blank = self.library.piece_to_id(_SPACE)
-        super().__init__([_piece_bytes(p) for p in pieces])
+        # What a word without a blank is encoded after: it ends in a character of the other kind.
+        self.before = {kind: (text, len(self.library.encode(text))) for kind, text in ((True, "."), (False, "a"))}
 
     def split(self, text: str) -> list[str] | None:
-        if not self.apart:
-            return None
-        if "  " in text or text.startswith(" "):
-            return re.findall(" ( *[^ ]*)", f" {text}")
-        return text.split(" ")
-
-    def encode_all(self, words: list[str]) -> list[list[int]]:
-        found = self.library.encode(words, num_threads=1)
-        return [ids if word else [self.blank] for word, ids in zip(words, found)]
-
-    def spelling(self, word: str) -> bytes:
-        return b" " + word.encode()
+        whole = f" {text}"
+        return None if any(p in whole for p in self.across) else self._WORD.findall(whole)
+
+    def encode_words(self, words: list[str]) -> list[list[int]]:
+        spelled, skipped = [], []
+        for word in words:
+            # The library writes a blank before what it is given.
+            before, skip = ("", 0) if word[0] == " " else self.before[_LETTER.match(word) is not None]
+            spelled.append(before + word if before else word[1:])
+            skipped.append(skip)
+        found = self.library.encode(spelled, num_threads=1)
+        return [ids[skip:] if ids else [self.blank] for ids, skip in zip(found, skipped)]
+
+    def encode_text(self, text: str) -> list[int]:
+        return self.library.encode(text)
+
+
+_LETTER = re.compile(r"[^\W\d_]")
+
+
+def _is_text(token: bytes) -> bool:
+    try:
+        return bool(token.decode())
+    except UnicodeDecodeError:
+        return False
 
 
 def _piece_bytes(piece: str) -> bytes:

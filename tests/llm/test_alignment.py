@@ -67,7 +67,7 @@ def plain(libraries, texts):
 
 def odd_texts():
     rng = random.Random(4)
-    parts = ["the", " ", "  ", "\n", "\t", "Straße", "▁", "中文", "\U0001f600", "'s", "1234", "<s>", "<|endoftext|>", "...", "İ", "é", " ", "<0x41>", "\r", "​", "tion", "xyzzy"]
+    parts = ["the", " ", "  ", "\n", "\t", "Straße", "▁", "中文", "\U0001f600", "'s", "1234", "<s>", "<|endoftext|>", "...", "İ", "é", " ", "<0x41>", "\r", "m²", ".", "²", "​", "tion", "xyzzy"]
     return ["".join(rng.choices(parts, k=rng.randint(1, 30))) for _ in range(300)] + [" ", "   ", "▁", "a ", " a", "�"]
 
 
