@@ -16,6 +16,7 @@ of small maps, chosen by crc32 of the piece, for a lookup in a Spark map walks a
 from __future__ import annotations
 
 import json
+import uuid
 import zlib
 from collections.abc import Callable
 
@@ -66,6 +67,11 @@ def rank_of(literal: Column, piece: Column) -> Column:
     return F.coalesce(F.element_at(F.get(literal, bucket), piece), F.lit(_NO_RANK))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that the plan holds once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def fold_merges(chars: Column, literal: Column) -> Column:
     """The pieces left when no two neighbours of a word have a rank, as ``array<string>``."""
 
@@ -92,8 +98,7 @@ def fold_merges(chars: Column, literal: Column) -> Column:
                 (more & (F.size(pieces) > 2)).alias("open"),
             )
 
-        # The one-element array binds the best pair once.
-        merged = F.get(F.transform(F.array(F.array_min(pairs)), apply), F.lit(0))
+        merged = bound(F.array_min(pairs), apply)
         return F.when(state["open"], merged).otherwise(state)
 
     start = F.struct(F.split(chars, "").alias("pieces"), (F.length(chars) > 1).alias("open"))
@@ -104,18 +109,19 @@ def fold_merges(chars: Column, literal: Column) -> Column:
 
 def encode_words(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     """``word, ids, decoded`` of distinct words of at most ``FOLDED_BYTES`` bytes, by folds."""
-    literal, pieces = rank_literal(ranks), piece_literal(ranks)
-    ids = F.transform(
-        fold_merges(as_chars(F.encode("word", "UTF-8")), literal), lambda p: rank_of(literal, p)
+    chars = as_chars(F.encode("word", "UTF-8"))
+    ids = bound(
+        rank_literal(ranks),
+        lambda literal: F.transform(fold_merges(chars, literal), lambda p: rank_of(literal, p)),
     )
     encoded = words.select("word", ids.alias("ids"))
-    return encoded.withColumn("decoded", decode_ids(F.col("ids"), pieces))
+    return encoded.withColumn("decoded", decode_ids(F.col("ids"), piece_literal(ranks)))
 
 
 def decode_ids(ids: Column, pieces: Column) -> Column:
     """The bytes of ids: their pieces joined. An id without a piece makes the result null."""
     return as_bytes(
-        F.aggregate(ids, F.lit(""), lambda joined, i: F.concat(joined, F.get(pieces, i)))
+        bound(pieces, lambda p: F.aggregate(ids, F.lit(""), lambda joined, i: F.concat(joined, F.get(p, i))))
     )
 
 
@@ -129,17 +135,27 @@ def word_counts(docs: DataFrame, pattern: str) -> DataFrame:
 
 
 def frequent_words(counts: DataFrame, most: int = FREQUENT) -> DataFrame:
-    """The words above the lowest count that at most ``most`` words reach."""
+    """At most about ``most`` words, those of the highest counts.
+
+    Counts are told apart in steps; of the step that no longer fits, a part by hash is taken.
+    """
+    counts = counts.where(F.octet_length("word") <= FOLDED_BYTES)
     step = F.floor(F.log2("n") * 8).cast("int")
     found = {r["step"]: r["words"] for r in
              counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words")).collect()}
-    lowest, total = max(found, default=0) + 1, 0
-    for at in sorted(found, reverse=True):
-        total += found[at]
-        if total > most:
+    room, lowest = most, max(found, default=0) + 1
+    while found:
+        largest = max(found)
+        if found[largest] > room:
             break
-        lowest = at
-    return counts.where(step >= lowest).where(F.octet_length("word") <= FOLDED_BYTES).select("word")
+        room -= found.pop(largest)
+        lowest = largest
+    chosen = step >= lowest
+    if found and room:
+        parts = 1 << 20
+        some = F.pmod(F.xxhash64("word"), F.lit(parts)) < parts * room // found[largest]
+        chosen = chosen | ((step == largest) & some)
+    return counts.where(chosen).select("word")
 
 
 def encode_documents(
@@ -159,14 +175,18 @@ def encode_documents(
     counts = materialize(word_counts(rows, pattern), "word-counts")
     # At most `frequent` short words: repartitioned so that the folds run in parallel.
     chosen = frequent_words(counts, frequent).repartition(24, "word")
-    table = {
-        r["word"]: (",".join(map(str, r["ids"])), len(r["ids"]), bytes(r["decoded"]))
-        for r in encode_words(chosen, ranks).collect()
-    }
-    shared = spark.sparkContext.broadcast(table)
+    encoded = encode_words(chosen, ranks).select(
+        "word", F.array_join("ids", ",").alias("ids"), F.size("ids").alias("n"), "decoded"
+    )
+    # Columns of a bounded number of words, in one piece.
+    packed = pa.BufferOutputStream()
+    with pa.ipc.new_stream(packed, (table := encoded.toArrow()).schema) as out:
+        out.write_table(table)
+    shared = spark.sparkContext.broadcast(packed.getvalue().to_pybytes())
+    name = uuid.uuid4().hex
 
     def run(batches):
-        encode = _text_encoder(ranks_path, pattern, shared.value)
+        encode = _text_encoder(ranks_path, pattern, _dictionary(name, shared))
         made = ((doc_id, *encode(text)) for doc_id, text in common.rows_of(batches))
         yield from common.batched(made, _ENCODED, 500)
 
@@ -178,6 +198,16 @@ _ENCODED = pa.schema(
 )
 
 
+def _dictionary(name: str, shared) -> dict[str, tuple]:
+    """The worker's table of the words that were folded."""
+    kept = common.worker_table("byte_bpe")
+    if kept.get("name") != name:
+        columns = pa.ipc.open_stream(shared.value).read_all().to_pydict()
+        rows = zip(columns["ids"], columns["n"], columns["decoded"])
+        kept["name"], kept["words"] = name, dict(zip(columns["word"], rows))
+    return kept["words"]
+
+
 def _text_encoder(path: str, pattern: str, frequent: dict) -> Callable[[str], tuple]:
     """A function from a text to its number of tokens, ids and decoded bytes."""
     split = bpe.Splitter(pattern)

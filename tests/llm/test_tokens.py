@@ -173,3 +173,12 @@ def test_queries(spark, small, library):
 def test_empty_tables(none):
     assert byte_bpe.encode_documents(none, RANKS, public_tokenizers.PATTERN).count() == 0
     assert token_counts.count_tokens(none, public_tokenizers.path("byte_bpe_50k.json")).count() == 0
+
+
+def test_a_part_of_the_step_that_does_not_fit_is_folded(spark):
+    rows = [(f"w{i}", 1000) for i in range(400)] + [("often", 10**6), ("once", 1), ("x" * 60, 10**7)]
+    counts = spark.createDataFrame(rows, "word string, n long")
+    some = {r.word for r in byte_bpe.frequent_words(counts, 100).collect()}
+    assert "often" in some and 60 <= len(some) <= 140
+    assert byte_bpe.frequent_words(counts, 10_000).count() == 402
+    assert byte_bpe.frequent_words(counts.where("false"), 100).count() == 0
