@@ -32,10 +32,10 @@ from shelfmark.llm.word_tokens import byte_letters
 from shelfmark.session import materialize
 
 #: Characters of text in a batch, and bytes of a lane.
-BATCH_CHARS, LANE_BYTES = 4 * 2**20, 1024
+BATCH_CHARS, LANE_BYTES = 2 * 2**20, 1024
 #: Words that a worker remembers for each tokenizer, and the longest of them; others are
 #: encoded anew.
-KEPT, KEPT_CHARS = 500_000, 48
+KEPT, KEPT_CHARS = 400_000, 48
 _SPACE = "▁"
 _BYTE_PIECE = re.compile("<0x([0-9A-F]{2})>")
 
@@ -64,30 +64,29 @@ class _Words:
         """The ids of a blank and the text."""
         raise NotImplementedError
 
-    def ids(self, text: str) -> np.ndarray | None:
-        """The ids of a blank and the text, or None if these are not their bytes."""
-        words = self.split(text)
-        if words is None:
-            joined = self._packed(f" {text}", self.encode_text(text))
-        else:
-            try:
-                joined = b"".join(map(self.known.__getitem__, words))
-            except (KeyError, TypeError):
-                joined = self._joined(words)
-        return None if joined is None else np.frombuffer(joined, dtype="<u4")
-
-    def _joined(self, words: list[str]) -> bytes | None:
-        """The packed ids of words, which are remembered while there is room."""
+    def ids(self, texts: list[str]) -> list[np.ndarray | None]:
+        """The ids of a blank and each text, or None if these are not their bytes."""
+        split = [self.split(t) for t in texts]
         known = self.known
-        new = list(set(words).difference(known))
-        known.update(zip(new, map(self._packed, new, self.encode_words(new))))
-        parts = list(map(known.__getitem__, words))
+        new = list(set().union(*[words for words in split if words]).difference(known))
+        if new:
+            known.update(zip(new, map(self._packed, new, self.encode_words(new))))
+        out = []
+        for text, words in zip(texts, split):
+            try:
+                if words is None:
+                    joined = self._packed(f" {text}", self.encode_text(text))
+                else:
+                    joined = b"".join(map(known.__getitem__, words))
+            except TypeError:  # a word that its tokens do not spell
+                joined = None
+            out.append(None if joined is None else np.frombuffer(joined, dtype="<u4"))
         for word in new:
             if len(word) > KEPT_CHARS:
                 del known[word]
         while len(known) > KEPT:
             known.popitem()
-        return None if None in parts else b"".join(parts)
+        return out
 
     def _packed(self, word: str, ids: list[int]) -> bytes | None:
         spelled = b"".join([self.tokens[i] for i in ids])
@@ -216,10 +215,12 @@ class Aligner:
         self.pairs = Pairs(self.a.tokens, self.b.tokens)
         self.digits = [_digits(len(t.tokens)) for t in (self.a, self.b)]
 
-    def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """A and B ids of a text, none if the bytes of either are not the text's."""
-        a, b = (self.a.ids(text), self.b.ids(text)) if text else (None, None)
-        return (_NONE, _NONE) if a is None or b is None else (a, b)
+    def tokens(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """A and B ids of each text, none if the bytes of either are not the text's."""
+        some = [t for t in texts if t]
+        found = zip(self.a.ids(some), self.b.ids(some))
+        both = ((a, b) if a is not None and b is not None else (_NONE, _NONE) for a, b in found)
+        return [next(both) if t else (_NONE, _NONE) for t in texts]
 
 
 _NONE = np.zeros(0, dtype="<u4")
@@ -291,7 +292,7 @@ def spell_groups(
 def align_texts(aligner: Aligner, texts: list[str]) -> Iterator[tuple]:
     """For each text ``n_a, n_b, n_groups, groups, pairs, times``: counts, the groups as text,
     the numbers of its linked pairs and how often each is linked."""
-    both = [aligner.tokens(t) for t in texts]
+    both = aligner.tokens(texts)
     a, b = (np.concatenate([x[k] for x in both]) for k in (0, 1))
     n_a, n_b = (np.array([len(x[k]) for x in both]) for k in (0, 1))
     a_ends, b_ends = np.cumsum(aligner.a.sizes[a]), np.cumsum(aligner.b.sizes[b])
