@@ -209,25 +209,31 @@ def _dictionary(name: str, shared) -> dict[str, tuple]:
 
 
 def _text_encoder(path: str, pattern: str, frequent: dict) -> Callable[[str], tuple]:
-    """A function from a text to its number of tokens, ids and decoded bytes."""
+    """A function from a text to its number of tokens, ids and decoded bytes.
+
+    ``frequent`` also takes the rare words met, ``KEPT`` at most.
+    """
     split = bpe.Splitter(pattern)
     kept = common.worker_table("byte_bpe")
     if (path, pattern) not in kept:
         ranks = bpe.load_ranks(path)
-        kept[path, pattern] = ranks, {rank: piece for piece, rank in ranks.items()}, {}
-    ranks, pieces, rare = kept[path, pattern]
-
-    def word(w: str) -> tuple[str, int, bytes]:
-        found = frequent.get(w) or rare.get(w)
-        if found is None:
-            ids = bpe.encode_word(w.encode(), ranks)
-            found = ",".join(map(str, ids)), len(ids), b"".join([pieces[i] for i in ids])
-            if len(rare) < KEPT:
-                rare[w] = found
-        return found
+        kept[path, pattern] = ranks, {rank: piece for piece, rank in ranks.items()}
+    ranks, pieces = kept[path, pattern]
+    known, most = frequent, KEPT + FREQUENT
+
+    def merged(word: str) -> tuple[str, int, bytes]:
+        ids = bpe.encode_word(word.encode(), ranks)
+        return ",".join(map(str, ids)), len(ids), b"".join([pieces[i] for i in ids])
 
     def encode(text: str) -> tuple[int, str, bytes]:
-        done = [word(w) for w in split(text)]
+        words = split(text)
+        try:
+            done = list(map(known.__getitem__, words))
+        except KeyError:
+            known.update((w, merged(w)) for w in set(words).difference(known))
+            done = list(map(known.__getitem__, words))
+            while len(known) > most:
+                known.popitem()
         ids, sizes, decoded = zip(*done) if done else ((), (), ())
         return sum(sizes), ",".join(ids), b"".join(decoded)
 
