@@ -33,7 +33,7 @@ from shelfmark.session import materialize
 
 MIN_COUNT, LONGEST, REPORTED = 100, 5, 2000
 #: Bytes of text in a chunk.
-CHUNK_BYTES = 16 * 2**20
+CHUNK_BYTES = 6 * 2**20
 #: Phrases that tasks look for in one pass; more take more passes.
 SET_ROWS = 1 << 18
 #: The first round takes first words of a sixteenth of a language, each further one four times more.
@@ -79,22 +79,25 @@ def _chunk(langs: list[str], texts: list[bytes], salt: int) -> pa.RecordBatch:
     window = np.lib.stride_tricks.sliding_window_view(data, 8)
     marks = data[: len(joined)] == _MARK
     inside = np.concatenate([[False], ~marks & (data[: len(joined)] != _BLANK), [False]])
-    edges = np.flatnonzero(inside[1:] != inside[:-1])
-    starts, sizes = edges[::2], edges[1::2] - edges[::2]
+    edges = np.flatnonzero(inside[1:] != inside[:-1]).astype(np.int32)
+    starts, sizes = edges[::2].copy(), edges[1::2] - edges[::2]
     ends = np.flatnonzero(marks)
+    del inside, edges, marks
 
     names = sorted(set(langs))
-    of_text = np.array([names.index(lang) for lang in langs])
+    of_text = np.array([names.index(lang) for lang in langs], dtype=np.int32)
     after = np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts]))
     lang = np.repeat(of_text, np.diff(after, prepend=0))
     seeds = np.array([xxhash.xxh64_intdigest(name.encode(), salt) for name in names], dtype=np.uint64)
     ids = _mixed(seeds[lang], sizes.astype(np.uint64))
-    left = np.arange(len(starts))
+    left = np.arange(len(starts), dtype=np.int32)
     for at in range(0, int(sizes.max(initial=0)), 8):
         left = left[sizes[left] > at]
         ids[left] = _mixed(ids[left], _eights(window, starts[left] + at, sizes[left] - at))
     ids ^= ids >> np.uint64(32)
     distinct, firsts, numbers = np.unique(ids, return_index=True, return_inverse=True)
+    numbers = numbers.astype(np.int32)
+    del ids
     if not _same(window, starts, sizes, lang, firsts[numbers]):
         distinct = np.zeros_like(distinct)  # no id is 0: another salt is taken
 
@@ -137,6 +140,7 @@ def _chunks(rows: Iterable[tuple[str, str]], salt: int) -> Iterator[pa.RecordBat
         size += len(texts[-1])
         if size >= CHUNK_BYTES:
             yield _chunk(langs, texts, salt)
+            pa.default_memory_pool().release_unused()
             langs, texts, size = [], [], 0
     if texts:
         yield _chunk(langs, texts, salt)
