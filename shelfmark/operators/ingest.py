@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,10 +46,16 @@ def _is_after(lm: Column, id_: Column) -> Column:
     return F.col("lm").isNotNull() & (F.struct("lm", "id") > F.struct(lm.alias("lm"), id_.alias("id")))
 
 
-def backfill(listing: DataFrame, as_of: datetime, window_days: int) -> DataFrame:
-    """Rows of the last 1, 3 or 7 days."""
+def backfill_start(as_of: datetime, window_days: int) -> datetime:
+    """Where a backfill of the last 1, 3 or 7 days begins."""
     if window_days not in BACKFILL_DAYS:
         raise ValueError(f"window_days must be one of {BACKFILL_DAYS}")
+    return as_of - timedelta(days=window_days)
+
+
+def backfill(listing: DataFrame, as_of: datetime, window_days: int) -> DataFrame:
+    """Rows of the last 1, 3 or 7 days."""
+    backfill_start(as_of, window_days)
     return listing.filter(values.since(F.col("lm"), as_of, window_days))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions import text
@@ -13,7 +13,6 @@ from shelfmark.functions import text
 INLINE_TOKENS = 256
 _SALTS = 32
 _BROADCAST_ROWS, _BROADCAST_BYTES = 100_000, 8 * 2**20
-_POSTINGS = "term string, dataset_id string, tf int, dl int"
 _K1, _B = 1.2, 0.75  # the usual BM25 parameters
 
 
@@ -151,7 +150,7 @@ class Index(NamedTuple):
     buckets: int | None = None
 
 
-def _postings(docs: DataFrame) -> DataFrame:
+def postings_rows(docs: DataFrame) -> DataFrame:
     """``(term, dataset_id, tf, dl)``.
 
     A document's terms are sorted inside its row and run lengths give the term counts, so
@@ -179,14 +178,14 @@ def _postings(docs: DataFrame) -> DataFrame:
     )
 
 
-def _corpus_counts(docs: DataFrame, postings: DataFrame) -> DataFrame:
+def corpus_counts(docs: DataFrame, postings: DataFrame) -> DataFrame:
     """One row: the number of documents and of all their terms."""
     counted = docs.agg(F.count(F.lit(1)).alias("n")).scalar()
     terms = postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("terms"))
     return terms.select(counted.alias("docs"), "terms")
 
 
-def _averages(counts: DataFrame) -> DataFrame:
+def averages(counts: DataFrame) -> DataFrame:
     return counts.select("docs", F.try_divide("terms", "docs").alias("avgdl"))
 
 
@@ -197,93 +196,18 @@ def term_frequencies(postings: DataFrame) -> DataFrame:
 
 def build_inverted_index(docs: DataFrame) -> Index:
     """The index of search documents ``(dataset_id, content)``, computed when it is used."""
-    postings = _postings(docs)
-    return Index(postings, term_frequencies(postings), _averages(_corpus_counts(docs, postings)))
+    postings = postings_rows(docs)
+    return Index(postings, term_frequencies(postings), averages(corpus_counts(docs, postings)))
 
 
-def _bucket_of(term: Column, buckets: int) -> Column:
+def bucket_of(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
-def _write_postings(docs: DataFrame, path: str, version: int, buckets: int) -> DataFrame:
-    folder = f"{path}/postings/version={version}"
-    bucketed = _postings(docs).withColumn("bucket", _bucket_of(F.col("term"), buckets))
-    (
-        bucketed.hint("rebalance", "bucket")
-        .sortWithinPartitions("bucket", "term")
-        .write.mode("overwrite").partitionBy("bucket").parquet(folder)
-    )
-    return docs.sparkSession.read.schema(f"{_POSTINGS}, bucket int").parquet(folder)
-
-
-def _write_terms(counts: DataFrame, path: str, version: int) -> None:
-    (
-        counts.repartition("bucket").write.mode("overwrite").partitionBy("bucket")
-        .parquet(f"{path}/terms/version={version}")
-    )
-
-
-def write_inverted_index(docs: DataFrame, path: str, buckets: int = 256) -> None:
-    """Store the index so that a query reads only the folders of its terms.
-
-    Adaptive execution splits buckets that hold hot terms over several tasks and files, by
-    their measured size. This is version 0; ``update_inverted_index`` adds later ones.
-    """
-    written = _write_postings(docs, path, 0, buckets)
-    counts = written.groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("df"))
-    _write_terms(counts, path, 0)
-    _corpus_counts(docs, written).write.mode("overwrite").parquet(f"{path}/corpus/version=0")
-    docs.select("dataset_id").limit(0).write.mode("overwrite").parquet(f"{path}/masks/version=0")
-
-
-def update_inverted_index(
-    old: DataFrame, new: DataFrame, path: str, version: int, buckets: int = 256
-) -> None:
-    """Bring a stored index up to date with changed documents only.
-
-    ``old`` and ``new`` are the search documents of the changed ids before and after. Their
-    postings are added as a version of their own; older postings of these ids are masked,
-    and document frequencies and corpus sizes are added as differences. Nothing stored is
-    rewritten. An update that broke off is run again with the same ``version``, 1 or more.
-    """
-    added = _write_postings(new, path, version, buckets)
-    gone = _postings(old).withColumn("bucket", _bucket_of(F.col("term"), buckets))
-    signed = added.select("bucket", "term", F.lit(1).alias("n")).unionByName(
-        gone.select("bucket", "term", F.lit(-1).alias("n"))
-    )
-    counts = signed.groupBy("bucket", "term").agg(F.sum("n").alias("df")).filter("df <> 0")
-    _write_terms(counts, path, version)
-    before, after = _corpus_counts(old, gone), _corpus_counts(new, added)
-    less = before.select((-F.col("docs")).alias("docs"), (-F.col("terms")).alias("terms"))
-    corpus = after.unionByName(less).agg(F.sum("docs").alias("docs"), F.sum("terms").alias("terms"))
-    corpus.write.mode("overwrite").parquet(f"{path}/corpus/version={version}")
-    changed = old.select("dataset_id").unionByName(new.select("dataset_id")).distinct()
-    changed.write.mode("overwrite").parquet(f"{path}/masks/version={version}")
-
-
-def read_inverted_index(spark: SparkSession, path: str, buckets: int = 256) -> Index:
-    """A stored index with its updates; ``buckets`` is the number it was written with."""
-    postings = spark.read.schema(f"{_POSTINGS}, version int, bucket int").parquet(f"{path}/postings")
-    masks = spark.read.schema("dataset_id string, version int").parquet(f"{path}/masks")
-    if not masks.isEmpty():
-        last = masks.groupBy("dataset_id").agg(F.max("version").alias("since"))
-        last = F.broadcast(last) if is_short(last) else last
-        outdated = (postings["dataset_id"] == last["dataset_id"]) & (postings["version"] < last["since"])
-        postings = postings.join(last, outdated, "left_anti")
-    terms = spark.read.schema("term string, df bigint, version int, bucket int").parquet(f"{path}/terms")
-    corpus = spark.read.schema("docs bigint, terms bigint").parquet(f"{path}/corpus")
-    return Index(
-        postings.drop("version"),
-        terms.groupBy("bucket", "term").agg(F.sum("df").alias("df")).filter("df > 0"),
-        _averages(corpus.agg(F.sum("docs").alias("docs"), F.sum("terms").alias("terms"))),
-        buckets,
-    )
-
-
 def _only(table: DataFrame, index: Index, terms: list[str]) -> DataFrame:
     found = table.filter(F.col("term").isin(terms))
     if index.buckets:
-        folders = [_bucket_of(F.lit(t), index.buckets) for t in terms]
+        folders = [bucket_of(F.lit(t), index.buckets) for t in terms]
         found = found.filter(F.col("bucket").isin(folders)).drop("bucket")
     return found
 
@@ -298,7 +222,7 @@ def _in_folders(table: DataFrame, index: Index, terms: DataFrame) -> DataFrame:
     if not index.buckets:
         return table
     # No more numbers than there are buckets; as literals they prune the folders to read.
-    folders = terms.select(_bucket_of(F.col("term"), index.buckets).alias("bucket")).distinct()
+    folders = terms.select(bucket_of(F.col("term"), index.buckets).alias("bucket")).distinct()
     numbers = sorted(row["bucket"] for row in folders.collect())
     return table.filter(F.col("bucket").isin(numbers)).drop("bucket")
 

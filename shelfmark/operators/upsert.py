@@ -82,6 +82,16 @@ def upsert_docs(docs: DataFrame, batch: DataFrame) -> DataFrame:
     return kept.unionByName(fresh)
 
 
+def cut_to(old: DataFrame, ids: DataFrame) -> DataFrame:
+    """Id and fingerprint of the stored rows that a batch has too.
+
+    Few ids are broadcast, so stored rows are read where they are and not moved; many meet them
+    in a shuffle of these two columns.
+    """
+    few = F.broadcast(ids) if is_short(ids) else ids
+    return old.select("id", F.col("fingerprint").alias("fingerprint_old")).join(few, "id", "left_semi")
+
+
 def compare_fingerprints(old: DataFrame, new: DataFrame) -> DataFrame:
     """Every batch row with the stored fingerprint and the event type it causes, if any.
 
@@ -89,7 +99,8 @@ def compare_fingerprints(old: DataFrame, new: DataFrame) -> DataFrame:
     differs, also from NULL, as changed. Repeats in the batch are each compared with the
     stored value.
     """
-    stored = old.select("id", F.col("fingerprint").alias("fingerprint_old"))
+    ids = materialize(new.select("id").distinct(), "batch-ids")
+    stored = materialize(cut_to(old, ids), "stored")
     position = [c for c in ("batch_pos",) if c in new.columns]
     batch = new.select("id", F.col("fingerprint").alias("fingerprint_new"), *position)
     event = F.when(F.col("fingerprint_old").isNull(), "dataset.discovered").when(
@@ -103,7 +114,12 @@ def detect_changes(old: DataFrame, new: DataFrame, as_of: datetime) -> DataFrame
 
     Event ids are a hash of what happened, so a repeated run logs the same ids.
     """
-    events = compare_fingerprints(old, new).filter(F.col("type").isNotNull())
+    return change_events(compare_fingerprints(old, new), as_of)
+
+
+def change_events(compared: DataFrame, as_of: datetime) -> DataFrame:
+    """The events of ``compare_fingerprints``."""
+    events = compared.filter(F.col("type").isNotNull())
     keep_nulls = {"ignoreNullFields": "false"}
     payload = F.when(
         F.col("type") == "dataset.changed",
@@ -122,16 +138,21 @@ def changed_ids(old: DataFrame, new: DataFrame) -> DataFrame:
 
     A missing new fingerprint counts as empty text here, so a stored empty one is no change.
     """
-    compared = compare_fingerprints(old, new).filter(F.col("type") == "dataset.changed")
+    return changed_of(compare_fingerprints(old, new))
+
+
+def changed_of(compared: DataFrame) -> DataFrame:
+    """The ids of ``compare_fingerprints`` whose artifacts become stale."""
     moved = F.col("fingerprint_old") != F.coalesce("fingerprint_new", F.lit(""))
-    return compared.filter(moved).select("id").distinct()
+    return compared.filter(F.col("type") == "dataset.changed").filter(moved).select("id").distinct()
 
 
 def mark_stale(artifacts: DataFrame, changed: DataFrame) -> DataFrame:
     """All artifacts of the datasets in ``changed(id)`` become stale."""
-    hit = changed.select(F.col("id").alias("dataset_id")).distinct().withColumn("_hit", F.lit(True))
+    hit = materialize(changed.select(F.col("id").alias("dataset_id")).distinct(), "changed")
+    hit = hit.withColumn("_hit", F.lit(True))
     return (
-        artifacts.join(hit, "dataset_id", "left")
+        artifacts.join(F.broadcast(hit) if is_short(hit) else hit, "dataset_id", "left")
         .withColumn("stale", F.when(F.col("_hit"), True).otherwise(F.col("stale")))
         .drop("_hit")
     )

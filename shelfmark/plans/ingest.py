@@ -40,10 +40,11 @@ def merge_batch(
     datasets: DataFrame, artifacts: DataFrame, batch: DataFrame, as_of: datetime
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(datasets, artifacts, events)`` after a batch of dataset rows."""
+    compared = materialize(upsert.compare_fingerprints(datasets, batch), "compared")
     return (
         upsert.upsert_datasets(datasets, batch),
-        upsert.mark_stale(artifacts, upsert.changed_ids(datasets, batch)),
-        upsert.detect_changes(datasets, batch, as_of),
+        upsert.mark_stale(artifacts, upsert.changed_of(compared)),
+        upsert.change_events(compared, as_of),
     )
 
 
@@ -66,17 +67,19 @@ class Discovery(NamedTuple):
 
 def discover(
     catalog: Catalog, listing: DataFrame, as_of: datetime, limit: int | None = None,
-    source: str = "hf", gap_safe: bool = True,
+    source: str = "hf", gap_safe: bool = True, window_days: int | None = None,
 ) -> Discovery:
     """One discovery run: the listing after the source's cursor is merged into the catalog.
 
     Datasets are upserted, artifacts of changed ones become stale, changes become events,
     the connector's cursor moves on, and search documents are made anew for the touched
-    datasets only. With a ``limit``, further runs take up where this one ended.
+    datasets only. With a ``limit``, further runs take up where this one ended. A backfill
+    takes only what changed in the last ``window_days`` (1, 3 or 7); the cursor passes the rest.
     """
     mine = catalog.connectors.filter(F.col("source") == source)
     cursor = mine.select("cursor.max_seen.lm", "cursor.max_seen.id")
-    rows, after = ingest_listing(listing, cursor, as_of, limit, None, source, gap_safe)
+    until = None if window_days is None else ops.backfill_start(as_of, window_days)
+    rows, after = ingest_listing(listing, cursor, as_of, limit, until, source, gap_safe)
     batch = materialize(rows, "discovered")
     datasets, artifacts, events = merge_batch(catalog.datasets, catalog.artifacts, batch, as_of)
     moved = after.filter(F.col("id").isNotNull()).select(

@@ -423,6 +423,13 @@ SELECT d.doc_id, max(CASE WHEN t.i = e.stop THEN t.title_above END) AS title,
 FROM documents d LEFT JOIN ends e USING (doc_id) LEFT JOIN titled t USING (doc_id) GROUP BY d.doc_id"""
 
 
+_FIRST = "ORDER BY last_seen_lm, id LIMIT 500"
+
+
+def _last(days: int) -> str:
+    return f"AND last_seen_lm >= {_AS_OF} - INTERVAL {days} DAY"
+
+
 def oracles() -> dict[str, str]:
     sql: dict[str, str] = {}
 
@@ -443,19 +450,27 @@ SELECT CAST(event_id AS VARCHAR) AS id, CAST(NULL AS VARCHAR) AS dataset_id, CAS
   CAST(NULL AS VARCHAR) AS error_detail, CAST(NULL AS INT) AS budget_ms, CAST(NULL AS INT) AS row_cap,
   ts AS enqueued_at, CAST(NULL AS TIMESTAMP) AS started_at, CAST(NULL AS TIMESTAMP) AS finished_at
 FROM events"""
-    add("ingest_listing", "listing", """
+    for key, window, limit in (
+        ("ingest_listing", "", _FIRST), ("ingest_listing_all", "", ""), ("ingest_backfill", _last(3), ""),
+    ):
+        add(key, "listing", f"""
 , top AS (
-  SELECT l.* FROM listed l WHERE last_seen_lm > TIMESTAMP '2024-01-21' OR (last_seen_lm = TIMESTAMP '2024-01-21' AND id > 'ds/5')
-  ORDER BY last_seen_lm, id LIMIT 500
+  SELECT l.* FROM listed l
+  WHERE (last_seen_lm > TIMESTAMP '2024-01-21' OR (last_seen_lm = TIMESTAMP '2024-01-21' AND id > 'ds/5')) {window}
+  {limit}
 )
 SELECT id, title, fingerprint, last_seen_lm, access_class, license_class,
   (SELECT last_seen_lm FROM top ORDER BY last_seen_lm DESC, id DESC LIMIT 1) AS cursor_lm,
   (SELECT id FROM top ORDER BY last_seen_lm DESC, id DESC LIMIT 1) AS cursor_id
 FROM top""")
-    add("discovery_job", "listing datasets artifacts", f"""
+    for key, window, limit in (
+        ("discovery_job", "", _FIRST), ("discovery_full", "", ""), ("discovery_backfill", _last(7), ""),
+    ):
+        add(key, "listing datasets artifacts", f"""
 , top AS (
-  SELECT l.* FROM listed l WHERE last_seen_lm > TIMESTAMP '2024-01-21' OR (last_seen_lm = TIMESTAMP '2024-01-21' AND id > 'ds/5')
-  ORDER BY last_seen_lm, id LIMIT 500
+  SELECT l.* FROM listed l
+  WHERE (last_seen_lm > TIMESTAMP '2024-01-21' OR (last_seen_lm = TIMESTAMP '2024-01-21' AND id > 'ds/5')) {window}
+  {limit}
 )
 SELECT 'doc' AS part, id, md5(content) AS detail FROM datasets WHERE id NOT IN (SELECT id FROM top)
 UNION ALL SELECT 'doc', id, md5({_LISTED_CONTENT}) FROM top
@@ -466,10 +481,12 @@ WHERE stale OR dataset_id IN (SELECT id FROM top JOIN datasets d USING (id) WHER
 UNION ALL SELECT 'dataset', id, fingerprint FROM datasets WHERE id NOT IN (SELECT id FROM top)
 UNION ALL SELECT 'dataset', id, fingerprint FROM top
 UNION ALL SELECT 'cursor', arg_max(id, (last_seen_lm, id)), strftime(max(last_seen_lm), '%Y-%m-%d %H:%M:%S') FROM top""")
-    add("update_index", "listing datasets", rf"""
+    for key, window, limit in (("update_index", "", _FIRST), ("index_after_updates", "", "")):
+        add(key, "listing datasets", rf"""
 , top AS (
-  SELECT l.* FROM listed l WHERE last_seen_lm > TIMESTAMP '2024-01-21' OR (last_seen_lm = TIMESTAMP '2024-01-21' AND id > 'ds/5')
-  ORDER BY last_seen_lm, id LIMIT 500
+  SELECT l.* FROM listed l
+  WHERE (last_seen_lm > TIMESTAMP '2024-01-21' OR (last_seen_lm = TIMESTAMP '2024-01-21' AND id > 'ds/5')) {window}
+  {limit}
 ),
 after AS (
   SELECT id, content FROM datasets WHERE id NOT IN (SELECT id FROM top) UNION ALL SELECT id, {_LISTED_CONTENT} FROM top

@@ -18,8 +18,8 @@ from shelfmark.plans import ingest as ingest_plan
 from shelfmark.plans import prefetch, search, tables
 from shelfmark.plans import resolve as resolve_plan
 from shelfmark.schemas import CONNECTORS, CURSOR, EVENTS, JOBS, SIGNALS, Settings
-from shelfmark.session import literal_frame, shared_dir
-from shelfmark.sources import catalog, logs
+from shelfmark.session import literal_frame, materialize, shared_dir
+from shelfmark.sources import catalog, logs, stored_index
 from shelfmark.sources.conform import conform
 from shelfmark.streaming import streams
 
@@ -106,9 +106,11 @@ def _cursor(spark):
 
 @query
 def ingest_listing(spark, sf):
-    rows, cursor = ingest_plan.ingest_listing(
-        tables.listing(spark, sf), _cursor(spark), AS_OF, limit=500
-    )
+    return _ingested(spark, sf, limit=500)
+
+
+def _ingested(spark, sf, **how):
+    rows, cursor = ingest_plan.ingest_listing(tables.listing(spark, sf), _cursor(spark), AS_OF, **how)
     picked = cursor.select(F.struct("lm", "id").alias("c")).scalar()
     return rows.withColumn("cursor", picked).select(
         "id", "title", "fingerprint", "last_seen_lm", "access_class", "license_class",
@@ -116,18 +118,47 @@ def ingest_listing(spark, sf):
     )
 
 
-def _discovered(spark, sf):
+@query
+def ingest_listing_all(spark, sf):
+    """All rows of the listing after the cursor."""
+    return _ingested(spark, sf)
+
+
+@query
+def ingest_backfill(spark, sf):
+    """All rows after the cursor that changed in the last three days."""
+    return _ingested(spark, sf, backfill_until=ingest.backfill_start(AS_OF, 3))
+
+
+def _discovered(spark, sf, limit=500, window_days=None):
     connectors = literal_frame(spark, [("hf", {"max_seen": dict(zip(("lm", "id"), tables.CURSOR))}, 3, None)], CONNECTORS)
     catalog_now = ingest_plan.Catalog(
         tables.datasets(spark, sf), tables.artifacts(spark, sf), connectors, tables.docs(spark, sf)
     )
-    return ingest_plan.discover(catalog_now, tables.listing(spark, sf), AS_OF, limit=500)
+    return ingest_plan.discover(
+        catalog_now, tables.listing(spark, sf), AS_OF, limit=limit, window_days=window_days
+    )
 
 
 @query
 def discovery_job(spark, sf):
     """One run over the stored catalog: documents, events, stale marks and cursor after it."""
-    run = _discovered(spark, sf)
+    return _outcome(_discovered(spark, sf))
+
+
+@query
+def discovery_full(spark, sf):
+    """One run to the end of the listing."""
+    return _outcome(_discovered(spark, sf, limit=None))
+
+
+@query
+def discovery_backfill(spark, sf):
+    """One run over what changed in the last seven days."""
+    return _outcome(_discovered(spark, sf, limit=None, window_days=7))
+
+
+def _outcome(run):
     seen = F.col("cursor.max_seen")
     docs = run.catalog.docs.select(
         F.lit("doc").alias("part"), F.col("dataset_id").alias("id"), F.md5("content").alias("detail")
@@ -150,12 +181,33 @@ def update_index(spark, sf):
     run = _discovered(spark, sf)
     before = tables.docs(spark, sf)
     touched = run.ids.select(F.col("id").alias("dataset_id"))
-    search_ops.write_inverted_index(before, path, 16)
-    search_ops.update_inverted_index(
+    stored_index.write_inverted_index(before, path, 16)
+    stored_index.update_inverted_index(
         before.join(touched, "dataset_id", "left_semi"),
         run.catalog.docs.join(touched, "dataset_id", "left_semi"), path, 1, 16,
     )
-    index = search_ops.read_inverted_index(spark, path, 16)
+    return _index_rows(stored_index.read_inverted_index(spark, path, 16))
+
+
+@query
+def index_after_updates(spark, sf):
+    """The stored index after all changes of a run to the end of the listing, in five updates,
+    of which the first four are merged."""
+    path = shared_dir(spark, "index")
+    run = _discovered(spark, sf, limit=None)
+    touched = materialize(run.ids.select(F.col("id").alias("dataset_id")), "touched")
+    before, after = (
+        materialize(d.join(touched, "dataset_id", "left_semi"), "changed")
+        for d in (tables.docs(spark, sf), run.catalog.docs)
+    )
+    stored_index.write_inverted_index(tables.docs(spark, sf), path, 16)
+    for version in range(1, 6):
+        mine = F.pmod(F.xxhash64("dataset_id"), F.lit(5)) == version - 1
+        stored_index.update_inverted_index(before.filter(mine), after.filter(mine), path, version, 16)
+    return _index_rows(stored_index.read_inverted_index(spark, path, 16))
+
+
+def _index_rows(index):
     totals = index.corpus.select(
         F.lit(None).cast("string").alias("term"), F.lit(None).cast("string").alias("dataset_id"),
         F.lit(None).cast("int").alias("tf"), F.lit(None).cast("int").alias("dl"),
@@ -683,7 +735,7 @@ def search_with_fallback(spark, sf):
 @query
 def build_inverted_index(spark, sf):
     path = shared_dir(spark, "index")
-    search_ops.write_inverted_index(tables.docs(spark, sf), path, tables.INDEX_BUCKETS)
+    stored_index.write_inverted_index(tables.docs(spark, sf), path, tables.INDEX_BUCKETS)
     return spark.read.parquet(f"{path}/postings").select("term", "dataset_id", "tf", "dl")
 
 
@@ -1038,8 +1090,10 @@ def stream_signals_shuffled(spark, sf):
     path = shared_dir(spark, "stream_signals")
     signals = tables.signal_columns(tables.read(spark, sf, "events"))
     n = F.substring_index("id", "-", -1).cast("bigint")
-    signals.filter(n % 3 == 0).unionByName(signals).repartition(6, F.hash("id")).write.parquet(f"{path}/in")
-    source = streams.read_folder(spark, f"{path}/in", 2)
+    mixed = signals.filter(n % 3 == 0).unionByName(signals)
+    files = max(6, tables.read(spark, sf, "events").rdd.getNumPartitions())
+    mixed.repartition(files, F.hash("id")).write.parquet(f"{path}/in")
+    source = streams.read_folder(spark, f"{path}/in", -(-files // 3))
     streams.stream_signals(source, f"{path}/out", f"{path}/ckpt", AS_OF).awaitTermination()
     return streams.read_log(spark, f"{path}/out", SIGNALS)
 
@@ -1068,7 +1122,7 @@ def stream_upsert_datasets(spark, sf):
 def stream_upsert_effects(spark, sf):
     """What the same stream does to artifacts and writes to the change log."""
     path = shared_dir(spark, "stream_datasets")
-    tables.new_batch(spark, sf).repartition(1).write.parquet(f"{path}/in")
+    tables.new_batch(spark, sf).write.parquet(f"{path}/in")
     source = streams.read_folder(spark, f"{path}/in")
     tables.stored_datasets(spark, sf).write.parquet(f"{path}/state/datasets/v00000001")
     tables.artifacts(spark, sf).write.parquet(f"{path}/state/artifacts/v00000001")

@@ -23,7 +23,7 @@ from shelfmark.schemas import (
     ARTIFACTS, DATASETS, JOBS, LISTING, SEARCH_DOCS, SIGNALS, SIZE_CLASSES,
 )
 from shelfmark.session import literal_frame, shared_base
-from shelfmark.sources import snapshots
+from shelfmark.sources import snapshots, stored_index
 from shelfmark.sources.conform import conform
 
 AS_OF = datetime(2024, 1, 31)
@@ -122,10 +122,9 @@ def index(spark: SparkSession, sf_dir: str) -> search.Index:
     """The stored BM25 index of the search documents."""
     path = f"{_home(spark, sf_dir)}/index"
     with _BUILDING:
-        if snapshots.latest_version(spark, f"{path}/done") is None:
-            search.write_inverted_index(docs(spark, sf_dir), path, INDEX_BUCKETS)
-            snapshots.write_snapshot(spark.range(1), f"{path}/done", version=1)
-    return search.read_inverted_index(spark, path, INDEX_BUCKETS)
+        if not stored_index.segments(spark, path):
+            stored_index.write_inverted_index(docs(spark, sf_dir), path, INDEX_BUCKETS)
+    return stored_index.read_inverted_index(spark, path, INDEX_BUCKETS)
 
 
 @stored(DATASETS, sorted_by="id")

@@ -42,12 +42,18 @@ def append_events(events: DataFrame, new: DataFrame, as_of: datetime) -> DataFra
 
 
 def signal_rows(new: DataFrame, as_of: datetime) -> DataFrame:
-    """Log rows for raw signals; one row per given id."""
+    """Log rows for raw signals; one row per given id, the first by time.
+
+    The rest of the content settles equal times, so a repeated run keeps the same row.
+    """
     rows = conform(new, SIGNALS).withColumn(
         "created_at", F.coalesce("created_at", values.at(as_of))
     )
     named = rows.withColumn("id", F.nullif("id", F.lit("")))
-    given = named.filter(F.col("id").isNotNull()).dropDuplicates(["id"])
+    rest = [c for c in named.columns if c not in ("id", "created_at")]
+    first = F.min(F.struct("created_at", F.to_json(F.struct(*rest)).alias("_rest"), *rest)).alias("_first")
+    given = named.filter(F.col("id").isNotNull()).groupBy("id").agg(first).select("id", "_first.*")
+    given = given.select(*named.columns)
     fresh = named.filter(F.col("id").isNull()).withColumn("id", F.uuid())
     return given.unionByName(fresh)
 

@@ -139,9 +139,10 @@ def stream_upsert_datasets(
         batch = materialize(batch, "micro-batch")
         stored = current(spark, state_path, "datasets", below=version)
         artifacts = current(spark, state_path, "artifacts", below=version)
-        changed = upsert.changed_ids(stored, batch)
+        compared = materialize(upsert.compare_fingerprints(stored, batch), "compared")
+        changed = upsert.changed_of(compared)
         hit = artifacts.join(changed.withColumnRenamed("id", "dataset_id"), "dataset_id", "left_semi")
-        events = upsert.detect_changes(stored, batch, as_of)
+        events = upsert.change_events(compared, as_of)
         latest = conform(upsert.last_per_key(batch, ["id"]), DATASETS)
         _write_log(conform(events, EVENTS), f"{state_path}/events", "merge", version)
         snapshots.write_delta(

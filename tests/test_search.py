@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from shelfmark.operators import ordering
 from shelfmark.operators import search as ops
 from shelfmark.plans import search
+from shelfmark.sources import stored_index
 
 QUERY_SCHEMA = (
     "query_id string, query string, modality string, license_class string, "
@@ -125,8 +126,8 @@ def test_postings_count_terms(spark):
 
 def test_stored_index_reads_only_needed_folders(spark, tmp_path):
     docs = docs_of(spark, [f"common w{i}" for i in range(50)])
-    ops.write_inverted_index(docs, str(tmp_path / "ix"), buckets=8)
-    index = ops.read_inverted_index(spark, str(tmp_path / "ix"), buckets=8)
+    stored_index.write_inverted_index(docs, str(tmp_path / "ix"), buckets=8)
+    index = stored_index.read_inverted_index(spark, str(tmp_path / "ix"), buckets=8)
     found = ops.postings_of(index, ["common", "w3"])
     assert found.count() == 51
     plan = found._jdf.queryExecution().executedPlan().toString()
