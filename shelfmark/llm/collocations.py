@@ -33,7 +33,7 @@ from shelfmark.session import materialize
 
 MIN_COUNT, LONGEST, REPORTED = 100, 5, 2000
 #: Bytes of text in a chunk.
-CHUNK_BYTES = 6 * 2**20
+CHUNK_BYTES = 3 * 2**20
 #: Phrases that tasks look for in one pass; more take more passes.
 SET_ROWS = 1 << 18
 #: The first round takes first words of a sixteenth of a language, each further one four times more.
@@ -190,6 +190,7 @@ def _chunks_of(batches: Iterable[pa.RecordBatch]) -> Iterator[_Chunk]:
     for batch in batches:
         for seq, ids in zip(batch.column(0), batch.column(1)):
             yield _Chunk(seq.as_buffer(), ids.as_buffer())
+            pa.default_memory_pool().release_unused()
 
 
 def _tallied(words: list[np.ndarray], left: np.ndarray | None = None) -> pa.RecordBatch:
