@@ -18,9 +18,12 @@ from __future__ import annotations
 import json
 import uuid
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import chain, islice
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +34,10 @@ from shelfmark.session import materialize
 FREQUENT = 120_000
 #: Longer words, in bytes, are not folded: the fold takes quadratic time.
 FOLDED_BYTES = 48
-#: Rare words remembered by a worker; later ones are merged anew.
-KEPT = 500_000
+#: Rare words remembered by a worker, and bytes of all its words; later ones are merged anew.
+KEPT, KEPT_BYTES = 500_000, 128 << 20
+#: Characters of texts that are put together at once.
+GROUP_CHARS = 1 << 20
 _NO_RANK = 2**31 - 1
 _BUCKETS = 8192
 
@@ -176,7 +181,8 @@ def encode_documents(
     # At most `frequent` short words: repartitioned so that the folds run in parallel.
     chosen = frequent_words(counts, frequent).repartition(24, "word")
     encoded = encode_words(chosen, ranks).select(
-        "word", F.array_join("ids", ",").alias("ids"), F.size("ids").alias("n"), "decoded"
+        "word", F.concat(F.lit(","), F.array_join("ids", ",")).alias("ids"),
+        F.size("ids").alias("n"), "decoded",
     )
     # Columns of a bounded number of words, in one piece.
     packed = pa.BufferOutputStream()
@@ -186,55 +192,137 @@ def encode_documents(
     name = uuid.uuid4().hex
 
     def run(batches):
-        encode = _text_encoder(ranks_path, pattern, _dictionary(name, shared))
-        made = ((doc_id, *encode(text)) for doc_id, text in common.rows_of(batches))
-        yield from common.batched(made, _ENCODED, 500)
+        words = _words(name, shared, ranks_path)
+        split = bpe.Splitter(pattern)
+        for docs_at_once in _groups(common.rows_of(batches)):
+            yield words.encode([i for i, _ in docs_at_once], [split(t) for _, t in docs_at_once])
 
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids string, decoded binary")
 
 
+def _groups(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
+    """Rows by the hundreds; long texts in smaller groups, a very long one by itself."""
+    held, chars = [], 0
+    for row in rows:
+        if held and (chars + len(row[1]) > GROUP_CHARS or len(held) >= 500):
+            yield held
+            held, chars = [], 0
+        held.append(row)
+        chars += len(row[1])
+    if held:
+        yield held
+
+
+class _Pieces:
+    """Byte strings laid end to end, which grow and are read by Arrow without a copy."""
+
+    def __init__(self):
+        self.n, self._ends = 0, np.zeros(1 << 10, dtype=np.int32)
+        self._data = np.empty(1 << 16, dtype=np.uint8)
+
+    def bytes(self) -> int:
+        return int(self._ends[self.n])
+
+    def extend(self, values: pa.BinaryArray) -> None:
+        if not len(values):
+            return
+        ends = np.frombuffer(values.buffers()[1], dtype=np.int32)[values.offset :][: len(values) + 1]
+        low, n = self.bytes(), self.n + len(values)
+        high = low + int(ends[-1] - ends[0])
+        if n >= len(self._ends):
+            self._ends = np.concatenate([self._ends, np.zeros(n, dtype=np.int32)])
+        if high > len(self._data):
+            self._data = np.concatenate([self._data[:low], np.empty(2 * high - low, np.uint8)])
+        self._ends[self.n + 1 : n + 1] = low + ends[1:] - ends[0]
+        self._data[low:high] = np.frombuffer(values.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+        self.n = n
+
+    def joined(self, at: np.ndarray, ends: np.ndarray) -> pa.BinaryArray:
+        """The strings at ``at``, joined in runs that end before the positions ``ends``."""
+        buffers = [None, pa.py_buffer(self._ends), pa.py_buffer(self._data)]
+        taken = pa.BinaryArray.from_buffers(pa.binary(), self.n, buffers).take(pa.array(at))
+        if not len(at):
+            return pa.array([b""] * len(ends), pa.binary())
+        offsets = np.frombuffer(taken.buffers()[1], dtype=np.int32)[np.concatenate([[0], ends])]
+        return pa.BinaryArray.from_buffers(
+            pa.binary(), len(ends), [None, pa.py_buffer(offsets), taken.buffers()[2]]
+        )
+
+
+class _Places(dict):
+    """Words numbered as they are met."""
+
+    def __missing__(self, word: str) -> int:
+        place = self[word] = len(self)
+        return place
+
+
+class _Words:
+    """A worker's table of words: those that were folded, and rare ones merged when met."""
+
+    def __init__(self, folded: pa.Table, path: str):
+        ranks = bpe.load_ranks(path)
+        self.merger = bpe.Merger(ranks)
+        # By id: the decimal number after a comma, and the piece.
+        self.numbers, self.spelled = _Pieces(), _Pieces()
+        pieces = {rank: piece for piece, rank in ranks.items()}
+        every = range(max(pieces) + 1)
+        self.numbers.extend(pa.array([b",%d" % i for i in every], pa.binary()))
+        self.spelled.extend(pa.array([pieces.get(i, b"") for i in every], pa.binary()))
+
+        folded = folded.combine_chunks()
+        self.places = _Places(zip(folded["word"].to_pylist(), range(len(folded))))
+        self.ids, self.decoded, self.sizes = _Pieces(), _Pieces(), np.zeros(1 << 10, dtype=np.int64)
+        for some in folded.to_batches():
+            self._add(some["ids"].cast(pa.binary()), some["n"].to_numpy(), some["decoded"])
+
+    def _add(self, ids: pa.BinaryArray, sizes: np.ndarray, decoded: pa.BinaryArray) -> None:
+        n = self.ids.n
+        self.ids.extend(ids)
+        self.decoded.extend(decoded)
+        if self.ids.n > len(self.sizes):
+            self.sizes = np.concatenate([self.sizes, np.zeros(self.ids.n, dtype=np.int64)])
+        self.sizes[n : self.ids.n] = sizes
+
+    def _merge(self, words: list[str]) -> None:
+        ids, sizes = self.merger.encode([word.encode() for word in words])
+        ends = np.cumsum(sizes)
+        self._add(self.numbers.joined(ids, ends), sizes, self.spelled.joined(ids, ends))
+
+    def _forget(self, n: int) -> None:
+        """Let all words but the first ``n`` go."""
+        while len(self.places) > n:
+            self.places.popitem()
+        self.ids.n = self.decoded.n = n
+
+    def encode(self, doc_ids: list, texts: list[list[str]]) -> pa.RecordBatch:
+        """A row for each text, given as its words."""
+        before, ends = len(self.places), np.cumsum([len(words) for words in texts])
+        every = map(self.places.__getitem__, chain.from_iterable(texts))
+        at = np.fromiter(every, dtype=np.int32, count=ends[-1])
+        if new := len(self.places) - before:
+            self._merge(list(islice(reversed(self.places), new))[::-1])
+        sums = np.concatenate([[0], np.cumsum(self.sizes[at])])[np.concatenate([[0], ends])]
+        ids = self.ids.joined(at, ends).cast(pa.string())
+        made = [
+            pa.array(doc_ids, pa.int64()), pa.array(np.diff(sums)),
+            pc.utf8_slice_codeunits(ids, 1), self.decoded.joined(at, ends),
+        ]
+        if self.ids.n > KEPT + FREQUENT or self.ids.bytes() + self.decoded.bytes() > KEPT_BYTES:
+            self._forget(before)
+        return pa.RecordBatch.from_arrays(made, schema=_ENCODED)
+
+
 _ENCODED = pa.schema(
     [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.string()), ("decoded", pa.binary())]
 )
 
 
-def _dictionary(name: str, shared) -> dict[str, tuple]:
-    """The worker's table of the words that were folded."""
+def _words(name: str, shared, path: str) -> _Words:
+    """The worker's table for the dictionary of this name."""
     kept = common.worker_table("byte_bpe")
     if kept.get("name") != name:
-        columns = pa.ipc.open_stream(shared.value).read_all().to_pydict()
-        rows = zip(columns["ids"], columns["n"], columns["decoded"])
-        kept["name"], kept["words"] = name, dict(zip(columns["word"], rows))
+        kept.clear()
+        kept["words"] = _Words(pa.ipc.open_stream(shared.value).read_all(), path)
+        kept["name"] = name
     return kept["words"]
-
-
-def _text_encoder(path: str, pattern: str, frequent: dict) -> Callable[[str], tuple]:
-    """A function from a text to its number of tokens, ids and decoded bytes.
-
-    ``frequent`` also takes the rare words met, ``KEPT`` at most.
-    """
-    split = bpe.Splitter(pattern)
-    kept = common.worker_table("byte_bpe")
-    if (path, pattern) not in kept:
-        ranks = bpe.load_ranks(path)
-        kept[path, pattern] = ranks, {rank: piece for piece, rank in ranks.items()}
-    ranks, pieces = kept[path, pattern]
-    known, most = frequent, KEPT + FREQUENT
-
-    def merged(word: str) -> tuple[str, int, bytes]:
-        ids = bpe.encode_word(word.encode(), ranks)
-        return ",".join(map(str, ids)), len(ids), b"".join([pieces[i] for i in ids])
-
-    def encode(text: str) -> tuple[int, str, bytes]:
-        words = split(text)
-        try:
-            done = list(map(known.__getitem__, words))
-        except KeyError:
-            known.update((w, merged(w)) for w in set(words).difference(known))
-            done = list(map(known.__getitem__, words))
-            while len(known) > most:
-                known.popitem()
-        ids, sizes, decoded = zip(*done) if done else ((), (), ())
-        return sum(sizes), ",".join(ids), b"".join(decoded)
-
-    return encode

@@ -7,7 +7,9 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+import regex
 import tiktoken
 from tokenizers import Tokenizer
 
@@ -182,3 +184,43 @@ def test_a_part_of_the_step_that_does_not_fit_is_folded(spark):
     assert "often" in some and 60 <= len(some) <= 140
     assert byte_bpe.frequent_words(counts, 10_000).count() == 402
     assert byte_bpe.frequent_words(counts.where("false"), 100).count() == 0
+
+
+def test_merging_many_words_equals_merging_each():
+    ranks = bpe.load_ranks(RANKS)
+    letters = "ethnio srad'ß日\x00.7"
+    drawn = random.Random(5)
+    words = ["".join(drawn.choices(letters, k=drawn.randint(1, 60))).encode() for _ in range(3000)]
+    words += [b"", b"a", b"the", b"aaaaaaaaaaaaaaa" * 40, *words[:5]]
+    flat, sizes = bpe.Merger(ranks).encode(words)
+    expected = [bpe.encode_word(w, ranks) if w else [] for w in words]
+    assert sizes.tolist() == [len(ids) for ids in expected]
+    assert flat.tolist() == [i for ids in expected for i in ids]
+    flat, sizes = bpe.Merger(ranks).encode([])
+    assert len(flat) == len(sizes) == 0
+
+
+def test_plain_split_equals_the_pattern():
+    split = bpe.Splitter(public_tokenizers.PATTERN)
+    plain = [c for c in map(chr, range(0x250)) if bpe.is_plain(c)]
+    texts = [f"{a}{c}{b}" for c in plain for a in ("", "a", " ", "7", "'") for b in ("", "s", "7", " ", "_.")]
+    drawn = random.Random(6)
+    texts += ["".join(drawn.choices("ab7 '\n\tsred.,_é×", k=30)) for _ in range(3000)]
+    any_text = regex.compile(public_tokenizers.PATTERN)
+    assert [split(t) for t in texts] == [any_text.findall(t) for t in texts]
+
+
+def test_words_beyond_the_bound_are_merged_anew(monkeypatch):
+    monkeypatch.setattr(byte_bpe, "KEPT", 5 - byte_bpe.FREQUENT)
+    names = ("word", "ids", "decoded")
+    none = pa.table({n: pa.array([], pa.string()) for n in names} | {"n": pa.array([], pa.int32())})
+    words = byte_bpe._Words(none.set_column(2, "decoded", pa.array([], pa.binary())), RANKS)
+    ranks = bpe.load_ranks(RANKS)
+    for low in range(0, 40, 4):
+        texts = [[f" w{low + i}x" for i in range(4)], [], [" the"]]
+        made = words.encode([1, None, 2], texts).to_pylist()
+        for row, text in zip(made, texts):
+            ids = [i for w in text for i in bpe.encode_word(w.encode(), ranks)]
+            assert row["ids"] == ",".join(map(str, ids)) and row["n_tokens"] == len(ids)
+            assert row["decoded"] == "".join(text).encode()
+        assert len(words.places) == words.ids.n <= 5
