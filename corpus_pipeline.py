@@ -45,19 +45,30 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every class of near duplicates, the one with the smallest id."""
+    """One document of every class of near duplicates, the one with the smallest id.
+
+    Rows that share an id but not the text are documents of their own: the class keeps the
+    smallest id and of its texts the one with the smallest digest. Of rows with the same id
+    and text the one smallest as JSON stays. Rows without an id all stay.
+    """
+    if not docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return _one_of_each_text(docs)
     classes = materialize(near_dup.near_duplicates(docs), "classes")
-    others = classes.where(F.col("doc_id") != F.col("class_id"))
-    kept = drop_ids(docs, others)
-    repeated = (
-        classes.where(F.col("doc_id").isNotNull()).groupBy("doc_id")
-        .agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return drop_ids(docs, classes.where(F.col("doc_id") != F.col("class_id")))
+
+
+def _one_of_each_text(docs: DataFrame) -> DataFrame:
+    """``drop_near_duplicates`` where ids repeat: distinct texts of an id are numbered in order."""
+    digest = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)
+    rows = docs.where("doc_id IS NOT NULL").select(
+        F.col("doc_id").alias("id"), digest.alias("digest"), F.struct("*").alias("row")
     )
-    if repeated.isEmpty():
-        return kept
-    again = materialize(repeated.select("doc_id"), "repeated-ids")
-    once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return drop_ids(kept, again).unionByName(once.select(kept.columns))
+    once = rows.groupBy("id", "digest").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    number = F.monotonically_increasing_id().alias("doc_id")
+    numbered = materialize(once.orderBy("id", "digest").select(number, "row"), "numbered-texts")
+    classes = materialize(near_dup.near_duplicates(numbered.select("doc_id", "row.text")), "classes")
+    kept = drop_ids(numbered, classes.where(F.col("doc_id") != F.col("class_id")))
+    return kept.select("row.*").unionByName(docs.where("doc_id IS NULL"))
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
