@@ -99,15 +99,27 @@ def _reaching(parts: list[tuple[int, int]], low: int, high: int) -> list[tuple[i
     return found
 
 
+def _disjoint(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What the spans cover together, as sorted intervals apart from each other."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
+
+
 def _overlap(span: tuple[int, int], taken: list[tuple[int, int]]) -> bool:
+    """Whether a span shares a character with any of sorted, disjoint intervals."""
     at = bisect_left(taken, (span[1], 0))
-    return any(taken[i][1] > span[0] for i in range(max(0, at - 3), at))
+    return at > 0 and taken[at - 1][1] > span[0]
 
 
 def linked_spans(text: str, strong: list[tuple[str, int, int]], radius: int = RADIUS) -> list[Span]:
     """Weak candidates with their complementary parts, as ``(kind, start, end, scope start)``."""
     lower = text.lower()
-    taken = sorted((a, b) for _, a, b in strong)
+    taken = _disjoint([(a, b) for _, a, b in strong])
     identifiers = [(a, b, True) for kind, a, b in strong if kind == "access"]
     if any(word in lower for word in _WEAK_ID_WORDS):
         identifiers += [

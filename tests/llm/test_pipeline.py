@@ -86,5 +86,18 @@ def test_stages_on_odd_and_empty_tables(spark, odd, name):
         assert all(len((r.text or "").split()) >= 50 for r in out.collect())
 
 
+def test_texts_of_one_id_are_documents_of_their_own(spark):
+    texts = {k: " ".join(f"{k}{i}" for i in range(60)) for k in "abcd"}
+    near = texts["c"].replace("c59", "other")
+    rows = [(1, texts["a"], 9), (1, texts["b"], 9), (1, texts["b"], 8), (2, texts["c"], 9), (3, near, 9),
+            (3, texts["d"], 9), (4, texts["a"], 9), (None, texts["a"], 9), (None, texts["a"], 9), (5, None, 9), (6, "", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row long")
+    want = [(1, texts["a"], 9), (1, texts["b"], 8), (2, texts["c"], 9), (3, texts["d"], 9), (5, None, 9), (6, "", 9),
+            *[(None, texts["a"], 9)] * 2]
+    for again in (docs, docs.orderBy(F.rand(1)).repartition(3)):
+        got = [tuple(r) for r in STAGES["near_dedup"](spark, again, SF).collect()]
+        assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
 def test_unused(spark):
     assert pipeline.ORACLE_SQL is None and pii.THRESHOLD < 1

@@ -49,6 +49,14 @@ def test_weak_parts_need_each_other():
     assert kinds("https://api.test/v1 secret=abcdefghijkl12") == ["assign"]
 
 
+def test_nothing_weak_lies_in_a_strong_span():
+    runs = ".".join(["0123456789abcdef"] * 4)
+    text = f"client_id = frontend https://api.test/x\nsecret = {runs}.AbCdEf0123456789GhIjKl012345"
+    found = secrets.scan_text(text)
+    assert [s[0] for s in found] == ["weak_id", "endpoint", "assign"] + ["hex"] * 4
+    assert secrets._disjoint([(5, 9), (1, 3), (6, 7), (8, 12)]) == [(1, 3), (5, 12)]
+
+
 def test_long_parts_are_linked_to_their_identifier():
     value = "Ab1" * 100
     kinds = lambda text: [s[0] for s in secrets.scan_text(text)]
