@@ -35,6 +35,8 @@ _ARROW = pa.schema(
     [(n, pa.int64()) for n in "doc_id start length loss doc_tokens sequence_id offset".split()]
     + [("ids", pa.binary())]
 )
+INSTRUCTION_PIECES = PIECES.replace("doc_id long", "doc_id long, turn long")
+_INSTRUCTION_ARROW = _ARROW.insert(1, pa.field("turn", pa.int64()))
 
 
 @dataclass(frozen=True)
@@ -50,9 +52,12 @@ class Limits:
 
 @dataclass
 class Example:
-    """The part of a document from ``start`` on; ``loss[i]`` tells if its token i bears loss."""
+    """The part of a document from ``start`` on; ``loss[i]`` tells if its token i bears loss.
 
-    doc_id: int | None
+    ``doc_id`` is handed through to the pieces; of a turn it is the conversation and the turn.
+    """
+
+    doc_id: int | tuple | None
     ids: np.ndarray
     loss: np.ndarray
     start: int = 0
@@ -199,13 +204,13 @@ def pack_instructions(
 ) -> DataFrame:
     """Pack dialogue turns (``conv_id, turn, role, text``), each as one segment.
 
-    Only the tokens of turns of ``loss_role`` bear loss. Returns ``PIECES`` with the
-    conversation as ``doc_id``, and the turn. Nulls are treated as in ``pack_documents``; a
-    turn without a role bears no loss.
+    Only the tokens of turns of ``loss_role`` bear loss. Returns ``INSTRUCTION_PIECES``: the
+    conversation is the ``doc_id``, and ``start`` counts within the turn. Nulls are treated as
+    in ``pack_documents``; a turn without a role bears no loss, one without a number has none.
     """
     common.importable(turns.sparkSession)
     rows = turns.select(
-        F.col("conv_id").cast("long").alias("doc_id"),
+        F.col("conv_id").cast("long").alias("doc_id"), F.col("turn").cast("long").alias("turn"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
         F.coalesce(F.col("role") == loss_role, F.lit(False)).alias("loss"),
     )
@@ -215,10 +220,12 @@ def pack_instructions(
         end = np.array([end_id], dtype="<u4")
 
         def examples():
-            for doc_id, text, loss in common.rows_of(batches):
+            for doc_id, turn, text, loss in common.rows_of(batches):
                 ids = np.concatenate([encode(text), end])
-                yield Example(doc_id, ids, np.full(len(ids), loss, dtype=np.int8))
+                yield Example((doc_id, turn), ids, np.full(len(ids), loss, dtype=np.int8))
 
-        yield from common.batched(pack_examples(examples(), limits, _first_id()), _ARROW, 500)
+        packed = pack_examples(examples(), limits, _first_id())
+        made = ((*key, *piece) for key, *piece in packed)
+        yield from common.batched(made, _INSTRUCTION_ARROW, 500)
 
-    return rows.mapInArrow(run, PIECES)
+    return rows.mapInArrow(run, INSTRUCTION_PIECES)

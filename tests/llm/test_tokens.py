@@ -160,6 +160,30 @@ def test_instructions_bear_loss_on_answers(tables):
     assert 0 < sum(p.loss for p in pieces) < sum(p.length for p in pieces)
 
 
+def test_turns_are_put_together_again(tables):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    turns, encode = tables("conversations", "0.001"), word_tokens.encoder(path)
+    limits = packing.Limits(tokens=512, segments=8, loss=100)
+    pieces = packing.pack_instructions(turns, path, limits).collect()
+    bearing, parts, totals = {}, defaultdict(list), defaultdict(lambda: [0, 0])
+    for r in turns.collect():
+        bearing[r.conv_id, r.turn] = r.role == "assistant"
+    for p in pieces:
+        parts[p.doc_id, p.turn].append(p)
+        totals[p.sequence_id][0] += p.length
+        totals[p.sequence_id][1] += p.loss
+        assert p.loss == p.length * bearing[p.doc_id, p.turn]
+    for r in turns.collect():
+        own = sorted(parts[r.conv_id, r.turn], key=lambda p: p.start)
+        ids = np.append(encode(r.text or ""), 1).astype("<u4")
+        assert b"".join(bytes(p.ids) for p in own) == ids.tobytes()
+        assert all(p.doc_tokens == len(ids) for p in own)
+    assert all(tokens <= 512 and loss <= 100 for tokens, loss in totals.values())
+    # The limit on loss closes sequences before they are full: without it there are fewer.
+    free = packing.pack_instructions(turns, path, packing.Limits(tokens=512, segments=8, loss=512))
+    assert free.select("sequence_id").distinct().count() < len(totals)
+
+
 def test_queries(spark, small, library):
     texts = {r.doc_id: r.text for r in small.collect()}
     for r in queries.op3_byte_bpe(spark, SF).collect():
