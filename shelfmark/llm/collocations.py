@@ -36,6 +36,8 @@ MIN_COUNT, LONGEST, REPORTED = 100, 5, 2000
 CHUNK_BYTES = 3 * 2**20
 #: Phrases that tasks look for in one pass; more take more passes.
 SET_ROWS = 1 << 18
+#: Rows that a task sends to Spark at once.
+SENT_ROWS = 1 << 15
 #: The first round takes first words of a sixteenth of a language, each further one four times more.
 FIRST_SHARE, FASTER = 16, 4
 #: Classes of counts for each doubling.
@@ -212,6 +214,12 @@ def _tallied(words: list[np.ndarray], left: np.ndarray | None = None) -> pa.Reco
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names[: len(columns)])
 
 
+def _sent(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows in parts, so that Spark never holds all of a chunk's."""
+    for low in range(0, rows.num_rows, SENT_ROWS):
+        yield rows.slice(low, SENT_ROWS)
+
+
 _COUNTED = ", ".join(f"{w} long" for w in _W) + ", n long"
 _Set = dict[int, tuple[np.ndarray, np.ndarray]]
 
@@ -252,7 +260,7 @@ def grow(chunks: DataFrame, phrases: DataFrame, least: int) -> DataFrame:
             for chunk in _chunks_of(batches):
                 for size, (firsts, keys) in shared.value.items():
                     at = chunk.places(firsts, keys, size, 1)
-                    yield _tallied(chunk.words(at, size + 1))
+                    yield from _sent(_tallied(chunk.words(at, size + 1)))
 
         counted = chunks.select("seq", "ids").mapInArrow(run, _COUNTED)
         found.append(counted.groupBy(*_W).agg(F.sum("n").alias("n")).where(F.col("n") >= least))
@@ -275,7 +283,7 @@ def tally(chunks: DataFrame, phrases: DataFrame) -> DataFrame:
                 for size, (firsts, keys) in shared.value.items():
                     at = chunk.places(firsts, keys, size, 0)
                     before = np.where(at > 0, chunk.ids[chunk.seq[at - 1]], 0)
-                    yield _tallied(chunk.words(at, size), before)
+                    yield from _sent(_tallied(chunk.words(at, size), before))
 
         parts.append(chunks.select("seq", "ids").mapInArrow(run, _COUNTED + ", lo long, hi long"))
     lo, hi = F.min("lo"), F.max("hi")
