@@ -74,11 +74,14 @@ def bounded_labels(labels: DataFrame, label: str, max_rows: int) -> DataFrame:
 
 
 def labelled_texts(docs: DataFrame, sample: DataFrame) -> DataFrame:
-    """``doc_id, text, label`` of a sample from ``bounded_labels``.
+    """``doc_id, text, label`` of a sample from ``bounded_labels``, one row of each id.
 
-    The sample's ids are bounded, hence broadcast; texts are not moved.
+    The sample's ids are bounded, hence broadcast. Where an id has several rows, its smallest
+    text teaches; every task keeps one of an id before rows are moved, so the bound on ids
+    is one on rows too.
     """
-    return texts(docs).join(F.broadcast(sample), "doc_id")
+    rows = texts(docs).join(F.broadcast(sample), "doc_id")
+    return rows.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label")
 
 
 def rows_of(batches: Iterable[pa.RecordBatch], size: int = 256) -> Iterator[tuple]:
