@@ -49,6 +49,10 @@ BROADCAST_ROWS = 1_000_000
 _SEEDS = np.random.default_rng(20_240_131).integers(1, 2**63, SKETCHES + SHORT_SKETCHES, dtype=np.uint64) | np.uint64(1)
 
 
+#: What ``words_of`` finds a word in, for Spark.
+HAS_WORDS = r"(?U)[^\s\x1c-\x1f]"
+
+
 def words_of(text: str) -> list[str]:
     return text.split()
 
@@ -354,13 +358,15 @@ def near_duplicates(
     also where passages have moved; classes are what links connect. A text of fewer than five
     words has one shingle. Null and wordless texts, and rows without an
     id, are each a class of their own (null stays null). Repeated rows of an id fall in one
-    class; if their texts differ, in the smallest of the classes of these. Other columns are
-    left behind; an empty table gives no rows.
+    class; if their texts differ, every text is compared on its own and the id falls in the
+    smallest of their classes. Other columns are left behind; an empty table gives no rows.
     """
     rows = common.texts(docs, id_col, text_col)
     marks = materialize(sketched(rows), "sketches")
     copies = marks.groupBy("copy").agg(F.min_by("sketches", "doc_id").alias("sketches"), F.min("doc_id").alias("doc_id"))
     firsts = materialize(copies, "firsts")
+    if not firsts.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return _numbered_classes(docs, id_col, text_col, block_rows)
     groups = materialize(candidate_groups(firsts), "groups")
 
     sizes = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("size"))
@@ -382,7 +388,9 @@ def near_duplicates(
         ids = F.broadcast(groups.select("doc_id"))
     else:
         ids = groups.select("doc_id")
-    one = rows.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    one = rows.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(
+        F.min(F.when(F.col("text").rlike(HAS_WORDS), F.col("text"))).alias("text")
+    )
     links = (
         placed.join(one, "doc_id").groupBy("grp", "low", "high")
         .applyInArrow(_group_links, "u long, v long")
@@ -395,3 +403,19 @@ def near_duplicates(
     member = member.groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
     full = rows.select("doc_id").join(member, "doc_id", "left")
     return full.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+
+
+def _numbered_classes(docs: DataFrame, id_col: str, text_col: str, block_rows: int) -> DataFrame:
+    """``near_duplicates`` where rows of one id differ: the texts of an id are numbered in order."""
+    rows = common.texts(docs, id_col, text_col)
+    digest = F.sha2(F.col("text"), 256)
+    once = rows.where("doc_id IS NOT NULL").groupBy("doc_id", digest.alias("digest")).agg(F.min("text").alias("text"))
+    number = F.monotonically_increasing_id().alias("number")
+    numbered = materialize(once.orderBy("doc_id", "digest").select(number, "doc_id", "text"), "numbered")
+    found = near_duplicates(numbered.select("number", "text"), "number", "text", block_rows)
+    classes = materialize(found.select(F.col("doc_id").alias("number"), "class_id"), "numbered-classes")
+    # Numbers follow the ids, so the smallest number of a class is that of its smallest id.
+    names = numbered.select(F.col("number").alias("class_id"), F.col("doc_id").alias("name"))
+    named = numbered.select("number", "doc_id").join(classes, "number").join(names, "class_id")
+    member = named.groupBy("doc_id").agg(F.min("name").alias("class_id"))
+    return rows.select("doc_id").join(member, "doc_id", "left").select("doc_id", "class_id")

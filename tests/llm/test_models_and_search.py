@@ -5,8 +5,9 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from shelfmark.llm import graph, near_dup, quality, queries, topk, toxicity
+from shelfmark.llm import common, graph, near_dup, quality, queries, topk, toxicity
 
 
 def auc(scores, truth):
@@ -135,6 +136,35 @@ def test_near_duplicates_on_odd_tables(odd, none):
     assert near_dup.near_duplicates(none).count() == 0
 
 
+def test_texts_of_one_id_are_compared_each(spark):
+    base = {k: [f"{k}{i}" for i in range(60)] for k in "abc"}
+    texts = {k: " ".join(w) for k, w in base.items()}
+    near = {k: " ".join(w[:-1] + ["other"]) for k, w in base.items()}
+    rows = [(5, texts["a"]), (5, texts["b"]), (5, texts["b"]), (2, near["b"]), (7, near["a"]), (4, texts["c"]), (9, near["c"]),
+            (4, ""), (4, "\x1f \u3000"), (None, texts["a"]), (8, "  "), (11, None)]
+    want = {5: 2, 2: 2, 7: 5, 4: 4, 9: 4, 8: 8, 11: 11, None: None}
+    for some in (rows, rows[5:]):  # the second has no id with two worded texts
+        docs = spark.createDataFrame(some, "doc_id long, text string")
+        got = near_dup.near_duplicates(docs).collect()
+        assert len(got) == len(some)
+        assert {r.doc_id: r.class_id for r in got} == {i: want[i] for i, _ in some}
+
+
+def test_words_for_spark_are_those_of_python(spark):
+    marks = [chr(i) for i in range(0x3100) if not 0xD800 <= i < 0xE000]
+    rows = spark.createDataFrame([(m,) for m in marks], "text string")
+    found = {r.text for r in rows.where(F.col("text").rlike(near_dup.HAS_WORDS)).collect()}
+    assert found == {m for m in marks if near_dup.words_of(m)}
+
+
+def test_one_row_of_a_labelled_id_teaches(spark):
+    rows = [(1, "b"), (1, "a"), (1, None), (2, "c"), (2, "c"), (3, "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sample = spark.createDataFrame([(1, 0), (2, 1), (9, 1)], "doc_id long, label int")
+    got = sorted(tuple(r) for r in common.labelled_texts(docs, sample).collect())
+    assert got == [(1, "", 0), (2, "c", 1)]
+
+
 def test_moved_blocks_are_near_duplicates(spark):
     texts = {}
     for size in (48, 60, 130):
