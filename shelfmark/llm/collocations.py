@@ -36,6 +36,8 @@ MIN_COUNT, LONGEST, REPORTED = 100, 5, 2000
 CHUNK_BYTES = 3 * 2**20
 #: Phrases that tasks look for in one pass; more take more passes.
 SET_ROWS = 1 << 18
+#: Parts in which the phrases of a language are ranked first.
+RANK_PARTS = 64
 #: Rows that a task sends to Spark at once.
 SENT_ROWS = 1 << 15
 #: The first round takes first words of a sixteenth of a language, each further one four times more.
@@ -474,13 +476,22 @@ def _hopeful(grown: DataFrame, single: DataFrame, totals: DataFrame, thresholds:
     return rows.where(bound >= least).select("p", "lang", "a")
 
 
+def _first(rows: DataFrame, order: list[Column], most: int) -> DataFrame:
+    """The first ``most`` rows of each language with their rank.
+
+    Parts of a language are ranked by themselves before they meet, so a task that ranks a
+    whole language has at most ``RANK_PARTS * most`` rows, however many phrases there are.
+    """
+    part = Window.partitionBy("lang", F.pmod(F.xxhash64("p"), F.lit(RANK_PARTS))).orderBy(*order)
+    some = rows.withColumn("rank", F.row_number().over(part)).where(F.col("rank") <= most)
+    whole = Window.partitionBy("lang").orderBy(*order)
+    return some.withColumn("rank", F.row_number().over(whole)).where(F.col("rank") <= most)
+
+
 def _thresholds(kept: list[DataFrame], reported: int) -> dict[str, int]:
     """The last reported score of each language that has enough phrases."""
-    best = Window.partitionBy("lang").orderBy(F.desc("score"))
-    ranked = _union(kept).select("lang", "score").withColumn("rank", F.row_number().over(best))
-    last = ranked.where(F.col("rank") <= reported).groupBy("lang").agg(
-        F.max("rank").alias("rank"), F.min("score").alias("score")
-    )
+    best = _first(_union(kept).select("p", "lang", "score"), [F.desc("score")], reported)
+    last = best.groupBy("lang").agg(F.max("rank").alias("rank"), F.min("score").alias("score"))
     return {r["lang"]: r["score"] for r in last.where(F.col("rank") == reported).collect()}
 
 
@@ -500,6 +511,5 @@ def _report(
         .groupBy("p", "lang", "a", "l", "r", "n", "score")
         .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "word"))), lambda s: s["word"]), " ").alias("phrase"))
     )
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = spelled.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= reported)
+    ranked = _first(spelled, [F.desc("score"), F.desc("a"), F.col("phrase")], reported)
     return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
