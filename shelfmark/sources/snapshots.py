@@ -89,10 +89,11 @@ def read_snapshot(
 
 
 def read_deltas(
-    spark: SparkSession, path: str, schema: T.StructType, below: int | None = None
+    spark: SparkSession, path: str, schema: T.StructType, below: int | None = None,
+    base: int | None = None,
 ) -> DataFrame | None:
-    """Changed rows since the last snapshot with their version as ``batch_pos``."""
-    base = latest_version(spark, path, below) or 0
+    """Changed rows since a snapshot, by default the last, with their version as ``batch_pos``."""
+    base = (latest_version(spark, path, below) or 0) if base is None else base
     numbers = [n for n in _complete(spark, path, "d", below) if n > base]
     if not numbers:
         return None
@@ -110,7 +111,8 @@ def read_current(
         if number is None
         else read_snapshot(spark, path, schema, number)
     )
-    deltas = read_deltas(spark, path, schema, below)
+    # From the snapshot that was read: another one may have been written since.
+    deltas = read_deltas(spark, path, schema, below, number or 0)
     return base if deltas is None else conform(merge_rows(base, deltas, keys, schema), schema)
 
 
@@ -119,3 +121,18 @@ def compact(spark: SparkSession, path: str, schema: T.StructType, keys: list[str
     deltas = _complete(spark, path, "d", None)
     if deltas and deltas[-1] > (latest_version(spark, path) or 0):
         write_snapshot(read_current(spark, path, schema, keys), path, deltas[-1])
+
+
+def drop_folded(spark: SparkSession, path: str) -> None:
+    """Delete what is older than the last snapshot but one, for tables without a history.
+
+    A reader that began at that snapshot still finds its files, and a repeated batch the
+    versions below its own.
+    """
+    snapshots = _complete(spark, path, "v", None)
+    if len(snapshots) < 2:
+        return
+    for kind, number in _versions(spark, path):
+        if number < snapshots[-2] or (kind == "d" and number == snapshots[-2]):
+            folder = spark._jvm.org.apache.hadoop.fs.Path(_folder(path, kind, number))
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

@@ -159,15 +159,25 @@ def stream_upsert_datasets(
     )
 
 
-def stream_job_state(source: DataFrame, state_path: str, checkpoint: str) -> StreamingQuery:
+def stream_job_state(
+    source: DataFrame, state_path: str, checkpoint: str, compact_every: int = 16
+) -> StreamingQuery:
     """Keeps the last state of every job from a stream of ``(id, state, at, seq)``.
 
     A batch stores the last record of each of its jobs; which of them is the newest of all
-    is settled by time when the state is read.
+    is settled by time when the state is read. Every ``compact_every`` batches the records
+    are folded into one for each job and older folders go, so reading the state meets one
+    snapshot and fewer than that many batches, however long the stream has run.
     """
+    spark = source.sparkSession
+
     def merge(batch: DataFrame, batch_id: int) -> None:
+        version = batch_id + 1
         last = job_ops.latest_state(conform(batch, JOB_STATE)).select(*JOB_STATE.names)
-        snapshots.write_delta(last, state_path, batch_id + 1)
+        snapshots.write_delta(last, state_path, version)
+        if version % compact_every == 0:
+            snapshots.write_snapshot(current_job_state(spark, state_path), state_path, version)
+            snapshots.drop_folded(spark, state_path)
 
     return (
         source.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
@@ -177,8 +187,9 @@ def stream_job_state(source: DataFrame, state_path: str, checkpoint: str) -> Str
 
 def current_job_state(spark: SparkSession, state_path: str) -> DataFrame:
     """The last record of every job."""
-    records = snapshots.read_snapshot(spark, state_path, JOB_STATE)
-    deltas = snapshots.read_deltas(spark, state_path, JOB_STATE)
+    base = snapshots.latest_version(spark, state_path)
+    records = snapshots.read_snapshot(spark, state_path, JOB_STATE, base)
+    deltas = snapshots.read_deltas(spark, state_path, JOB_STATE, base=base or 0)
     if deltas is not None:
         records = records.unionByName(deltas.drop("batch_pos"))
     return job_ops.latest_state(records)

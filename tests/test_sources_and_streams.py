@@ -180,3 +180,36 @@ def test_stream_job_state_keeps_the_latest(spark, tmp_path):
     streams.stream_job_state(streams.read_folder(spark, folder), state, ckpt).awaitTermination()
     got = {r["id"]: r["state"] for r in streams.current_job_state(spark, state).collect()}
     assert got == {"j": "running", "k": "error"}
+
+
+@pytest.mark.parametrize("batches", [1, 7])
+def test_job_state_is_folded_and_reading_stays_bounded(spark, tmp_path, batches):
+    folder, state, ckpt = (str(tmp_path / n) for n in ("in", "state", "ckpt"))
+    start = datetime(2024, 1, 1)
+    last = {}
+    for n in range(batches):
+        rows = [(f"j{i}", f"s{n}", start + timedelta(hours=(n * 5 + i) % 7), n * 10 + i) for i in range(n, n + 4)]
+        for job, now, at, seq in rows:
+            last[job] = max(last.get(job, (start - timedelta(1),)), (at, seq, now))
+        files(spark.createDataFrame(rows, streams.JOB_STATE), folder)
+        source = streams.read_folder(spark, folder, 1)
+        streams.stream_job_state(source, state, ckpt, compact_every=2).awaitTermination()
+        kept = [p.name for p in Path(state).iterdir()]
+        assert sum(k.startswith("v") for k in kept) <= 2 and sum(k.startswith("d") for k in kept) <= 4
+    got = {r["id"]: (r["at"], r["seq"], r["state"]) for r in streams.current_job_state(spark, state).collect()}
+    assert got == last
+
+
+def test_a_broken_fold_leaves_the_state_before_it(spark, tmp_path):
+    state = str(tmp_path / "state")
+    t = datetime(2024, 1, 1)
+    snapshots.write_delta(spark.createDataFrame([("j", "queued", t, 1)], streams.JOB_STATE), state, 1)
+    snapshots.write_delta(spark.createDataFrame([("j", "done", t, 2)], streams.JOB_STATE), state, 2)
+    whole = Path(snapshots.write_snapshot(streams.current_job_state(spark, state), state, 2))
+    (whole / "_SUCCESS").unlink()
+    next(whole.glob("*.parquet")).unlink()
+    assert [r["state"] for r in streams.current_job_state(spark, state).collect()] == ["done"]
+    snapshots.write_snapshot(streams.current_job_state(spark, state), state, 2)
+    snapshots.drop_folded(spark, state)
+    assert snapshots.latest_version(spark, state) == 2
+    assert [r["state"] for r in streams.current_job_state(spark, state).collect()] == ["done"]
