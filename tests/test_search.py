@@ -1,6 +1,7 @@
 import random
 import re
 import time
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -85,6 +86,22 @@ def test_all_like_joins_give_all_pairs(spark, monkeypatch):
         assert len(rows) == len(set(rows)) and set(rows) == want
 
 
+def test_plain_tokens_are_found_without_comparing_texts(spark, monkeypatch):
+    """Words, long tokens and tokens with gaps, in long words too; every row of an id counts."""
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("ab ") for _ in range(rng.randint(0, 300))) for _ in range(60)] + ["ab" * 200, ""]
+    tokens = ["a", "aba", "b" * 6, "ab" * 12, "ab" * 13, "a b", " ", "b\u00a0", "ab" * 150]
+    docs = docs_of(spark, texts)
+    docs = docs.unionByName(docs.limit(3)).unionByName(spark.createDataFrame([(None, "aba")], docs.schema))
+    frame = spark.createDataFrame([(t,) for t in tokens], "token string")
+    rows = [(d["dataset_id"], d["content"]) for d in docs.collect()]
+    want = Counter((t, i) for i, c in rows for t in tokens if t in c)
+    assert Counter(tuple(r) for r in ops.like_join_by_grams(docs, frame).collect()) == want
+    words = spark.createDataFrame([("aba",), ("b",)], "token string")
+    executed = ops.like_join_by_grams(docs, words)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in executed and "concat(%" not in executed
+
+
 def test_grams_take_linear_time(spark):
     """Twice the text must not take four times as long; the longest has 200,000 characters."""
     took = {}
