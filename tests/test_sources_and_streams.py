@@ -6,6 +6,7 @@ import pytest
 from catalog_rows import NOW
 from pyspark.sql import functions as F
 
+from shelfmark.plans import tables
 from shelfmark.schemas import DATASETS, EVENTS, SIGNALS
 from shelfmark.session import materialize, shared_dir
 from shelfmark.sources import catalog as catalog_source
@@ -213,3 +214,18 @@ def test_a_broken_fold_leaves_the_state_before_it(spark, tmp_path):
     snapshots.drop_folded(spark, state)
     assert snapshots.latest_version(spark, state) == 2
     assert [r["state"] for r in streams.current_job_state(spark, state).collect()] == ["done"]
+
+
+def test_derived_texts_are_stored_where_they_are_read(spark, tmp_path, monkeypatch):
+    rows = [(i, f"title {i}\nmore words", "en", "web", 20) for i in range(30)]
+    made = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    made.repartition(12).write.parquet(str(tmp_path / "documents.parquet"))
+    plans, write = [], tables.snapshots.write_snapshot
+
+    def seen(df, path, **how):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, path, **how)
+
+    monkeypatch.setattr(tables.snapshots, "write_snapshot", seen)
+    assert tables.docs(spark, str(tmp_path)).count() == 30
+    assert len(plans) == 2 and not [p for p in plans if "rangepartitioning" in p or "Sort" in p]
