@@ -170,3 +170,24 @@ def test_a_small_batch_does_not_move_the_stored_rows(spark, tmp_path):
     events = {r["dataset_id"]: r["type"] for r in upsert.detect_changes(stored, batch, NOW).collect()}
     assert events == {"ds/5": "dataset.changed", "ds/x": "dataset.discovered", "ds/6": "dataset.changed"}
     assert {r["id"] for r in upsert.changed_ids(stored, batch).collect()} == {"ds/5", "ds/6"}
+
+
+def test_parts_of_an_index_follow_its_size(spark, tmp_path, monkeypatch):
+    """No task sorts more than its part, and no bucket's postings lie in one task only."""
+    docs = spark.range(4_000).select(
+        F.concat(F.lit("d"), F.col("id")).alias("dataset_id"),
+        F.concat(F.lit("common word "), F.col("id"), F.lit(" "), F.md5(F.col("id").cast("string"))).alias("content"),
+    )
+    monkeypatch.setattr(stored_index, "PART_ROWS", 1_000)
+    sizes = {}
+    for share in (0, 1):
+        path = str(tmp_path / f"index{share}")
+        stored_index.write_inverted_index(docs.limit(1_000) if share == 0 else docs, path, 2)
+        files = spark.read.parquet(f"{path}/postings").groupBy(F.col("_metadata.file_path")).count().collect()
+        sizes[share] = [r["count"] for r in files]
+    assert len(sizes[1]) >= 3 * len(sizes[0]) and max(sizes[1]) < 2_500
+    index = stored_index.read_inverted_index(spark, path, 2)
+    assert effective(index) == effective(search_ops.build_inverted_index(docs))
+    for term in range(2):
+        stored_index.update_inverted_index(docs.limit(0), docs.limit(0), path, term + 1, 2, fanout=2)
+    assert effective(stored_index.read_inverted_index(spark, path, 2)) == effective(search_ops.build_inverted_index(docs))
