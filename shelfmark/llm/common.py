@@ -7,7 +7,9 @@ import os
 from collections.abc import Hashable, Iterable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,6 +94,34 @@ def rows_of(batches: Iterable[pa.RecordBatch], size: int = 256) -> Iterator[tupl
     pa.default_memory_pool().release_unused()
 
 
+def text_batches(batches: Iterable[pa.RecordBatch], column: str, size: int) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in their order, dealt anew by the bytes of a text column.
+
+    A batch has at most ``size`` bytes, of which every row takes 64 beside its text; a longer
+    text is a batch of its own.
+    """
+    held: list[pa.RecordBatch] = []
+    filled = 0
+    for batch in batches:
+        lengths = pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(lengths.astype(np.int64) + 64)
+        low = before = 0
+        while low < batch.num_rows:
+            high = int(np.searchsorted(ends, before + size - filled, side="right"))
+            if high == low and not held:
+                high += 1
+            if high > low:
+                held.append(batch.slice(low, high - low))
+                filled += int(ends[high - 1]) - before
+                low, before = high, int(ends[high - 1])
+            if low < batch.num_rows:
+                yield pa.concat_batches(held)
+                held, filled = [], 0
+    if held:
+        yield pa.concat_batches(held)
+    pa.default_memory_pool().release_unused()
+
+
 _TABLES: dict[Hashable, dict] = {}
 
 

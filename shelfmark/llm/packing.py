@@ -27,6 +27,8 @@ from shelfmark.llm import common, word_tokens
 
 OPEN = 64
 TASK_SHIFT = 36
+#: Bytes of text that are tokenized at once.
+TOKENIZED = 2 << 20
 PIECES = (
     "doc_id long, start long, length long, loss long, doc_tokens long, sequence_id long, "
     "offset long, ids binary"
@@ -173,6 +175,20 @@ def _first_id() -> int:
     return (context.partitionId() if context else 0) << TASK_SHIFT
 
 
+def _tokenized(batches: Iterable[pa.RecordBatch], tokenizer_path: str, end_id: int) -> Iterator[tuple]:
+    """The rows of the batches, with ids and ``end_id`` in place of the column ``text``."""
+    encoder = word_tokens.encoder(tokenizer_path)
+    end = np.array([end_id], dtype="<u4")
+    for batch in common.text_batches(batches, "text", TOKENIZED):
+        columns = [
+            encoder.many(c) if name == "text" else c.to_pylist()
+            for name, c in zip(batch.schema.names, batch.columns)
+        ]
+        at = batch.schema.names.index("text")
+        for row in zip(*columns):
+            yield *row[:at], np.concatenate([row[at], end]), *row[at + 1 :]
+
+
 def pack_documents(
     docs: DataFrame, tokenizer_path: str, limits: Limits = Limits(), end_id: int = 1,
     id_col: str = "doc_id", text_col: str = "text",
@@ -185,12 +201,8 @@ def pack_documents(
     """
 
     def run(batches):
-        encode = word_tokens.encoder(tokenizer_path)
-        end = np.array([end_id], dtype="<u4")
-
         def examples():
-            for doc_id, text in common.rows_of(batches):
-                ids = np.concatenate([encode(text), end])
+            for doc_id, ids in _tokenized(batches, tokenizer_path, end_id):
                 yield Example(doc_id, ids, np.ones(len(ids), dtype=np.int8))
 
         yield from common.batched(pack_examples(examples(), limits, _first_id()), _ARROW, 500)
@@ -216,12 +228,8 @@ def pack_instructions(
     )
 
     def run(batches):
-        encode = word_tokens.encoder(tokenizer_path)
-        end = np.array([end_id], dtype="<u4")
-
         def examples():
-            for doc_id, turn, text, loss in common.rows_of(batches):
-                ids = np.concatenate([encode(text), end])
+            for doc_id, turn, ids, loss in _tokenized(batches, tokenizer_path, end_id):
                 yield Example((doc_id, turn), ids, np.full(len(ids), loss, dtype=np.int8))
 
         packed = pack_examples(examples(), limits, _first_id())

@@ -13,7 +13,7 @@ import regex
 import tiktoken
 from tokenizers import Tokenizer
 
-from shelfmark.llm import bpe, byte_bpe, packing, queries, token_counts, word_tokens
+from shelfmark.llm import bpe, byte_bpe, common, packing, queries, token_counts, word_tokens
 
 SF = "/root/testdata/sf0.001"
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -98,6 +98,49 @@ def test_word_ids(strange):
         assert encode(text).tolist() == own.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("kept", [word_tokens.KEPT, 3])
+def test_word_ids_of_many_texts(strange, monkeypatch, kept):
+    monkeypatch.setattr(word_tokens, "KEPT", kept)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    own, encoder = Tokenizer.from_file(path), word_tokens.Encoder(path)
+    plain = [c for c in map(chr, range(0x250)) if bpe.is_plain(c)]
+    drawn = random.Random(7)
+    mixed = ["".join(drawn.choices(plain, k=drawn.randint(0, 40))) for _ in range(1000)]
+    mixed += ["".join(drawn.choices("aÉ'sldtmvre7 .,_×\n", k=30)) for _ in range(1000)]
+    mixed += ["", " ", "İstanbul", "it's WE'LL ''s x'", "日本 the", "<|endoftext|>the", *strange[:500]]
+    for low in range(0, len(mixed), 700):
+        texts = mixed[low : low + 700]
+        want = [e.ids for e in own.encode_batch(texts, add_special_tokens=False)]
+        assert [ids.tolist() for ids in encoder.many(pa.array(texts, pa.string()))] == want
+        assert kept > 3 or len(encoder._known) == len(encoder._sizes)
+    assert encoder.many(pa.array([], pa.string())) == []
+
+
+def test_a_piece_is_tokenized_once_whatever_stands_beside_it(monkeypatch):
+    encoder = word_tokens.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    asked, of_piece = [], encoder._of_piece
+    monkeypatch.setattr(encoder, "_of_piece", lambda p: asked.append(p) or of_piece(p))
+    texts = ["Packing, packing. (packing)", "PACKING packing's", "packing's, packing"]
+    first = encoder.many(pa.array(texts * 50, pa.string()))
+    second = encoder.many(pa.array(texts, pa.string()))
+    assert sorted(filter(None, asked)) == ["'s", "(", ")", ",", ".", "packing"]
+    assert [x.tolist() for x in first[:3]] == [x.tolist() for x in second]
+
+
+def test_texts_are_dealt_by_their_bytes():
+    texts = ["", "é" * 40, "x" * 500, "y" * 10, "", "z" * 60] * 7
+    rows = pa.record_batch({"doc_id": pa.array(range(len(texts))), "text": pa.array(texts)})
+    for step in (1, 5, len(texts)):
+        batches = [rows.slice(low, step) for low in range(0, len(texts), step)]
+        dealt = list(common.text_batches(batches, "text", 300))
+        assert pa.Table.from_batches(dealt).to_pydict() == rows.to_pydict()
+        for batch in dealt:
+            assert batch.num_rows == 1 or sum(len(t.encode()) + 64 for t in batch["text"].to_pylist()) <= 300
+        assert len(dealt) == len(list(common.text_batches([rows], "text", 300)))
+    assert list(common.text_batches([], "text", 300)) == []
+    assert list(common.text_batches([rows.slice(0, 0)], "text", 300)) == []
+
+
 def check_pieces(pieces, limits, documents):
     """``documents``: ids by (repeated) document; every id in one piece, sequences gapless."""
     sequences, found = defaultdict(list), defaultdict(list)
