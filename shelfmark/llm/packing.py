@@ -28,7 +28,7 @@ from shelfmark.llm import common, word_tokens
 OPEN = 64
 TASK_SHIFT = 36
 #: Bytes of text that are tokenized at once.
-TOKENIZED = 2 << 20
+TOKENIZED = 1 << 20
 PIECES = (
     "doc_id long, start long, length long, loss long, doc_tokens long, sequence_id long, "
     "offset long, ids binary"

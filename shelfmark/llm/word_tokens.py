@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from shelfmark.llm.common import worker_table
 
 #: Pieces that a worker's table takes before it starts anew with those of the texts at hand.
-KEPT = 300_000
+KEPT = 150_000
 # Texts that the library gets as a whole: those that are not ``bpe.is_plain``, those in which
 # a special string may stand, and those with the one plain letter that lower-cases to two.
 _WHOLE = "<\\||İ|[^\n\t\r\x20-\x7e\xc0-ɏ]"
