@@ -1,8 +1,9 @@
 """Phrase collocations by best-first branch-and-bound growth.
 
 Texts are written once as chunks of numbered words; the chunk's words carry 64-bit ids, which
-are checked to differ for all words of the corpus. A phrase is a row of up to five ids, counted
-by exact grouping.
+are checked to differ for all words of the corpus. A word that is too rare to be in a phrase
+ends a piece; the chunks are written again without such words, and all passes read those. A
+phrase is a row of up to five ids, counted by exact grouping.
 
 A phrase that begins with ``w`` scores at most ``1000 * n / f(w)``, for the cut after ``w`` has
 ``l = f(w)`` and ``r >= a``. So first words in classes of rising counts are the frontier, the
@@ -25,17 +26,22 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfmark.llm import common
-from shelfmark.session import materialize
+from shelfmark.session import literal_frame, materialize
 
 MIN_COUNT, LONGEST, REPORTED = 100, 5, 2000
 #: Bytes of text in a chunk.
 CHUNK_BYTES = 3 * 2**20
 #: Phrases that tasks look for in one pass; more take more passes.
 SET_ROWS = 1 << 18
+#: Bits that say, by the last bits of an id, which words may be in a phrase.
+LIVE_BITS = 1 << 24
+#: Every chunk is a row group without dictionaries, so neither writer nor reader holds several.
+_LAID = {"parquet.block.row.count.limit": "1"} | {f"parquet.enable.dictionary#{c}": "false" for c in ("seq", "ids")}
 #: Parts in which the phrases of a language are ranked first.
 RANK_PARTS = 64
 #: Rows that a task sends to Spark at once.
@@ -197,6 +203,33 @@ def _chunks_of(batches: Iterable[pa.RecordBatch]) -> Iterator[_Chunk]:
             pa.default_memory_pool().release_unused()
 
 
+def pruned(chunks: DataFrame, live: DataFrame) -> DataFrame:
+    """The chunks' ``seq`` and ``ids`` without words that are not in ``live(w1)``.
+
+    A phrase has no other words, nor can one stand before all occurrences of a phrase. Words
+    with the last bits of a live one stay, which does no harm and bounds what tasks are sent.
+    """
+    last = F.col("w1").bitwiseAND(F.lit(LIVE_BITS - 1))
+    bits = np.zeros(LIVE_BITS, dtype=bool)
+    bits[live.select(last.alias("bit")).distinct().toArrow().column(0).to_numpy()] = True
+    shared = chunks.sparkSession.sparkContext.broadcast(np.packbits(bits, bitorder="little"))
+
+    def run(batches):
+        bits = shared.value
+        for chunk in _chunks_of(batches):
+            bit = chunk.ids & (LIVE_BITS - 1)
+            stays = (bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
+            stays[0] = False
+            seq = np.where(stays, np.cumsum(stays, dtype=np.int32), np.int32(0))[chunk.seq]
+            shown = seq != 0
+            shown[1:] |= shown[:-1].copy()  # of marks in a row one stays
+            blobs = [seq[shown].tobytes(), chunk.ids[stays].tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in blobs], ["seq", "ids"])
+
+    rows = chunks.select("seq", "ids").mapInArrow(run, "seq binary, ids binary")
+    return materialize(rows, "pruned-chunks", _LAID)
+
+
 def _tallied(words: list[np.ndarray], left: np.ndarray | None = None) -> pa.RecordBatch:
     """Distinct rows of words with their counts, and the least and largest ``left`` of each."""
     order = np.argsort(_key(words), kind="stable")
@@ -243,6 +276,11 @@ def _sets(phrases: DataFrame) -> Iterator[_Set]:
         yield made
 
 
+def _none(spark: SparkSession, schema: str) -> DataFrame:
+    """No rows, without Python workers."""
+    return literal_frame(spark, [], T.StructType.fromDDL(schema))
+
+
 def _union(parts: list[DataFrame]) -> DataFrame:
     whole = parts[0]
     for part in parts[1:]:
@@ -254,7 +292,7 @@ def grow(chunks: DataFrame, phrases: DataFrame, least: int) -> DataFrame:
     """``w1, …, w5, n`` of phrases that have one word more than one of ``phrases`` at the end
     and occur ``least`` times."""
     spark = chunks.sparkSession
-    found = [spark.createDataFrame([], _COUNTED)]
+    found = [_none(spark, _COUNTED)]
     for wanted in _sets(phrases):
         shared = spark.sparkContext.broadcast(wanted)
 
@@ -276,7 +314,7 @@ def tally(chunks: DataFrame, phrases: DataFrame) -> DataFrame:
     where the phrase begins a piece.
     """
     spark = chunks.sparkSession
-    parts = [spark.createDataFrame([], _COUNTED + ", lo long, hi long")]
+    parts = [_none(spark, _COUNTED + ", lo long, hi long")]
     for wanted in _sets(phrases):
         shared = spark.sparkContext.broadcast(wanted)
 
@@ -375,7 +413,7 @@ def numbered(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
         def run(batches, salt=salt):
             yield from _chunks(common.rows_of(batches), salt)
 
-        chunks = materialize(texts.mapInArrow(run, _CHUNKS_SPARK), "chunks")
+        chunks = materialize(texts.mapInArrow(run, _CHUNKS_SPARK), "chunks", _LAID)
         words = chunks.select(F.inline("words")).groupBy("id", "lang", "word").agg(F.sum("n").alias("n"))
         words = materialize(words, "words")
         # In a chunk equal ids are equal words; across chunks this tells.
@@ -410,6 +448,7 @@ def mine_phrases(
         F.col("id").alias("w1"), "lang", "word", "n", F.floor(F.log2("n") * CLASSES).alias("class")
     )
     live = materialize(live, "live-words")
+    chunks = pruned(chunks, live)
     single = live.select(F.array("w1").alias("p"), "n")
     kept: list[DataFrame] = []
     thresholds: dict[str, int] = {}
@@ -502,7 +541,7 @@ def _report(
     kept: list[DataFrame], live: DataFrame, thresholds: dict[str, int], reported: int, docs: DataFrame
 ) -> DataFrame:
     if not kept:
-        return docs.sparkSession.createDataFrame([], _RESULT)
+        return _none(docs.sparkSession, _RESULT)
     rows = _union(kept)
     for lang, score in thresholds.items():
         rows = rows.where((F.col("lang") != lang) | (F.col("score") >= score))

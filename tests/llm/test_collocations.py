@@ -2,6 +2,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from odd_texts import ODD_TEXTS
 from pyspark.sql import functions as F
@@ -59,6 +61,28 @@ def test_phrases_equal_brute_force(spark, monkeypatch, set_rows, chunk_bytes, re
     assert rows_of(collocations.mine_phrases(docs, reported, 6)) == plain(rows, reported, 6)
 
 
+def test_passes_read_chunks_without_rare_words_one_at_a_time(spark, monkeypatch):
+    """Memory of a pass: a row group is one chunk, and of its words only frequent ones are left."""
+    read, grow = [], collocations.grow
+    monkeypatch.setattr(collocations, "grow", lambda chunks, *rest: read.append(chunks) or grow(chunks, *rest))
+    rows = [("en", f"a b rare{i} rarer{i} c a b, seldom{i} c a{i}") for i in range(100)] + [("en", "odd"), ("de", "a b")]
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(8)
+    made = collocations.numbered
+
+    def together(texts):
+        chunks, words = made(texts)
+        return collocations.materialize(chunks.coalesce(1), "together", collocations._LAID), words
+
+    monkeypatch.setattr(collocations, "numbered", together)
+    assert rows_of(collocations.mine_phrases(docs, 25, 6)) == plain(rows, 25, 6)
+    files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in read[0].inputFiles()]
+    groups = [m.row_group(i).num_rows for m in files for i in range(m.num_row_groups)]
+    assert len(files) < len(groups) and set(groups) == {1}
+    chunks = [(np.frombuffer(r["seq"], np.int32), np.frombuffer(r["ids"], np.int64)) for r in read[0].collect()]
+    assert len({i for _, ids in chunks for i in ids.tolist()}) == 3
+    assert all((seq[1:] | seq[:-1]).all() and seq.max(initial=0) == len(ids) for seq, ids in chunks)
+
+
 def test_ids_that_clash_take_another_salt(spark, monkeypatch):
     real = collocations._mixed
 
