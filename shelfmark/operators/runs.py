@@ -1,0 +1,111 @@
+"""Many runs of characters, looked for in texts at once."""
+
+from __future__ import annotations
+
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+
+#: Entries of a table of steps from state to state; larger ones are searched as sorted keys.
+DENSE = 1 << 22
+#: Texts whose matches a task notes at once, their bytes, and texts times runs. A longer text is alone.
+TEXTS, BYTES, MARKS = 256, 1 << 20, 1 << 22
+#: Places from which a task walks at once.
+PLACES = 1 << 18
+
+_Trie = tuple[np.ndarray, int, np.ndarray, np.ndarray, np.ndarray]
+
+
+def trie(runs: list[str]) -> _Trie:
+    """Classes of bytes, their number, sorted steps ``state * number + class`` with the states
+    they lead to, and the run that ends in a state or -1. 0 is no state, 1 the first one."""
+    used = sorted({byte for run in runs for byte in run.encode()})
+    classes = np.zeros(256, dtype=np.uint8)
+    classes[used] = np.arange(1, len(used) + 1)
+    width, numbers = len(used) + 1, classes.tolist()
+    steps: dict[int, int] = {}
+    ends = [-1, -1]
+    for number, run in enumerate(runs):
+        state = 1
+        for byte in run.encode():
+            key = state * width + numbers[byte]
+            if key not in steps:
+                steps[key] = len(ends)
+                ends.append(-1)
+            state = steps[key]
+        ends[state] = number
+    keys = np.array(sorted(steps), dtype=np.int64)
+    states = np.array([steps[k] for k in keys.tolist()], dtype=np.int64)
+    return classes, width, keys, states, np.array(ends, dtype=np.int64)
+
+
+def held_runs(docs: DataFrame, runs: list[str], *columns: str) -> DataFrame:
+    """``columns`` of every document and ``held``: which of the distinct ``runs`` its ``content`` has.
+
+    From all places of some texts the trie of the runs is walked in lockstep, byte by byte, which
+    no column expression can do; so texts go through Arrow batches. The work grows with the texts
+    times the length of the longest run at most, whatever the number of runs.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((runs, trie(runs)))
+    dense, most_texts, most_bytes, marks, places = DENSE, TEXTS, BYTES, MARKS, PLACES
+
+    # Workers get this function whole, so they need not have this library.
+    def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs, (classes, width, keys, states, ends) = shared.value
+        names = pa.array(runs, pa.string())
+        table = np.zeros(len(ends) * width if len(ends) * width <= dense else 0, dtype=np.int32)
+        if len(table):
+            table[keys] = states
+
+        def step(state: np.ndarray, byte: np.ndarray) -> np.ndarray:
+            key = state * width + byte
+            if len(table):
+                return table[key]
+            near = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            return np.where(keys[near] == key, states[near], 0)
+
+        def held(texts: list[bytes | None]) -> pa.Array:
+            found = np.zeros((len(texts), len(runs)), dtype=bool)
+            if ends[1] >= 0:  # the empty run
+                found[[text is not None for text in texts], ends[1]] = True
+            joined = b"\xff".join([*(text or b"" for text in texts), b""])  # no run has this byte
+            bytes_ = classes[np.frombuffer(joined, dtype=np.uint8)]
+            of = np.broadcast_to(np.int32(0), len(joined))
+            if len(texts) > 1:
+                of = np.repeat(np.arange(len(texts), dtype=np.int32), [len(text or b"") + 1 for text in texts])
+            for low in range(0, len(joined) if len(keys) else 0, places):
+                at = np.arange(low, min(low + places, len(joined)))
+                state = np.ones(len(at), dtype=np.int64)
+                while len(at):
+                    state = step(state, bytes_[at])
+                    on = np.flatnonzero(state)
+                    at, state = at[on], state[on].astype(np.int64)
+                    run = ends[state]
+                    ended = np.flatnonzero(run >= 0)
+                    found[of[at[ended]], run[ended]] = True
+                    at += 1
+            counts = found.sum(axis=1)
+            offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+            return pa.ListArray.from_arrays(pa.array(offsets), names.take(pa.array(np.nonzero(found)[1])))
+
+        rows = max(1, min(most_texts, marks // max(1, len(runs))))
+        for batch in batches:
+            content = batch.column("content")
+            sizes = pc.fill_null(pc.binary_length(content), 0).to_numpy(zero_copy_only=False)
+            low = 0
+            while low < batch.num_rows:
+                fit = np.searchsorted(np.cumsum(sizes[low : low + rows], dtype=np.int64), most_bytes, side="right")
+                part = batch.slice(low, max(1, int(fit)))
+                found = held(part.column("content").cast(pa.binary()).to_pylist())
+                yield pa.RecordBatch.from_arrays([*map(part.column, columns), found], [*columns, "held"])
+                low += part.num_rows
+            pa.default_memory_pool().release_unused()
+
+    fields = [docs.schema[c] for c in columns]
+    return docs.select("dataset_id", "content").mapInArrow(
+        find, T.StructType([*fields, T.StructField("held", T.ArrayType(T.StringType()))])
+    )
