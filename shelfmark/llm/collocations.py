@@ -41,7 +41,7 @@ SET_ROWS = 1 << 18
 #: Bits that say, by the last bits of an id, which words may be in a phrase.
 LIVE_BITS = 1 << 24
 #: Every chunk is a row group without dictionaries, so neither writer nor reader holds several.
-_LAID = {"parquet.block.row.count.limit": "1"} | {f"parquet.enable.dictionary#{c}": "false" for c in ("seq", "ids")}
+_LAID = {"parquet.block.row.count.limit": "1", "parquet.enable.dictionary": "false"}
 #: Parts in which the phrases of a language are ranked first.
 RANK_PARTS = 64
 #: Rows that a task sends to Spark at once.
